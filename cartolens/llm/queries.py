@@ -8,6 +8,13 @@ from pyspark.sql import functions as F
 from .common import fold, table
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document in the mix of its sources by tempered weights."""
+    from . import mixing
+
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def op2_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text stored as PNG, read back and hashed."""
     from . import media
@@ -40,6 +47,22 @@ def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_report(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity scores of every whole text; labels of one fold in four are held out."""
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    index = toxicity.fit(docs, table(spark, sf_dir, "labels"), fold(F.col("doc_id"), 4) != 2)
+    return toxicity.scores(docs, index, fold(F.col("doc_id"), 4) == 2)
+
+
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that holds a license template, with where and how much of it."""
+    from . import licenses
+
+    return licenses.report(table(spark, sf_dir, "documents"))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text without the lines of repeated three-line windows."""
     from . import linededup
@@ -61,6 +84,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import linededup
+    from . import licenses, linededup
 
-    return {"op10_line_dedup": linededup.SQL}
+    return {"op9_licenses": licenses.sql(), "op10_line_dedup": linededup.SQL}

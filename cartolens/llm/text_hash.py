@@ -48,15 +48,19 @@ def spans(data: bytes, table: np.ndarray = LOWER) -> tuple[np.ndarray, np.ndarra
     return buf, np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def word_hashes(data: bytes, table: np.ndarray = LOWER) -> np.ndarray:
-    """A 64-bit hash of each word, in order."""
+def word_hashes(data: bytes, table: np.ndarray = LOWER, stems: tuple[int, ...] = ()) -> np.ndarray:
+    """A 64-bit hash of each word, in order; then for each length in ``stems`` one of the beginning of each longer word."""
     buf, starts, ends = spans(data, table)
     if not len(starts):
         return np.empty(0, np.uint64)
     powers, inverses = _tables(len(buf) + 1)
     sums = np.zeros(len(buf) + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * powers[: len(buf)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))
+    out = [mix((sums[ends] - sums[starts]) * inverses[starts] + (ends - starts).astype(np.uint64))]
+    for n in stems:
+        long = starts[ends - starts > n]
+        out.append(mix(((sums[long + n] - sums[long]) * inverses[long]) ^ np.uint64(n * 0x51ED270B76A4F3C1 & (1 << 64) - 1)))
+    return np.concatenate(out)
 
 
 def shingle_hashes(words: np.ndarray, k: int) -> np.ndarray:
