@@ -40,6 +40,13 @@ def op7_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(docs, model, fold(F.col("doc_id"), 3) == 1)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of texts that are near in their five-word shingles."""
+    from . import ngram_join
+
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle fingerprints of every whole text and of its edited text."""
     from . import merkle
