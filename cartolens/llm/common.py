@@ -36,6 +36,16 @@ def written(df: DataFrame, root: str, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def packed(df: DataFrame) -> DataFrame:
+    """One column ``row`` with all columns of ``df``: whatever their names, they clash with nothing that is joined to it."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+
+
+def unpacked(df: DataFrame, columns: list[str], **replaced: Column) -> list[Column]:
+    """The columns of a packed row under their names, some replaced."""
+    return [replaced[c].alias(c) if c in replaced else F.col(f"row.`{c}`").alias(c) for c in columns]
+
+
 def text_or_empty(text: Column) -> Column:
     return F.coalesce(text.cast("string"), F.lit(""))
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import packed, unpacked
+
 LINES = 3
 SALTS = 16
 
@@ -49,35 +51,30 @@ def later_windows(docs: DataFrame) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` cleaned and, if there is one, ``n_chars`` of changed rows counted anew; and _n_lines, _n_removed.
+    """``docs`` with ``text`` cleaned and, if there is one, ``n_chars`` of changed rows counted anew; and n_lines, n_removed,
+    in place of columns of these names.
 
     No row is dropped: a text of which nothing is left is empty.
     """
-    gone = later_windows(docs).groupBy("doc_id", "th").agg(F.collect_set("at").alias("_at"))
-    gone = gone.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "_at")
-    both = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_th"]), "left")
-    lines = _lines(F.col("text"))
-    covered = F.flatten(F.transform("_at", lambda p: F.array(*[p + k for k in range(LINES)])))
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)
-    both = both.withColumn("_kept", F.when(F.col("_at").isNotNull(), kept))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(lines))
-    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join(F.transform("_kept", lambda i: F.get(lines, i)), "\n"))
-    out = both.withColumns({"_n_lines": n_lines, "_n_removed": F.when(F.col("_kept").isNull(), 0).otherwise(F.size(lines) - F.size("_kept")), "_new": text})
-    columns = []
-    for c in docs.columns:
-        if c == "text":
-            columns.append(F.col("_new").alias("text"))
-        elif c == "n_chars":
-            columns.append(F.when(F.col("_n_removed") > 0, F.length("_new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")).alias("n_chars"))
-        else:
-            columns.append(docs[c])
-    return out.select(*columns, "_n_lines", "_n_removed")
+    gone = later_windows(docs).groupBy("doc_id", "th").agg(F.collect_set("at").alias("at"))
+    both = packed(docs).join(gone, F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64("row.text") == F.col("th")), "left")
+    lines, covered = _lines(F.col("row.text")), F.flatten(F.transform("at", lambda p: F.array(*[p + k for k in range(LINES)])))
+    both = both.withColumn("kept", F.when(F.col("at").isNotNull(), F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), covered)))
+    # the lines are bound once: a text is not cut anew for each line that stays
+    rest = F.get(F.transform(F.array(lines), lambda all_: F.array_join(F.transform("kept", lambda i: F.get(all_, i)), "\n")), 0)
+    both = both.withColumn("new", F.when(F.col("kept").isNull(), F.col("row.text")).otherwise(rest))
+    both = both.withColumn("n_lines", F.when(F.col("row.text").isNull(), 0).otherwise(F.size(lines)))
+    both = both.withColumn("n_removed", F.when(F.col("kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("kept")))
+    own = {"text": F.col("new")}
+    if "n_chars" in docs.columns:
+        own["n_chars"] = F.when(F.col("n_removed") > 0, F.length("new").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("row.n_chars"))
+    return both.select(*unpacked(both, [c for c in docs.columns if c not in ("n_lines", "n_removed")], **own), "n_lines", "n_removed")
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, n_lines, n_removed, the cleaned text and its digest (null text: null)."""
+    """Per row: doc_id, n_lines, n_removed, and the digest of the cleaned text (null text: null)."""
     out = dedup(docs.select("doc_id", "text"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
 
 
 #: DuckDB SQL of report() over the view documents.

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from .common import packed, unpacked
+
 BLOCK = 1 << 16
 BUCKETS = 256
 MAX_SOURCES = 2000
@@ -147,9 +149,8 @@ def in_order(docs: DataFrame, weights: Mapping[object, float] | None = None, blo
     """``docs``, all rows and columns, in the order of the mix: written files read one after the other give it.
 
     The ranges are cut by slot; equal rows are interchangeable and share the place of the first."""
-    places = mixed(docs, weights, block, total).groupBy("doc_id", "source", "text_hash").agg(F.min(F.struct("slot", "place")).alias("_at"))
-    places = places.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "_at")
-    same = docs["doc_id"].eqNullSafe(places["_id"]) & docs["source"].cast("string").eqNullSafe(places["_source"]) & (F.xxhash64(docs["text"]) == places["_hash"])
-    out = docs.join(places, same)
-    order = ["_at", "_id", "_hash"]
-    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*[docs[c] for c in docs.columns])
+    places = mixed(docs, weights, block, total).groupBy("doc_id", "source", "text_hash").agg(F.min(F.struct("slot", "place")).alias("at"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & F.col("row.source").cast("string").eqNullSafe(F.col("source")) & (F.xxhash64("row.text") == F.col("text_hash"))
+    out = packed(docs).join(places, same)
+    order = ["at", "doc_id", "text_hash"]
+    return out.repartitionByRange(*order).sortWithinPartitions(*order).select(*unpacked(out, docs.columns))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import raw, shared_dir, written
+from .common import packed, raw, shared_dir, unpacked, written
 from .components import components
 from .text_hash import shingle_hashes, word_hashes
 
@@ -320,5 +320,6 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without id, and those that repeat a kept id, stay: no one else names them.
     """
-    named = join(docs).filter(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(named, docs["doc_id"] == named["_gone"], "left_anti")
+    gone = join(docs).filter(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    rows = packed(docs).join(gone, F.col("row.doc_id") == F.col("doc_id"), "left_anti")
+    return rows.select(*unpacked(rows, docs.columns))

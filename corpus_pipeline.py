@@ -25,7 +25,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of repeated three-line windows go; so do documents of which they leave nothing."""
     clean = linededup.dedup(docs)
-    return clean.filter((F.col("_n_removed") == 0) | (F.col("text") != "")).select(*docs.columns)
+    return clean.filter((F.col("n_removed") == 0) | (F.col("text") != "")).select(*docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
