@@ -71,9 +71,9 @@ def request_log(requests: DataFrame, most: int = 400, loose: int = 50) -> DataFr
     by_key = Window.partitionBy("url", matched, key).orderBy("seq")
     page = Window.partitionBy("url").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     out = requests.withColumn("_n", F.row_number().over(by_key)).filter(matched | (F.col("_n") == 1))
-    # rows before this one: repeats count among the first ``loose`` only
-    out = out.withColumn("_before", F.coalesce(F.sum(F.when((F.col("_n") == 1) | ~matched, 1).otherwise(0)).over(page), F.lit(0)))
-    out = out.filter(F.when(matched, (F.col("_n") == 1) | (F.col("_before") < loose)).otherwise(F.col("_before") < most))
+    # while a page has few rows every matched request is stored, so its rows so far are those of the log
+    out = out.withColumn("_before", F.count("*").over(page)).filter(~matched | (F.col("_n") == 1) | (F.col("_before") < loose))
+    out = out.withColumn("_before", F.count("*").over(page)).filter(matched | (F.col("_before") < most))
     return out.withColumn("request_url", F.when(matched, F.col("request_url")).otherwise(bare)).drop("_n", "_before")
 
 

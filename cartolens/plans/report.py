@@ -187,7 +187,7 @@ def request_totals(requests: DataFrame) -> DataFrame:
 
 def totals(report: DataFrame, occ: DataFrame, findings: DataFrame, vendors: list[str] | None = None) -> DataFrame:
     """(metric, value) of the whole report."""
-    a = report.agg(F.count("*").alias("applications"), F.count_if("flagged = 0").alias("applications_unflagged"), F.count_if("placement_summary = 'site-wide navigation'").alias("site_wide"))
+    a = report.agg(F.count("*").alias("applications"), F.count_if(F.col("flagged") == 0).alias("applications_unflagged"), F.count_if(F.col("placement_summary") == "site-wide navigation").alias("site_wide"))
     maps = occ.filter("how <> 'link'").agg(F.count_distinct("page_url").alias("pages_with_maps")) if vendors else findings.filter("placement = 'main_content' AND type <> 'map_link_only'").agg(F.count_distinct("url").alias("pages_with_maps"))
     parts = [a, occ.agg(F.count("*").alias("occurrences")), findings.agg(F.count("*").alias("findings")), maps]
     return reduce(DataFrame.unionByName, [x.unpivot([], x.columns, "metric", "value") for x in parts])
