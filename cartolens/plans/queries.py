@@ -394,12 +394,12 @@ def coverage_by_status(spark, d):
     return report.counts_by(queue_of(spark, d), "status")
 
 
-@query(f"WITH {_QUEUE}, {EXPECTED}, d AS (SELECT *, CAST(tier2_reason <> 'none' AS INTEGER) * CAST(status = 'done' AS INTEGER) AS done2 FROM q) SELECT 'discovered' AS metric, count(*) AS value FROM d UNION ALL SELECT 'crawled_tier1', count(*) FROM d WHERE tier1_done = 1 AND status <> 'skipped' UNION ALL SELECT 'rendered_tier2', sum(done2) FROM d UNION ALL SELECT 'pending', count(*) FROM d WHERE status = 'pending' UNION ALL SELECT 'failed', count(*) FROM d WHERE status = 'failed' UNION ALL SELECT 'skipped', count(*) FROM d WHERE status = 'skipped' UNION ALL SELECT 'tier1_hit_pages', count(DISTINCT url) FROM t1 WHERE placement = 'main_content' UNION ALL SELECT 'tier2_hit_pages', count(DISTINCT url) FROM t2")
+@query(f"WITH {_QUEUE}, {EXPECTED}, d AS (SELECT *, CAST(tier2_reason <> 'none' AS INTEGER) * CAST(status = 'done' AS INTEGER) AS done2 FROM q) SELECT 'discovered' AS metric, count(*) AS value FROM d UNION ALL SELECT 'crawled_tier1', count(*) FROM d WHERE tier1_done = 1 AND status <> 'skipped' UNION ALL SELECT 'rendered_tier2', CAST(sum(done2) AS BIGINT) FROM d UNION ALL SELECT 'pending', count(*) FROM d WHERE status = 'pending' UNION ALL SELECT 'failed', count(*) FROM d WHERE status = 'failed' UNION ALL SELECT 'skipped', count(*) FROM d WHERE status = 'skipped' UNION ALL SELECT 'tier1_hit_pages', count(DISTINCT url) FROM t1 WHERE placement = 'main_content' UNION ALL SELECT 'tier2_hit_pages', count(DISTINCT url) FROM t2")
 def coverage(spark, d):
     return report.coverage(queue_of(spark, d), both(spark, d))
 
 
-@query(f"WITH {_QUEUE} SELECT tier2_reason AS reason, sum(CAST(status = 'done' AS INTEGER)) AS rendered, count(*) AS scheduled FROM q WHERE tier2_reason <> 'none' GROUP BY 1")
+@query(f"WITH {_QUEUE} SELECT tier2_reason AS reason, CAST(sum(CAST(status = 'done' AS INTEGER)) AS BIGINT) AS rendered, count(*) AS scheduled FROM q WHERE tier2_reason <> 'none' GROUP BY 1")
 def tier2_by_reason(spark, d):
     return report.tier2_by_reason(queue_of(spark, d))
 
@@ -491,7 +491,7 @@ def retry_backoff(spark, d):
     return crawl.after_failure(q).select("seq", tx.backoff_ms(F.col("attempts"), 15_000).alias("wait_ms"), "status")
 
 
-@query("SELECT 'u' || user_id AS url, arg_max(event_type, event_id) AS status, count_if(event_type = 'in_progress') AS attempts FROM events GROUP BY 1")
+@query("SELECT 'u' || user_id AS url, arg_max(event_type, event_id) AS status, count(CASE WHEN event_type = 'in_progress' THEN 1 END) AS attempts FROM events GROUP BY 1")
 def queue_latest_state(spark, d):
     e = tables.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.col("event_id").alias("seq"), F.col("event_type").alias("event"), F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("error"), "ts")
     return crawl.queue_state(e).select("url", "status", "attempts")
