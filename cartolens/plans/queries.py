@@ -77,8 +77,9 @@ def tier2(spark: SparkSession, d: str) -> DataFrame:
 
 
 def both(spark: SparkSession, d: str) -> DataFrame:
+    """Findings of both tiers, written once: what follows reads them several times and must not parse pages again."""
     one, two = tier1(spark, d), tier2(spark, d)
-    return one.select(two.columns).unionByName(two)
+    return crawl.written(one.select(two.columns).unionByName(two), f"{crawl.shared_dir(spark)}/findings")
 
 
 #: The findings that the markup must give, and those of rendering.
