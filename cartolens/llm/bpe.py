@@ -14,6 +14,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .common import structs, text_or_empty
 
 #: Characters after which a long text is cut at the next safe boundary.
@@ -96,5 +97,6 @@ def digests(ranks_path: str, pattern: str):
 
 def token_digests(docs: DataFrame, ranks_path: str, pattern: str, text: Column | None = None) -> DataFrame:
     """Per document: doc_id, n_tokens, ids_sha256, decoded_sha256. One narrow pass, no shuffle; extra columns are ignored."""
+    ship(docs.sparkSession)
     d = digests(ranks_path, pattern)(text_or_empty(F.col("text") if text is None else text))
     return docs.select("doc_id", d.alias("d")).select("doc_id", "d.n_tokens", "d.ids_sha256", "d.decoded_sha256")

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import ship
 from .common import raw, structs
 from .text_hash import LETTERS
 
@@ -103,6 +104,7 @@ def train(languages: list[str], inputs: np.ndarray, target: np.ndarray, rounds:
 
 def fit(docs: DataFrame, allowed: Column | None = None, per_language: int = PER_LANGUAGE) -> Model:
     """Learns from text and lang of the allowed rows: for each language those whose id hashes lowest, about per_language."""
+    ship(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known if allowed is None else known.filter(allowed)
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
@@ -133,7 +135,7 @@ _FIELDS = [("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa
 
 def predictor(docs: DataFrame, model: Model):
     """A column function: whole text to lang_pred, score, ambiguous; the model is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.arrow_udf(T.StructType().add("lang_pred", "string").add("score", "double").add("ambiguous", "boolean"))
     def predict(texts: pa.Array) -> pa.Array:

@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import ship
 from .common import raw, structs, text_or_empty
 
 WIDTH = 64
@@ -165,6 +166,7 @@ def from_media(stored: pa.Array) -> pa.Array:
 
 def with_media(docs: DataFrame, name: str = "media") -> DataFrame:
     """``docs`` and a binary column of that name (one of the same name is replaced) with each whole text stored as PNG."""
+    ship(docs.sparkSession)
     return docs.withColumn(name, to_media(text_or_empty(F.col("text"))))
 
 

@@ -32,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..runtime import ship
 from .common import packed, raw, shared_dir, unpacked, written
 from .components import components
 from .text_hash import shingle_hashes, word_hashes
@@ -42,7 +43,7 @@ LONG = 32
 #: Classes with one shingle in one task's batch beyond which it is long at once.
 HOT = 512
 #: Postings that a bucket holds about, and that a task gathers before it sends them.
-PER_BUCKET, BATCH = 2_000_000, 1_500_000
+PER_BUCKET, BATCH = 1_000_000, 750_000
 CAP = 8192
 
 
@@ -259,7 +260,7 @@ def _blocks(members: DataFrame, sets: DataFrame, cap: int, root: str) -> DataFra
 
 def join(docs: DataFrame, cap: int = CAP) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (the least doc_id that links reach, its own included)."""
-    spark = docs.sparkSession
+    spark = ship(docs.sparkSession)
     root = shared_dir(spark)
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import ship
 from . import labelled
 from .common import raw, structs, text_or_empty
 from .text_hash import LOWER, word_hashes
@@ -150,6 +151,7 @@ def _features(texts: pa.Array) -> pa.Array:
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, target: str = "quality", per_class: int = PER_CLASS) -> Model:
     """A model from the labelled rows of ``allowed`` ids (all if None); reads the texts of at most 2 * per_class ids."""
+    ship(docs.sparkSession)
     picked, sizes = labelled.sample(labels, target, F.lit(True) if allowed is None else allowed, per_class)
     if picked is None:
         return _constant(0.5)
@@ -161,7 +163,7 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, targe
 
 def scorer(docs: DataFrame, model: Model):
     """A column function: whole text to score; the fixed-size model is broadcast."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = ship(docs.sparkSession).sparkContext.broadcast(model)
 
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:

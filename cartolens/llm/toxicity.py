@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..runtime import ship
 from . import labelled
 from .common import raw, structs, text_or_empty
 from .text_hash import ALNUM, word_hashes
@@ -188,6 +189,7 @@ def _counts(texts: pa.Array) -> pa.Array:
 
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, target: str = "toxic", per_class: int = PER_CLASS) -> Index:
     """An index of the labelled rows of ``allowed`` ids (all if None); reads the texts of at most 2 * per_class ids."""
+    ship(docs.sparkSession)
     picked, sizes = labelled.sample(labels, target, F.lit(True) if allowed is None else allowed, per_class)
     if picked is None:
         return _constant(0.5)
@@ -201,7 +203,7 @@ _FIELDS = [("score", pa.float64()), ("evidence", pa.list_(pa.int64()))]
 
 def scores(docs: DataFrame, index: Index, held_out: Column, threshold: float = THRESHOLD) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted, evidence (ids of the nearest examples); other columns are ignored."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)
+    shared = ship(docs.sparkSession).sparkContext.broadcast(index)
 
     @F.arrow_udf(T.StructType().add("score", "double").add("evidence", T.ArrayType(T.LongType())))
     def score(texts: pa.Array) -> pa.Array:

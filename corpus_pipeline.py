@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from cartolens.llm import bpe, linededup, mixing, ngram_join, quality
 from cartolens.llm.common import shared_dir, table, text_or_empty, written
+from cartolens.runtime import ship
 
 #: The stages learn from and depend on tables and a tokenizer that SQL cannot express.
 ORACLE_SQL = None
@@ -44,6 +45,7 @@ def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     The mix is the order of the files' names and of the rows in them; docs that come from no files have null places."""
     import public_tokenizers
 
+    ship(spark)
     ranks, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     text = text_or_empty(F.col("text"))
     try:
