@@ -19,7 +19,7 @@ from pyspark.sql.window import Window
 from .common import text_or_empty
 
 #: Longest run without a sentence's end that makes one leaf.
-LEAF = 200
+LEAF = 40
 PER_RANGE = 1500
 #: A leaf keeps 32 bits of its hash; the bit above them makes its hexadecimal form nine digits long, the first a 1.
 _LOW, _BIT = (1 << 32) - 1, 1 << 32
