@@ -42,6 +42,8 @@ SHINGLE = 5
 LONG = 32
 #: Classes with one shingle in one task's batch beyond which it is long at once.
 HOT = 512
+#: Parts that a long list is cut into, so that a list of a third of all classes meets in no one task.
+PARTS = 16
 #: Postings that a bucket holds about, and that a task gathers before it sends them.
 PER_BUCKET, BATCH = 1_000_000, 750_000
 CAP = 8192
@@ -283,8 +285,13 @@ def join(docs: DataFrame, cap: int = CAP) -> DataFrame:
     need = F.greatest(F.lit(1), F.least(spare(F.col("p.x.n")), spare(F.col("p.y.n"))) - F.least("p.x.n_long", "p.y.n_long"))
     close = (F.col("p.x.n") * 4 >= F.col("p.y.n") * 3) & (F.col("p.y.n") * 4 >= F.col("p.x.n") * 3)
     pairs = pairs.filter((F.col("c") >= need) & close).select(F.col("p.x.cls").alias("a"), F.col("p.y.cls").alias("b"))
-    loose = lists.filter("long").join(alive.filter("loose").select("cls"), "cls").select("list", "cls")
-    stars = loose.join(loose.groupBy("list").agg(F.min("cls").alias("b")), "list").select(F.col("cls").alias("a"), "b").distinct()
+    # a long list is cut into salted parts, its classes tied to their part's least one, and those to the list's
+    loose = lists.filter("long").join(alive.filter("loose").select("cls"), "cls")
+    loose = loose.select("list", "cls", F.pmod(F.xxhash64("cls"), F.lit(PARTS)).alias("part"))
+    least = loose.groupBy("list", "part").agg(F.min("cls").alias("b"))
+    inner = loose.join(least, ["list", "part"]).select(F.col("cls").alias("a"), "b")
+    outer = least.join(least.groupBy("list").agg(F.min("b").alias("c")), "list").select(F.col("b").alias("a"), F.col("c").alias("b"))
+    stars = inner.union(outer).filter("a <> b").distinct()
     groups = components(pairs.union(stars), root, "groups").select(F.col("node").alias("cls"), F.col("component").alias("grp"))
     groups = written(groups.join(groups.groupBy("grp").agg(F.count("*").alias("size")), "grp"), root, "grouped")
 
