@@ -118,17 +118,21 @@ def report(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) ->
 
 
 def sql(templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> str:
-    """DuckDB SQL of report() over the view documents: every window against every template, shingles as strings."""
+    """DuckDB SQL of report() over the view documents: shingles as strings joined to the templates', counted by window."""
     quoted = ", ".join(f"('{n}', '{' '.join(words_of(t))}', {size_of(t)[0]}, {size_of(t)[1]})" for n, t in templates)
+    kinds = sorted({size_of(t)[0] for _, t in templates})
+    shingle = lambda k: " || ' ' || ".join(["word", *[f"lead(word, {j}) OVER o" for j in range(1, k)]])
+    each = " UNION ALL ".join(f"SELECT rid, pos - 1 AS i, {k} AS k, {shingle(k)} AS sh FROM w WINDOW o AS (PARTITION BY rid ORDER BY pos)" for k in kinds)
     return f"""
 WITH t AS (SELECT license_id, string_split(body, ' ') AS w, k, reach FROM (VALUES {quoted}) v(license_id, body, k, reach)),
-own AS (SELECT license_id, k, reach, list_distinct(list_transform(range(len(w) - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' '))) AS own FROM t),
-d AS (SELECT DISTINCT doc_id, text, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
-s AS (SELECT doc_id, text, k, list_transform(range(greatest(len(w) - k + 1, 0)), lambda i: array_to_string(w[i + 1:i + k], ' ')) AS s FROM d, (SELECT DISTINCT k FROM own) q),
-win AS (SELECT s.doc_id, s.text, s.k, r.reach, i AS pos, list_distinct(s.s[i + 1:i + 2 * r.reach - s.k + 1]) AS part
-        FROM s, (SELECT DISTINCT k, reach FROM own) r, unnest(range(0, len(s.s), r.reach)) u(i) WHERE s.k = r.k),
-m AS (SELECT win.doc_id, win.text, own.license_id, win.pos, CAST(len(list_intersect(part, own.own)) AS DOUBLE) / len(own.own) AS contained
-      FROM win JOIN own ON win.k = own.k AND win.reach = own.reach)
+l AS (SELECT license_id, k, reach, list_distinct(list_transform(range(len(w) - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' '))) AS own FROM t),
+own AS (SELECT license_id, k, reach, len(own) AS size, unnest(own) AS sh FROM l),
+d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL) q),
+w AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
+s AS ({each}),
+h AS (SELECT rid, license_id, size, i, s.k, reach, own.sh FROM s JOIN own ON s.k = own.k AND s.sh = own.sh),
+u AS (SELECT *, i // reach * reach AS at_ FROM h UNION ALL SELECT *, i // reach * reach - reach FROM h),
+m AS (SELECT rid, license_id, at_ AS pos, CAST(count(DISTINCT sh) AS DOUBLE) / size AS contained FROM u WHERE at_ >= 0 AND i <= at_ + 2 * reach - k GROUP BY rid, license_id, at_, size)
 SELECT doc_id, license_id, count(*) AS n_windows, min(pos) AS first_word, max(contained) AS contained
-FROM m WHERE contained >= {containment} GROUP BY doc_id, text, license_id
+FROM m JOIN d USING (rid) WHERE contained >= {containment} GROUP BY rid, doc_id, license_id
 """
