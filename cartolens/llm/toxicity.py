@@ -1,10 +1,12 @@
 """Toxicity by the nearest labelled examples: exact TF-IDF cosine through a block-max inverted index.
 
-Fit: at most 2 * ``per_class`` labelled texts (a documented bound) become examples. Their vocabulary is the words whose
-presence tells the classes apart (likelihood ratio ``least_ratio``, at most ``max_words``); vectors are (1 + log tf) * idf of
-unit length. Examples are sorted by their heaviest word and cut into blocks; for each word the index holds its postings by
-block and each block's largest weight. Search: a text's words add up to an upper bound for every block; blocks are searched
-from the highest bound down until no bound beats the k-th best cosine, so the nearest k are exact. Ties go to the lower
+Fit: at most 2 * ``per_class`` labelled texts (a documented bound) become examples. Every word of two examples or more is
+indexed; vectors are (1 + log tf) * idf * relevance of unit length. Relevance, ((1 + G) / (16 + G))^2 of the likelihood ratio
+G between the classes, is never 0: it lets words that tell the classes apart outweigh a text's topic without dropping any.
+Examples are sorted by their heaviest word and cut into blocks; for each word the index holds its postings by block and each
+block's largest weight. Search: a text's words add up to an upper bound for every block; blocks are searched
+from the highest bound down until no bound beats the k-th best cosine, or all examples at once where the bounds are too alike
+to pass over any (most long texts); the nearest k are exact either way. Ties go to the lower
 example number. Votes weigh 1 / (distance + 0.05)^2 and by class, so that classes count as among all labelled rows; a
 logistic curve fitted to the examples' own leave-one-out votes makes them scores. Evidence: ids of the nearest examples.
 
@@ -28,15 +30,17 @@ from .common import raw, structs, text_or_empty
 from .text_hash import ALNUM, word_hashes
 
 PER_CLASS = 1500
-MAX_WORDS = 1024
-LEAST_RATIO = 15.0
-#: Besides, a word's likelihood ratio must reach this share of the number of examples.
-RATIO_SHARE = 0.02
+#: Examples that a word must stand in.
+LEAST_DF = 2
+#: Likelihood ratio at which a word's relevance is about a quarter; it doesn't depend on the number of examples.
+HALF = 15.0
 NEAREST = 40
 #: Lengths in bytes of the beginnings of words that count as words of their own.
 STEMS = (4, 5, 6)
 BLOCK = 64
-#: Blocks searched between two looks at the k-th best.
+#: Words whose weights of all examples are laid out in full; the result doesn't depend on it.
+COMMON = 2048
+#: Blocks searched before the first look at the k-th best; twice as many before each next.
 STEP = 6
 THRESHOLD = 0.3
 EVIDENCE = 3
@@ -47,10 +51,10 @@ def counts(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(word_hashes(data, ALNUM, STEMS), return_counts=True)
 
 
-def informative(words: list[np.ndarray], labels: np.ndarray, least: float, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted word hashes that tell the classes apart, and in how many examples each is."""
+def vocabulary(words: list[np.ndarray], labels: np.ndarray, least: float = 0.0, most: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted word hashes of ``LEAST_DF`` examples or more, in how many each is, and its likelihood ratio between the classes."""
     vocab, df = np.unique(np.concatenate(words), return_counts=True) if words else (np.empty(0, np.uint64), np.empty(0, int))
-    vocab, df = vocab[df >= 3], df[df >= 3]
+    vocab, df = vocab[df >= LEAST_DF], df[df >= LEAST_DF]
     hits = [w for w, y in zip(words, labels, strict=True) if y]
     found, n = np.unique(np.concatenate(hits), return_counts=True) if hits else (vocab[:0], df[:0])
     pos = np.zeros(len(vocab))
@@ -62,14 +66,15 @@ def informative(words: list[np.ndarray], labels: np.ndarray, least: float, most:
     ratio = np.zeros(len(vocab))
     for seen, expect in ((pos, df * toxic / total), (df - pos, df * (total - toxic) / total), (toxic - pos, (total - df) * toxic / total), (total - toxic - df + pos, (total - df) * (total - toxic) / total)):
         ratio += 2 * np.where(seen > 0, seen * np.log(np.maximum(seen, 1e-9) / np.maximum(expect, 1e-9)), 0)
+    ratio = np.maximum(ratio, 0)
     picked = np.sort(np.lexsort((vocab, -ratio))[:most])
     picked = picked[ratio[picked] >= least]
-    return vocab[picked], df[picked]
+    return vocab[picked], df[picked], ratio[picked]
 
 
 @dataclass
 class Index:
-    """Fixed size: postings as (word, example, weight), labels and ids of the examples, and the calibration."""
+    """Of the examples only: postings as (word, example, weight) in that order, labels and ids of the examples, and the calibration."""
 
     vocab: np.ndarray
     idf: np.ndarray
@@ -83,12 +88,24 @@ class Index:
     without: float
 
     def open(self) -> Index:
-        """Lays the postings out by block: [block, word, place], and each block's largest weight of a word: [word, block]."""
-        if not hasattr(self, "blocks"):
+        """Where the postings of each word and block start, each block's largest weight of a word: [word, block], and the
+        commonest words' weights of all examples: [row, example]."""
+        if not hasattr(self, "most"):
             n = -(-max(1, len(self.labels)) // BLOCK)
-            self.blocks = np.zeros((n, len(self.vocab), BLOCK), np.float32)
-            self.blocks[self.example // BLOCK, self.word, self.example % BLOCK] = self.weight
-            self.most = np.ascontiguousarray(self.blocks.max(2).T) if len(self.vocab) else np.zeros((0, n), np.float32)
+            cell = self.word.astype(np.int64) * n + self.example // BLOCK
+            self.starts = np.r_[0, np.cumsum(np.bincount(cell, minlength=len(self.vocab) * n))].astype(np.int32)
+            self.most = np.zeros((len(self.vocab), n), np.float32)
+            if len(cell):
+                first = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+                self.most.reshape(-1)[cell[first]] = np.maximum.reduceat(self.weight, first)
+            ends = self.starts[::n].astype(np.int64)
+            self.begin, self.end = ends[:-1], ends[1:]
+            common = np.argsort(self.begin - self.end, kind="stable")[:COMMON]
+            self.row = np.full(len(self.vocab), -1)
+            self.row[common] = np.arange(len(common))
+            self.dense = np.zeros((len(common), len(self.labels)), np.float32)
+            row = self.row[self.word]
+            self.dense[row[row >= 0], self.example[row >= 0]] = self.weight[row >= 0]
         return self
 
     def vector(self, words: np.ndarray, tf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -101,20 +118,49 @@ class Index:
 
     def nearest(self, at: np.ndarray, value: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and cosines of the k nearest examples that share a word; ``skip`` leaves one example out."""
-        bound = value @ self.most[at]
+        bound, n = np.einsum("i,ij->j", value, self.most[at]), self.most.shape[1]
+        if (bound >= bound.max(initial=0) / 2).sum() > n / 4:  # bounds so alike pass over little
+            return self._best(self._all(at, value), k, skip)
         found, sims = np.empty(0, int), np.empty(0, np.float32)
-        order = np.argsort(-bound, kind="stable")
-        for chunk in np.array_split(order, range(STEP, len(order), STEP)):
+        order, done, step = np.argsort(-bound, kind="stable"), 0, STEP
+        while done < n:
+            chunk = order[done : done + step]
             chunk = chunk[bound[chunk] > 0]
             if not len(chunk) or len(sims) >= k and bound[chunk[0]] * 1.000001 < sims[-1]:
                 break
-            new = np.tensordot(value, self.blocks[chunk[:, None], at], (0, 1))
-            number = (chunk[:, None] * BLOCK + np.arange(BLOCK))[hit := new > 0]
-            found, sims = np.r_[found, number[number != skip]], np.r_[sims, new[hit][number != skip]]
+            done, step = done + step, 2 * step
+            cell = (at[:, None].astype(np.int64) * n + chunk).ravel()
+            size = self.starts[cell + 1] - self.starts[cell]
+            place = np.repeat(self.starts[cell] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            new = np.bincount(self.example[place], self.weight[place] * np.repeat(np.repeat(value, len(chunk)), size), len(self.labels))
+            number = np.flatnonzero(new > 0)
+            number = number[number != skip]
+            found, sims = np.r_[found, number], np.r_[sims, new[number]]
             best = np.lexsort((found, -sims))[:k]
             found, sims = found[best], sims[best]
         return found, sims
 
+    def _all(self, at: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Cosines of all examples: common words by their rows, the others by their postings."""
+        row = self.row[at]
+        out = np.einsum("i,ij->j", value[row >= 0], self.dense[row[row >= 0]])
+        at, value = at[row < 0], value[row < 0]
+        if len(at):
+            begin, end = self.begin[at], self.end[at]
+            parts = [slice(*x) for x in zip(begin.tolist(), end.tolist(), strict=True)]
+            weight = np.concatenate([self.weight[x] for x in parts]) * np.repeat(value, end - begin)
+            out = out + np.bincount(np.concatenate([self.example[x] for x in parts]), weight, len(out))
+        return out
+
+    @staticmethod
+    def _best(sims: np.ndarray, k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        if skip >= 0:
+            sims[skip] = 0
+        least = np.partition(sims, -k)[-k] if len(sims) > k else 0
+        found = np.flatnonzero((sims >= least) & (sims > 0))
+        best = np.lexsort((found, -sims[found]))[:k]
+        return found[best], sims[found[best]]
+
     def vote(self, found: np.ndarray, sims: np.ndarray) -> float:
         near = 1 / (1.05 - np.minimum(sims, 1)) ** 2 * np.array(self.class_weight)[self.labels[found]]
         # one vote at distance 1 for the classes as they are keeps thin evidence from being sure
@@ -149,18 +195,19 @@ def _logistic(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> tuple[float, float
     return a, b
 
 
-def build(rows: list[tuple[int, int, np.ndarray, np.ndarray]], sizes: dict[int, int], least_ratio: float = LEAST_RATIO, max_words: int = MAX_WORDS) -> Index:
-    """From (id, label, word hashes, counts) of the examples and the class sizes among all labelled rows."""
+def build(rows: list[tuple[int, int, np.ndarray, np.ndarray]], sizes: dict[int, int], least_ratio: float = 0.0, max_words: int | None = None) -> Index:
+    """From (id, label, word hashes, counts) of the examples and the class sizes among all labelled rows; no word is cut by default."""
     if not rows:
         return _constant(0.5)
     labels = np.array([r[1] for r in rows])
     if len(set(labels.tolist())) < 2:
         n = len(rows)
         return _constant((n + 1) / (n + 2) if labels[0] else 1 / (n + 2))
-    vocab, df = informative([r[2] for r in rows], labels, max(least_ratio, RATIO_SHARE * len(rows)), max_words)
+    vocab, df, ratio = vocabulary([r[2] for r in rows], labels, least_ratio, max_words)
+    relevance = ((1 + ratio) / (1 + HALF + ratio)) ** 2
     total = sum(sizes.values())
     class_weight = tuple(sizes[y] / total / (labels == y).mean() for y in (0, 1))
-    index = Index(vocab, np.log(1 + len(rows) / np.maximum(df, 1)), *[np.empty(0, int)] * 3, labels, np.array([r[0] for r in rows]), class_weight, (1.0, 0.0), sizes[1] / total)
+    index = Index(vocab, np.log(1 + len(rows) / np.maximum(df, 1)) * relevance, *[np.empty(0, int)] * 3, labels, np.array([r[0] for r in rows]), class_weight, (1.0, 0.0), sizes[1] / total)
     vectors = [index.vector(*r[2:]) for r in rows]
     heaviest = [(int(at[value.argmax()]), -float(value.max())) if len(at) else (len(vocab), 0.0) for at, value in vectors]
     order = sorted(range(len(rows)), key=lambda i: (heaviest[i], i))
@@ -169,15 +216,18 @@ def build(rows: list[tuple[int, int, np.ndarray, np.ndarray]], sizes: dict[int,
     weigh = np.array(class_weight)[index.labels]
     empty = np.array([not len(at) for at, _ in vectors])
     index.without = float((weigh[empty & (index.labels == 1)].sum() + sizes[1] / total) / (weigh[empty].sum() + 1))
-    index.word = np.concatenate([at for at, _ in vectors]).astype(np.int32)
-    index.example = np.repeat(np.arange(len(rows)), [len(at) for at, _ in vectors]).astype(np.int32)
-    index.weight = np.concatenate([value for _, value in vectors]).astype(np.float32)
+    word = np.concatenate([at for at, _ in vectors]).astype(np.int32)
+    by_word = np.argsort(word, kind="stable")
+    index.word = word[by_word]
+    index.example = np.repeat(np.arange(len(rows)), [len(at) for at, _ in vectors]).astype(np.int32)[by_word]
+    index.weight = np.concatenate([value for _, value in vectors]).astype(np.float32)[by_word]
     index.open()
     votes = np.array([index.vote(*index.nearest(at, value, NEAREST, skip=i)) for i, (at, value) in enumerate(vectors) if len(at)])
     if len(votes):
         v = np.clip(votes, 1e-6, 1 - 1e-6)
         index.curve = _logistic(np.log(v / (1 - v)), index.labels[~empty], weigh[~empty])
-    del index.blocks, index.most
+    for name in ("starts", "most", "begin", "end", "row", "dense"):
+        delattr(index, name)
     return index
 
 

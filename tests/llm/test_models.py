@@ -85,6 +85,15 @@ def test_block_max_search_is_exact(tables):
         assert np.allclose(got, want, atol=1e-5)
 
 
+def test_toxicity_index_holds_every_repeated_word():
+    docs, labels = invented(900, 5)
+    rows = [(d[0], x[2], *toxicity.counts(d[1].encode())) for d, x in zip(docs, labels, strict=True)]
+    index = toxicity.build(rows, {0: sum(not r[1] for r in rows), 1: sum(r[1] for r in rows)})
+    words, df = np.unique(np.concatenate([r[2] for r in rows]), return_counts=True)
+    assert np.array_equal(index.vocab, words[df >= 2]) and np.all(index.idf > 0)
+    assert len(index.word) == df[df >= 2].sum()
+
+
 def test_languages(tables, docs_of):
     docs, _, _ = tables
     model = langid.fit(docs, fold(F.col("doc_id"), 3) != 1)
