@@ -1,14 +1,16 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 Each source's rows, in the order of a hash of their id, are laid end to end and cut into blocks of ``block`` units (characters).
-A source with integer weight w of a total W gets w blocks in every W slots: its k-th block of a period is released at
-floor(k W / w) and due at ceil((k + 1) W / w). Earliest-deadline-first over the released blocks meets every deadline, since
-the weights fill the slots exactly, so after any slot each source is less than one block away from its share. Periods repeat;
-when a source has run out, a new phase starts with the weights of the rest. Every row is kept, in one place.
+A source with weight w of a total W (the target weights themselves, as exact integers, never rounded) has its k-th block of a
+phase released at floor(k W / w) and due at ceil((k + 1) W / w). Earliest-deadline-first over the released blocks meets every
+deadline, since the weights fill the slots exactly, so after any slot each source is less than one block away from its share,
+however long the phase is. When a source has run out, a new phase starts with the weights of the rest. Every row is kept, in
+one place.
 
-Only one number a source reaches the driver, and what returns is one row for each source and phase with its slots in a
-period: bounded by ``MAX_SOURCES`` and the weights' total, whatever the number of rows. Running places are counted within
-(source, hash bucket) groups, so a source with most rows is spread over ``buckets`` groups.
+Only one number a source reaches the driver, ``MAX_SOURCES`` of them at most. The schedule is made on an executor as a stream:
+its state is a few numbers a source, its rows hold the slots of one source in a range of ``total`` slots, and it is joined to
+the rows by source and block, not broadcast. It is one pass in one task, over one number a block of text. Running places are
+counted within (source, hash bucket) groups, so a source with most rows is spread over ``buckets`` groups.
 
 Null texts have size one unit, as empty ones; a null source is a source of its own; rows of equal id and source are ordered
 by text hash, equal rows are interchangeable. An empty table gives an empty result.
@@ -17,42 +19,61 @@ by text hash, equal rows are interchangeable. An empty table gives an empty resu
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from fractions import Fraction
+from itertools import count, islice
+from math import lcm
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..runtime import ship
 from .common import packed, unpacked
 
 BLOCK = 1 << 16
 BUCKETS = 256
 MAX_SOURCES = 2000
+#: Slots of a range of the schedule: how it is cut into rows, nothing else.
 TOTAL = 1000
+#: Rows of the schedule in an Arrow batch.
+BATCH = 256
 
 
-def period(weights: list[int]) -> list[int]:
-    """For each slot of a period the number of the source that gets it, by EDF over released blocks (ties: lowest number)."""
+def turns(weights: list[int]) -> Iterator[int]:
+    """For each slot, without end, the number of the source that gets it, by EDF over released blocks (ties: lowest number)."""
     total = sum(weights)
-    waiting = [(0, i, 0) for i, w in enumerate(weights) if w]  # release, source, block of the period
+    waiting = [(0, i, 0) for i, w in enumerate(weights) if w]  # release, source, block
     heapq.heapify(waiting)
     ready: list[tuple[int, int, int]] = []
-    out = []
-    for slot in range(total):
+    for slot in count():
         while waiting and waiting[0][0] <= slot:
             _, i, k = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(k + 1) * total // weights[i]), i, k))
         _, i, k = heapq.heappop(ready)
-        out.append(i)
-        if k + 1 < weights[i]:
-            heapq.heappush(waiting, ((k + 1) * total // weights[i], i, k + 1))
-    return out
+        yield i
+        heapq.heappush(waiting, ((k + 1) * total // weights[i], i, k + 1))
+
+
+def period(weights: list[int]) -> list[int]:
+    """The turns after which each source has had its integer weight."""
+    return list(islice(turns(weights), sum(weights)))
+
+
+def exact(weights: Mapping[object, float]) -> dict[object, int]:
+    """Weights as integers in exactly the same proportions."""
+    if any(not w > 0 for w in weights.values()):
+        raise ValueError("target weights must be positive")
+    shares = {k: Fraction(w) for k, w in weights.items()}
+    scale = lcm(*(w.denominator for w in shares.values()))
+    return {k: int(w * scale) for k, w in shares.items()}
 
 
 def whole(weights: Mapping[object, float], total: int = TOTAL) -> dict[object, int]:
-    """Weights as positive integers that add up to about ``total``: shares by largest remainder, one at least."""
+    """Weights as positive integers that add up to about ``total``: rounded, one at least; the schedule doesn't use them."""
     if any(not w > 0 for w in weights.values()):
         raise ValueError("target weights must be positive")
     scale = max(total, len(weights)) / sum(weights.values())
@@ -61,7 +82,7 @@ def whole(weights: Mapping[object, float], total: int = TOTAL) -> dict[object, i
 
 @dataclass
 class Phase:
-    """From block ``first`` of a source on, ``count`` blocks: block first + n * len(slots) + j goes to slot start + n * length + slots[j]."""
+    """A source's part of a range of ``length`` slots at most: block first + j goes to slot start + slots[j], for j under ``count``."""
 
     source: object
     first: int
@@ -71,26 +92,27 @@ class Phase:
     slots: list[int]
 
 
-def phases(blocks: Mapping[object, int], weights: Mapping[object, float], total: int = TOTAL) -> list[Phase]:
-    """The schedule of given numbers of blocks. Each phase repeats whole periods and ends within the one in which some source
-    has no block left for its next turn; the next phase's weights leave that source out."""
-    left, done, start, out = dict(blocks), dict.fromkeys(blocks, 0), 0, []
+def phases(blocks: Mapping[object, int], weights: Mapping[object, float], total: int = TOTAL) -> Iterator[Phase]:
+    """The schedule of given numbers of blocks, in ranges of at most ``total`` slots. A phase ends at the first turn that its
+    source cannot take; the next phase's weights leave that source out."""
+    left, done, start = dict(blocks), dict.fromkeys(blocks, 0), 0
     while active := sorted((s for s in left if left[s]), key=lambda s: (s is None, str(s))):
-        share = whole({s: weights[s] for s in active}, total)
-        order = period([share[s] for s in active])
-        places = {s: [i for i, x in enumerate(order) if active[x] == s] for s in active}
-        rounds = min(left[s] // share[s] for s in active)
-        # within the next period, the first turn that its source cannot take
-        rest = {s: left[s] - rounds * share[s] for s in active}
-        stop = min((places[s][rest[s]] for s in active if rest[s] < share[s]), default=0)
-        for s in active:
-            taken = rounds * share[s] + sum(p < stop for p in places[s])
-            if taken:
-                out.append(Phase(s, done[s], taken, start, len(order), places[s]))
-            done[s] += taken
-            left[s] -= taken
-        start += rounds * len(order) + stop
-    return out
+        shares = exact({s: weights[s] for s in active})
+        order, ended = turns([shares[s] for s in active]), False
+        while not ended:
+            places: dict[object, list[int]] = {}
+            length = 0
+            while length < total:
+                s = active[next(order)]
+                if ended := not left[s]:
+                    break
+                places.setdefault(s, []).append(length)
+                left[s] -= 1
+                length += 1
+            for s, slots in places.items():
+                yield Phase(s, done[s], len(slots), start, length, slots)
+                done[s] += len(slots)
+            start += length
 
 
 def tempered(sizes: Mapping[object, int], power: float = 0.5) -> dict[object, float]:
@@ -98,7 +120,8 @@ def tempered(sizes: Mapping[object, int], power: float = 0.5) -> dict[object, fl
     return {s: n**power for s, n in sizes.items()}
 
 
-_SCHEDULE = T.StructType().add("_key", "string").add("_first", "long").add("_end", "long").add("_start", "long").add("_length", "long").add("_slots", T.ArrayType(T.LongType()))
+_SCHEDULE = T.StructType().add("_key", "string").add("_first", "long").add("_start", "long").add("_slots", T.ArrayType(T.LongType()))
+_ARROW = pa.schema([("_key", pa.string()), ("_first", pa.int64()), ("_start", pa.int64()), ("_slots", pa.list_(pa.int64()))])
 
 
 def _key(source: Column) -> Column:
@@ -120,7 +143,7 @@ def _placed(docs: DataFrame, buckets: int) -> DataFrame:
 
 
 def schedule(docs: DataFrame, weights: Mapping[object, float] | None = None, block: int = BLOCK, total: int = TOTAL, max_sources: int = MAX_SOURCES) -> DataFrame:
-    """The Pfair schedule as a small table: a row for each source and phase. ``weights`` by source (None is a null source);
+    """The Pfair schedule as a table: a row for each source and range of slots. ``weights`` by source (None is a null source);
     sources that it leaves out are an error, and none at all means tempered sizes."""
     size = F.greatest(F.lit(1), F.coalesce(F.length("text"), F.lit(0))).cast("long")
     found = docs.groupBy("source").agg(F.sum(size).alias("n")).limit(max_sources + 1).collect()
@@ -128,21 +151,31 @@ def schedule(docs: DataFrame, weights: Mapping[object, float] | None = None, blo
         raise ValueError(f"more than {max_sources} sources")
     sizes = {r["source"]: r["n"] for r in found}
     targets = tempered(sizes) if weights is None else {s: weights[s] for s in sizes}
-    plan = phases({s: -(-n // block) for s, n in sizes.items()}, targets, total) if sizes else []
-    key = lambda s: "n" if s is None else f"s{s}"
-    return docs.sparkSession.createDataFrame([(key(p.source), p.first, p.first + p.count, p.start, p.length, p.slots) for p in plan], _SCHEDULE)
+    exact(targets)
+    blocks = {s: -(-n // block) for s, n in sizes.items()}
+    ship(docs.sparkSession)
+
+    def rows(batches):
+        for _ in batches:
+            plan = phases(blocks, targets, total)
+            while part := list(islice(plan, BATCH)):
+                keys = ["n" if p.source is None else f"s{p.source}" for p in part]
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((keys, [p.first for p in part], [p.start for p in part], [p.slots for p in part]), _ARROW, strict=True)], schema=_ARROW)
+
+    return docs.sparkSession.range(0, 1, 1, 1).mapInArrow(rows, _SCHEDULE)
 
 
 def mixed(docs: DataFrame, weights: Mapping[object, float] | None = None, block: int = BLOCK, total: int = TOTAL, buckets: int = BUCKETS) -> DataFrame:
     """Per row: doc_id, source, text_hash, block (of its source, by where the row begins), slot (of the mix), place (units of
     the block before the row). Sorting by slot, place, doc_id, text_hash gives the mix."""
-    plan = F.broadcast(schedule(docs, weights, block, total))
+    turn = F.posexplode("_slots").alias("_at", "_turn")
+    plan = schedule(docs, weights, block, total).select("_key", "_first", "_start", turn)
+    # a merge join: what Spark supposes of the schedule's size is that of one row, and it must not be broadcast for that
+    plan = plan.select("_key", (F.col("_first") + F.col("_at")).alias("_b"), (F.col("_start") + F.col("_turn")).alias("_slot")).hint("merge")
     rows = _placed(docs, buckets).withColumn("_block", F.floor(F.col("_begin") / block).cast("long")).withColumnRenamed("_key", "_k")
-    rows = rows.join(plan, (F.col("_k") == F.col("_key")) & (F.col("_block") >= F.col("_first")) & (F.col("_block") < F.col("_end")))
-    n, width = F.col("_block") - F.col("_first"), F.size("_slots")
-    slot = F.col("_start") + F.floor(n / width) * F.col("_length") + F.get("_slots", (n % width).cast("int"))
+    rows = rows.join(plan, (F.col("_k") == F.col("_key")) & (F.col("_block") == F.col("_b")))
     source = F.when(F.col("_k") == "n", F.lit(None)).otherwise(F.substring("_k", 2, 1 << 30))
-    return rows.select("doc_id", source.alias("source"), F.col("_th").alias("text_hash"), F.col("_block").alias("block"), slot.cast("long").alias("slot"), (F.col("_begin") % block).cast("long").alias("place"), F.col("_size").alias("size"))
+    return rows.select("doc_id", source.alias("source"), F.col("_th").alias("text_hash"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), (F.col("_begin") % block).cast("long").alias("place"), F.col("_size").alias("size"))
 
 
 def in_order(docs: DataFrame, weights: Mapping[object, float] | None = None, block: int = BLOCK, total: int = TOTAL) -> DataFrame:

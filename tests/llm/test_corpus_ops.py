@@ -38,6 +38,19 @@ def test_phases_place_every_block_once():
         assert count == blocks and slots == set(range(sum(blocks.values())))
 
 
+def test_long_phases_keep_to_unrounded_targets():
+    for weights, blocks in (({f"s{i}": 1.0 for i in range(20)} | {"big": 10**0.5}, 3000), ({"few": 0.00005, "most": 0.99995}, 60000), ({f"s{i}": 0.667 / 1499 for i in range(1499)} | {"big": 0.333}, 20)):
+        total = sum(map(Fraction, weights.values()))
+        slots = {}
+        for p in mixing.phases({s: blocks for s in weights}, weights):
+            for j in range(p.count):
+                slots.setdefault(p.source, []).append(p.start + j // len(p.slots) * p.length + p.slots[j % len(p.slots)])
+        end = min(x[-1] for x in slots.values())  # the first source runs out
+        for s, x in slots.items():
+            w = Fraction(weights[s]) / total
+            assert all(k < w * (t + 1) < k + 2 and k - 1 < w * t < k + 1 for k, t in enumerate(x) if t <= end)
+
+
 def test_mix_deviates_by_less_than_a_block(spark, docs_of):
     rng = random.Random(6)
     docs = docs_of([(i, "x" * rng.randint(1, 30), "en", "abc"[min(2, i % 5)], 1) for i in range(1200)])
