@@ -24,7 +24,7 @@ SHINGLE = 5
 BANDS = 128
 CONTAINMENT = 0.75
 
-#: Short notices of common licenses, by SPDX id.
+#: Fixed values by SPDX id: short notices, opening clauses (-text), passages of bodies (-body) and identifier lines (-spdx).
 TEMPLATES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0-only", "licensed under the GNU General Public License, version 3."),
@@ -36,6 +36,65 @@ TEMPLATES = [
     ("Apache-2.0-text", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS"),
     ("MPL-2.0-text", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("CC0-1.0-text", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work"),
+    ("All-rights-reserved", "All rights reserved."),
+    ("GPL-2.0", "GNU General Public License, version 2"),
+    ("LGPL-2.1", "GNU Lesser General Public License, version 2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License, version 3"),
+    ("LGPL-text", "under the terms of the GNU Lesser General Public License"),
+    ("AGPL-3.0", "GNU Affero General Public License, version 3"),
+    ("AGPL-text", "under the terms of the GNU Affero General Public License"),
+    ("AGPL-3.0-body", "Notwithstanding any other provision of this License, if you modify the Program, your modified version must prominently offer all users interacting with it remotely through a computer network"),
+    ("BSD-2-Clause", "BSD 2-Clause"),
+    ("BSD-3-Clause", "BSD 3-Clause"),
+    ("BSD-2-Clause-body", "materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY"),
+    ("BSD-3-Clause-body", "nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("ISC", "ISC License"),
+    ("ISC-body", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies"),
+    ("MIT-body", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("Unlicense-text", "This is free and unencumbered software released into the public domain"),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    ("CC-BY-4.0-text", "Creative Commons Attribution 4.0 International"),
+    ("CC-BY-SA-4.0-text", "Creative Commons Attribution-ShareAlike 4.0 International"),
+    ("CC-BY-NC-4.0-text", "Creative Commons Attribution-NonCommercial 4.0 International"),
+    ("Apache-2.0-spdx", "License-Identifier: Apache-2.0"),
+    ("GPL-2.0-spdx", "License-Identifier: GPL-2.0"),
+    ("GPL-3.0-spdx", "License-Identifier: GPL-3.0"),
+    ("LGPL-2.1-spdx", "License-Identifier: LGPL-2.1"),
+    ("LGPL-3.0-spdx", "License-Identifier: LGPL-3.0"),
+    ("AGPL-3.0-spdx", "License-Identifier: AGPL-3.0"),
+    ("BSD-2-Clause-spdx", "License-Identifier: BSD-2-Clause"),
+    ("BSD-3-Clause-spdx", "License-Identifier: BSD-3-Clause"),
+    ("MPL-2.0-spdx", "License-Identifier: MPL-2.0"),
+    ("CC0-1.0-spdx", "License-Identifier: CC0-1.0"),
+    ("CC-BY-4.0-spdx", "License-Identifier: CC-BY-4.0"),
+    ("CC-BY-SA-4.0-spdx", "License-Identifier: CC-BY-SA-4.0"),
+    ("CC-BY-NC-4.0-spdx", "License-Identifier: CC-BY-NC-4.0"),
+    ("MIT-spdx", "License-Identifier: MIT"),
+    ("ISC-spdx", "License-Identifier: ISC"),
+    ("Unlicense-spdx", "License-Identifier: Unlicense"),
+    # long bodies: passages of 32 words from their first, middle and last thirds; AGPL-3.0 holds most of the body of GPL-3.0
+    ("GPL-2.0-body-1", "license exception if the program itself is interactive but does not normally print such an announcement your work based on the program is not required to print an announcement these requirements apply"),
+    ("GPL-2.0-body-2", "1 and 2 above on a medium customarily used for software interchange or c accompany it with the information you received as to the offer to distribute corresponding source code this alternative"),
+    ("GPL-2.0-body-3", "to make thoroughly clear what is believed to be a consequence of the rest of this license 8 if the distribution and or use of the program is restricted in certain countries"),
+    ("GPL-3.0-body-1", "this free software for both users and authors sake the gpl requires that modified versions be marked as changed so that their problems will not be attributed erroneously to authors of previous"),
+    ("GPL-3.0-body-2", "appropriate legal notices however if the program has interactive interfaces that do not display appropriate legal notices your work need not make them do so a compilation of a covered work with"),
+    ("GPL-3.0-body-3", "of one or subdividing an organization or merging organizations if propagation of a covered work results from an entity transaction each party to that transaction who receives a copy of the work"),
+    ("LGPL-2.1-body-1", "version so that the original author s reputation will not be affected by problems that might be introduced by others finally software patents pose a constant threat to the existence of any"),
+    ("LGPL-2.1-body-2", "of the library if the user installs one as long as the modified version is interface compatible with the version that the work was made with c accompany the work with a"),
+    ("LGPL-2.1-body-3", "of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version this library is distributed"),
+    ("LGPL-3.0-body-1", "public license the library refers to a covered work governed by this license other than an application or a combined work as defined below an application is any work that makes use"),
+    ("LGPL-3.0-body-2", "its purpose remains meaningful or b under the gnu gpl with none of the additional permissions of this license applicable to that copy 3 object code incorporating material from library header files"),
+    ("LGPL-3.0-body-3", "provide installation information but only if you would otherwise be required to provide such information under section 6 of the gnu gpl and only to the extent that such information is necessary"),
+    ("Apache-2.0-body-1", "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution 1 definitions license shall mean the terms and conditions for use reproduction"),
+    ("Apache-2.0-body-2", "by such contributor that are necessarily infringed by their contribution s alone or by combination of their contribution s with the work to which such contribution s was submitted if you institute"),
+    ("Apache-2.0-body-3", "license does not grant permission to use the trade names trademarks service marks or product names of the licensor except as required for reasonable and customary use in describing the origin of"),
+    ("MPL-2.0-body-1", "a contributor and that particular contributor s contribution 1 3 contribution means covered software of a particular contributor 1 4 covered software means source code form to which the initial contributor has"),
+    ("MPL-2.0-body-2", "rights to its contributions conveyed by this license 2 6 fair use this license is not intended to limit any rights you have under applicable copyright doctrines of fair use fair dealing"),
+    ("MPL-2.0-body-3", "to this license may be brought only in the courts of a jurisdiction where the defendant maintains its principal place of business and such litigation shall be governed by laws of that"),
+    ("CC0-1.0-body-1", "creative commons legal code cc0 1 0 universal creative commons corporation is not a law firm and does not provide legal services distribution of this document does not create an attorney client"),
+    ("CC0-1.0-body-2", "right to reproduce adapt distribute perform display communicate and translate a work ii moral rights retained by the original author s and or performer s iii publicity and privacy rights pertaining to"),
+    ("CC0-1.0-body-3", "of purpose in addition to the extent the waiver is so judged affirmer hereby grants to each affected person a royalty free non transferable non sublicensable non exclusive irrevocable and unconditional license"),
 ]
 
 

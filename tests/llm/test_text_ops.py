@@ -177,3 +177,13 @@ def test_licenses_sql_and_odd_inputs(docs_of):
     assert sorted(repr(tuple(r[n] for n in names.split(", "))) for r in got) == want
     assert {r["license_id"] for r in got if r["doc_id"] == 44} == set(body)
     assert rows(licenses.report(docs_of([]))) == []
+
+
+def test_licenses_cover_usual_families_and_keep_them_apart(docs_of):
+    gnu = "This program is free software; you can redistribute it under the terms of the GNU {} Public License, version {}."
+    docs = [(1, "Some prose. Copyright 2020, all rights reserved. More."), (2, gnu.format("General", "2")), (3, gnu.format("Lesser General", "2.1")), (4, gnu.format("Affero General", "3")), (5, "BSD 2-Clause"), (6, "Licensed under CC BY 4.0."), (7, "Licensed under CC BY-SA 4.0."), (8, "Licensed under CC BY-NC 4.0."), (9, "This is free and unencumbered software released into the public domain."), (10, "ISC License"), (11, "SPDX-License-Identifier: MIT"), (12, "licensed under the GNU General Public License, version 3.")]
+    want = {1: {"All-rights-reserved"}, 2: {"GPL-2.0"}, 3: {"LGPL-2.1", "LGPL-text"}, 4: {"AGPL-3.0", "AGPL-text"}, 5: {"BSD-2-Clause"}, 6: {"CC-BY-4.0"}, 7: {"CC-BY-SA-4.0"}, 8: {"CC-BY-NC-4.0"}, 9: {"Unlicense-text"}, 10: {"ISC"}, 11: {"MIT-spdx"}, 12: {"GPL-3.0-only"}}
+    got = {}
+    for r in licenses.report(docs_of(docs)).collect():
+        got.setdefault(r["doc_id"], set()).add(r["license_id"])
+    assert got == want
