@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from itertools import count
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,20 +88,23 @@ def add_links(frontier: DataFrame, known: DataFrame, scope: Scope, allowed: Colu
     return links.select("url", "seq", "source", F.when(ok, "pending").otherwise("skipped").alias("status"), F.when(~ok, "robots_disallow").alias("skip_reason"))
 
 
-def discover(seeds: DataFrame, edges: DataFrame, max_urls: int | None = None, max_rounds: int = 1000) -> DataFrame:
+def discover(seeds: DataFrame, edges: DataFrame, max_urls: int | None = None, max_rounds: int | None = None) -> DataFrame:
     """Breadth-first search: (url, depth) of all URLs that edges (src, dst) reach from seeds (url), the nearest first.
 
     Each round is written to the shared folder. With ``max_urls`` the search stops when so many are known; ties of the last
-    round go by URL, so the result does not depend on partitioning.
+    round go by URL, so the result does not depend on partitioning. It goes on until no
+    new URL is found; a frontier left after ``max_rounds`` rounds, if given, is an error.
     """
     spark = seeds.sparkSession
     root = shared_dir(spark)
     edges = written(edges.select("src", "dst").distinct(), f"{root}/edges")
     known = frontier = written(seeds.select("url").distinct().select("url", F.lit(0).alias("depth")), f"{root}/0")
     total = known.count()
-    for depth in range(1, max_rounds + 1):
+    for depth in count(1):
         if max_urls is not None and total >= max_urls:
             return known.orderBy("depth", "url").limit(max_urls)
+        if max_rounds is not None and depth > max_rounds:
+            raise ValueError(f"a frontier is left after {max_rounds} rounds")
         step = edges.join(frontier.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
         frontier = written(step.join(known.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth")), f"{root}/{depth}")
         if not (n := frontier.count()):

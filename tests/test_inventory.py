@@ -158,6 +158,12 @@ def test_route_and_requests(spark, pages):
     assert sorted(r["request_url"] for r in kept if not r["matched_rule"]) == [f"https://u/{i}" for i in range(5)]
 
 
+def test_discovery_does_not_end_early_in_silence(spark):
+    seeds, edges = spark.createDataFrame([("a",)], "url string"), spark.createDataFrame([("a", "b"), ("b", "c")], "src string, dst string")
+    with pytest.raises(ValueError):
+        crawl.discover(seeds, edges, max_rounds=1)
+
+
 def test_crawl_operators(spark):
     seeds = spark.createDataFrame([("a",)], "url string")
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("x", "y")], "src string, dst string")
