@@ -3,7 +3,8 @@
 score = sigmoid(w0 + sum w_i x_i + 1/2 sum_f ((sum v_if x_i)^2 - sum v_if^2 x_i^2)), linear in a text's distinct words.
 The model is fitted on at most 2 * ``per_class`` labelled texts (a documented bound), weighted back to the class sizes of
 all labelled rows; every text is then scored whole, in one narrow pass. Null texts count as empty and get a score too.
-Without labelled rows every score is 0.5; with one class, that class's smoothed share.
+Of a repeated id the text of least hash is learned from. Without labelled rows every score is 0.5; with one class, that
+class's smoothed share; an empty table gives no rows. Repeated rows get equal scores, extra columns are kept or ignored.
 """
 
 from __future__ import annotations
@@ -155,9 +156,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, targe
     picked, sizes = labelled.sample(labels, target, F.lit(True) if allowed is None else allowed, per_class)
     if picked is None:
         return _constant(0.5)
-    texts = docs.select("doc_id", text_or_empty(F.col("text")).alias("text")).join(F.broadcast(picked), "doc_id")
-    rows = texts.select("doc_id", "y", _features("text").alias("f")).select("doc_id", "y", "f.*").limit(4 * per_class).collect()
-    rows = sorted(((r["doc_id"], r["y"], np.array(r["index"], np.int32), np.array(r["value"], np.float32), np.array(r["stat"], np.float32)) for r in rows), key=lambda r: (r[0], r[1], len(r[2])))
+    rows = labelled.texts(docs, picked).select("doc_id", "y", _features("text").alias("f")).select("doc_id", "y", "f.*").collect()
+    rows = sorted(((r["doc_id"], r["y"], np.array(r["index"], np.int32), np.array(r["value"], np.float32), np.array(r["stat"], np.float32)) for r in rows), key=lambda r: r[0])
     return train([r[1:] for r in rows], sizes)
 
 
