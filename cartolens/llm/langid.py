@@ -3,8 +3,10 @@
 Each language has a codeword; a logistic classifier over hashed byte 1- to 3-grams of the letters predicts each bit;
 decoding adds each bit's logistic loss, weighted by how well that bit was learned, and takes the nearest codeword.
 ``ambiguous`` marks texts whose second nearest codeword is almost as near. Texts that are null or without any letter are
-``und`` with score 0; with no learned language all are. The fit takes at most ``per_language`` texts of a language and
-``max_languages`` languages (documented bounds; more languages raise an error); all texts are predicted whole.
+``und`` with score 0; with no learned language all are. The fit takes about ``per_language`` texts of a language, fewer where
+they would be more than ``SAMPLE`` in all, of the ``MAX_LANGUAGES`` most frequent languages (documented bounds); which ones depends
+on ids and texts only, and repeated rows count once. All texts are predicted whole, equal ones alike; extra columns are ignored and
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from .text_hash import LETTERS
 
 DIMS = 1 << 12
 PER_LANGUAGE = 250
-MAX_LANGUAGES = 200
+MAX_LANGUAGES, SAMPLE = 1000, 10_000
 #: Softmax share below which a prediction is flagged.
 SURE = 0.6
 
@@ -107,27 +109,30 @@ def fit(docs: DataFrame, allowed: Column | None = None, per_language: int = PER_
     ship(docs.sparkSession)
     known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
     known = known if allowed is None else known.filter(allowed)
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(sizes) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
+    most = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES)
+    sizes = {r["lang"]: r["n"] for r in most.collect()}
     if not sizes:
         return Model([], np.zeros((0, 0)), np.zeros((DIMS, 0)), np.zeros(0), np.zeros(0))
-    languages = sorted(sizes)
-    share = F.create_map(*[F.lit(x) for k in languages for x in (k, per_language / sizes[k])])
-    draw = (F.xxhash64("doc_id", "text") % 1_000_000 + 1_000_000) / 2_000_000
-    rows = known.filter(draw < share[F.col("lang")]).select("doc_id", "lang", _grams("text").alias("g")).limit(3 * per_language * len(languages)).collect()
-    rows.sort(key=lambda r: (r["lang"], r["doc_id"] is None, r["doc_id"], bytes(r["g"])))
-    rows = [r for r in rows if r["lang"] in sizes]
+    wanted = min(per_language, max(1, SAMPLE // len(sizes)))
+    share = F.create_map(*[F.lit(x) for k in sorted(sizes) for x in (k, wanted / sizes[k])])
+    h = F.xxhash64("doc_id", "text")
+    drawn = known.select("lang", "text", h.alias("h")).filter((F.col("h") % 1_000_000 + 1_000_000) / 2_000_000 < share[F.col("lang")])
+    rows = drawn.dropDuplicates(["lang", "h"]).select("lang", "h", _grams("text").alias("g")).select("lang", "h", "g.*").collect()
+    rows.sort(key=lambda r: (r["lang"], r["h"]))
     languages = sorted({r["lang"] for r in rows})
     if not rows:
         return Model([], np.zeros((0, 0)), np.zeros((DIMS, 0)), np.zeros(0), np.zeros(0))
-    inputs = np.stack([np.frombuffer(r["g"], np.float16).astype(np.float32) for r in rows])
+    inputs = np.zeros((len(rows), DIMS), np.float32)
+    for i, r in enumerate(rows):
+        inputs[i, np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["value"], "<f2")
     return train(languages, inputs, np.array([languages.index(r["lang"]) for r in rows]))
 
 
-@F.arrow_udf(T.BinaryType())
+@F.arrow_udf(T.StructType().add("at", T.BinaryType()).add("value", T.BinaryType()))
 def _grams(texts: pa.Array) -> pa.Array:
-    return pa.array([grams(x).astype(np.float16).tobytes() for x in raw(texts)], pa.binary())
+    """Numbers and values of the grams that a text has."""
+    found = [grams(x) for x in raw(texts)]
+    return structs([((at := np.flatnonzero(g)).astype("<u2").tobytes(), g[at].astype("<f2").tobytes()) for g in found], [("at", pa.binary()), ("value", pa.binary())])
 
 
 _FIELDS = [("lang_pred", pa.string()), ("score", pa.float64()), ("ambiguous", pa.bool_())]

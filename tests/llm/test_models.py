@@ -71,27 +71,33 @@ def test_fm_margin_is_the_pairwise_sum():
     assert m.margin(index, value) == pytest.approx(0.3 + m.linear[index] @ value + pairs, rel=1e-4)
 
 
-def test_block_max_search_is_exact(tables):
-    docs, labels = invented(900, 3)
+def test_block_max_search_is_exact(monkeypatch):
+    """Against cosines of whole TF-IDF vectors, made word by word from the counts, without index, blocks or matrix product."""
+    docs, labels = invented(500, 3)
     rows = [(d[0], x[2], *toxicity.counts(d[1].encode())) for d, x in zip(docs, labels, strict=True)]
-    index = toxicity.build(rows, {0: 700, 1: 120}, least_ratio=0.5, max_words=400).open()
-    dense = np.zeros((len(index.labels), len(index.vocab)), np.float32)
-    dense[index.example, index.word] = index.weight
-    for d in docs[:60]:
-        at, value = index.vector(*toxicity.counts(d[1].encode()))
-        sims = dense[:, at] @ value
-        want = np.sort(sims[sims > 0])[::-1][:7]
-        _, got = index.nearest(at, value, 7)
-        assert np.allclose(got, want, atol=1e-5)
-
-
-def test_toxicity_index_holds_every_repeated_word():
-    docs, labels = invented(900, 5)
-    rows = [(d[0], x[2], *toxicity.counts(d[1].encode())) for d, x in zip(docs, labels, strict=True)]
-    index = toxicity.build(rows, {0: sum(not r[1] for r in rows), 1: sum(r[1] for r in rows)})
-    words, df = np.unique(np.concatenate([r[2] for r in rows]), return_counts=True)
-    assert np.array_equal(index.vocab, words[df >= 2]) and np.all(index.idf > 0)
-    assert len(index.word) == df[df >= 2].sum()
+    texts = [d[1].encode() for d in docs[:40]] + [b"unknown words only", ("tor ben " * 5000).encode()]
+    scored = []
+    for common in (2048, 16, 0):
+        monkeypatch.setattr(toxicity, "COMMON", common)
+        index = toxicity.build(rows, {0: 700, 1: 120}).open()
+        weight = dict(zip(index.vocab.tolist(), index.idf.tolist(), strict=True))
+        assert len(weight) == len({w for r in rows for w in r[2].tolist()}) and min(weight.values()) > 0
+
+        def unit(words, tf, weight=weight):
+            v = {w: (1 + np.log(n)) * weight[w] for w, n in zip(words.tolist(), tf.tolist(), strict=True) if w in weight}
+            norm = np.sqrt(sum(x * x for x in v.values()))
+            return {w: x / norm for w, x in v.items()}
+
+        examples = {r[0]: unit(*r[2:]) for r in rows}
+        for text in texts:
+            q = unit(*toxicity.counts(text))
+            sims = {i: sum(x * e.get(w, 0.0) for w, x in q.items()) for i, e in examples.items()}
+            want = sorted((x for x in sims.values() if x > 0), reverse=True)[:7]
+            at, value = index.vector(*toxicity.counts(text))
+            found, got = index.nearest(at, value, 7) if len(at) else (at, value)
+            assert np.allclose(got, want, atol=1e-5) and np.allclose([sims[i] for i in index.ids[found].tolist()], want, atol=1e-5)
+        scored.append([s for s, _ in index.scores(texts)])
+    assert np.allclose(scored[0], scored[1], atol=1e-3) and np.allclose(scored[0], scored[2], atol=1e-3)
 
 
 def test_languages(tables, docs_of):
@@ -107,6 +113,24 @@ def test_languages(tables, docs_of):
     assert langid.predictions(docs_of([]), model, F.lit(False)).collect() == []
 
 
+def test_decoding_takes_the_nearest_codeword(tables):
+    """Each text's prediction against every codeword's weighted loss, bit by bit."""
+    docs, _, _ = tables
+    model = langid.fit(docs)
+    for text in [d[1] for d in invented(40, 9)[0]] + ["zz top", "é", "tor qui sch " * 50]:
+        margin = langid.grams(text.encode()) @ model.weights + model.bias
+        losses = [sum(float(v) * np.log1p(np.exp(-c * m)) for c, m, v in zip(word, margin.tolist(), model.importance, strict=True)) for word in model.code.tolist()]
+        share = np.exp(-np.array(losses)) / np.exp(-np.array(losses)).sum()
+        name, score, unsure = model.predict(text.encode())
+        assert name == model.languages[int(np.argmin(losses))] and score == pytest.approx(share.max(), abs=1e-4) and unsure == (score < langid.SURE)
+
+
+def test_many_languages_need_no_more_rows(docs_of):
+    rows = [(i, f"{'abcdefghij'[i % 10] * 3}{i % 61} word" * 4, f"l{i % 61}", "s", 9) for i in range(610)] + [(5000, "same text", "l1", "s", 9)] * 50
+    model = langid.fit(docs_of(rows), per_language=4)
+    assert 30 < len(model.languages) <= 61
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 9, 40])
 def test_codewords_differ(n):
     code = langid.codewords(n)
