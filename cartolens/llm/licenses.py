@@ -1,31 +1,41 @@
 """License scans: MinHash bands over overlapping text windows retrieve templates, exact shingle containment verifies them.
 
 Texts and templates are lower-cased and cut into words of [a-z0-9]. A template's shingles have five words (a shorter template
-is one shingle). Templates of up to L words, L a power of two, are sought in windows of 2 L words that start every L words:
-whatever lies in L consecutive words lies wholly in some window. A window's shingle set and a template meet in a band (one
-minimum of ``BANDS`` hash functions) with probability J each, so they meet at all with probability 1 - (1 - J)^BANDS. J is at
-least 0.75 T / (2 L - k + 1) for T shingles of k words: at least 1/4 for the templates below, so a miss has odds of 1e-16.
-A retrieved pair counts if the window holds at least ``CONTAINMENT`` of the template's shingles, counted exactly.
-
-Before windows are made, texts without any shingle of any template are passed over: they cannot match. Null, empty and
-short texts are one window at most; of repeated rows each is reported. No matches, no rows. DataFrame functions only;
-templates are a fixed list, so what is broadcast doesn't grow with the texts.
+is one shingle). A template of T shingles is sought in windows of M + step - 1 shingles that start every ``step`` = M / 4 (one at
+least), M the least of 1, 2, 3, 4, 6, 8, 12, ... that reaches T: whatever lies in T consecutive shingles lies wholly in some window.
+A window and a template meet in a band if the band's hash function has the same minimum over both, which has a probability of J,
+their Jaccard similarity. A window with ``CONTAINMENT`` of the template's shingles has a J of at least n / (T + window - n),
+n = ceil(CONTAINMENT T), and each template has as many bands as it takes to miss such a window with odds of ``MISS`` at most
+(least_similarity() and bands_of() give both; between 1 and 50 bands). A retrieved pair counts if the window holds at least
+``CONTAINMENT`` of the template's shingles, counted exactly.
+
+The band join is read from the templates' side: a window whose minimum in a band is the template's holds the shingle that gives it
+that minimum, so the windows to be hashed in a band are those around that shingle. This passes over no pair that meets in a band
+(a test compares it with the minima of all windows), and makes an index of a few bands of a license of thousands of shingles.
+
+The templates are ``NOTICES``, the whole license texts beside this module, and three passages of each long one; they are a fixed
+list, so what is broadcast doesn't grow with the texts. Null, empty and short texts match nothing or short templates only; very
+long texts are scanned whole; rows of equal doc_id and text are one document; extra columns are ignored. No matches, no rows.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Sequence
+from functools import cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-BANDS = 128
-CONTAINMENT = 0.75
+CONTAINMENT, MISS = 0.75, 1e-9
+#: Words of a passage of a long text, and from how many words on a text is long.
+PASSAGE, LONG = 32, 400
 
-#: Fixed values by SPDX id: short notices, opening clauses (-text), passages of bodies (-body) and identifier lines (-spdx).
-TEMPLATES = [
+#: Fixed values by SPDX id: short notices, opening clauses (-text), clauses of bodies (-body) and identifier lines (-spdx).
+NOTICES = [
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("GPL-3.0-only", "licensed under the GNU General Public License, version 3."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -73,28 +83,6 @@ TEMPLATES = [
     ("MIT-spdx", "License-Identifier: MIT"),
     ("ISC-spdx", "License-Identifier: ISC"),
     ("Unlicense-spdx", "License-Identifier: Unlicense"),
-    # long bodies: passages of 32 words from their first, middle and last thirds; AGPL-3.0 holds most of the body of GPL-3.0
-    ("GPL-2.0-body-1", "license exception if the program itself is interactive but does not normally print such an announcement your work based on the program is not required to print an announcement these requirements apply"),
-    ("GPL-2.0-body-2", "1 and 2 above on a medium customarily used for software interchange or c accompany it with the information you received as to the offer to distribute corresponding source code this alternative"),
-    ("GPL-2.0-body-3", "to make thoroughly clear what is believed to be a consequence of the rest of this license 8 if the distribution and or use of the program is restricted in certain countries"),
-    ("GPL-3.0-body-1", "this free software for both users and authors sake the gpl requires that modified versions be marked as changed so that their problems will not be attributed erroneously to authors of previous"),
-    ("GPL-3.0-body-2", "appropriate legal notices however if the program has interactive interfaces that do not display appropriate legal notices your work need not make them do so a compilation of a covered work with"),
-    ("GPL-3.0-body-3", "of one or subdividing an organization or merging organizations if propagation of a covered work results from an entity transaction each party to that transaction who receives a copy of the work"),
-    ("LGPL-2.1-body-1", "version so that the original author s reputation will not be affected by problems that might be introduced by others finally software patents pose a constant threat to the existence of any"),
-    ("LGPL-2.1-body-2", "of the library if the user installs one as long as the modified version is interface compatible with the version that the work was made with c accompany the work with a"),
-    ("LGPL-2.1-body-3", "of the gnu lesser general public license as published by the free software foundation either version 2 1 of the license or at your option any later version this library is distributed"),
-    ("LGPL-3.0-body-1", "public license the library refers to a covered work governed by this license other than an application or a combined work as defined below an application is any work that makes use"),
-    ("LGPL-3.0-body-2", "its purpose remains meaningful or b under the gnu gpl with none of the additional permissions of this license applicable to that copy 3 object code incorporating material from library header files"),
-    ("LGPL-3.0-body-3", "provide installation information but only if you would otherwise be required to provide such information under section 6 of the gnu gpl and only to the extent that such information is necessary"),
-    ("Apache-2.0-body-1", "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution 1 definitions license shall mean the terms and conditions for use reproduction"),
-    ("Apache-2.0-body-2", "by such contributor that are necessarily infringed by their contribution s alone or by combination of their contribution s with the work to which such contribution s was submitted if you institute"),
-    ("Apache-2.0-body-3", "license does not grant permission to use the trade names trademarks service marks or product names of the licensor except as required for reasonable and customary use in describing the origin of"),
-    ("MPL-2.0-body-1", "a contributor and that particular contributor s contribution 1 3 contribution means covered software of a particular contributor 1 4 covered software means source code form to which the initial contributor has"),
-    ("MPL-2.0-body-2", "rights to its contributions conveyed by this license 2 6 fair use this license is not intended to limit any rights you have under applicable copyright doctrines of fair use fair dealing"),
-    ("MPL-2.0-body-3", "to this license may be brought only in the courts of a jurisdiction where the defendant maintains its principal place of business and such litigation shall be governed by laws of that"),
-    ("CC0-1.0-body-1", "creative commons legal code cc0 1 0 universal creative commons corporation is not a law firm and does not provide legal services distribution of this document does not create an attorney client"),
-    ("CC0-1.0-body-2", "right to reproduce adapt distribute perform display communicate and translate a work ii moral rights retained by the original author s and or performer s iii publicity and privacy rights pertaining to"),
-    ("CC0-1.0-body-3", "of purpose in addition to the extent the waiver is so judged affirmer hereby grants to each affected person a royalty free non transferable non sublicensable non exclusive irrevocable and unconditional license"),
 ]
 
 
@@ -102,16 +90,49 @@ def words_of(text: str) -> list[str]:
     return re.findall("[a-z0-9]+", text.lower())
 
 
-def size_of(template: str) -> tuple[int, int]:
-    """(words of a shingle, L) of a template."""
+@cache
+def templates() -> tuple[tuple[str, str], ...]:
+    """(license_id, text) of all templates."""
+    out = list(NOTICES)
+    for path in sorted((Path(__file__).parent / "license_texts").glob("*.txt")):
+        words = words_of(path.read_text())
+        out.append((f"{path.stem}-full", " ".join(words)))
+        starts = [len(words) * i // 6 for i in (1, 3, 5)] if len(words) >= LONG else []
+        out += [(f"{path.stem}-passage-{i + 1}", " ".join(words[at : at + PASSAGE])) for i, at in enumerate(starts)]
+    return tuple(out)
+
+
+def shape(template: str) -> tuple[int, int, int]:
+    """(words of a shingle, step, shingles of a window) of a template."""
     n = len(words_of(template))
     if not n:
         raise ValueError("a template needs a word")
-    return min(SHINGLE, n), 1 << max(1, (n - 1).bit_length())
+    k = min(SHINGLE, n)
+    most = next(m for i in range(64) for m in (2**i, 3 * 2**i // 2) if m >= n - k + 1)
+    step = max(1, most // 4)
+    return k, step, most + step - 1
+
+
+def distinct_shingles(template: str) -> int:
+    words, k = words_of(template), shape(template)[0]
+    return len({tuple(words[i : i + k]) for i in range(len(words) - k + 1)})
+
+
+def least_similarity(template: str, containment: float = CONTAINMENT) -> float:
+    """The least Jaccard similarity of a template and a window that holds so much of it."""
+    size = distinct_shingles(template)
+    need = math.ceil(containment * size)
+    return need / (size + max(shape(template)[2], need) - need)
+
+
+def bands_of(template: str, containment: float = CONTAINMENT, miss: float = MISS) -> int:
+    j = least_similarity(template, containment)
+    return 1 if j >= 1 else math.ceil(math.log(miss) / math.log(1 - j))
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")
+    """Hashes of a text's words, in order."""
+    return F.transform(F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def _shingles(words: Column, k: int) -> Column:
@@ -121,77 +142,79 @@ def _shingles(words: Column, k: int) -> Column:
     return F.get(F.transform(F.array(words), each), 0)
 
 
-def _minima(shingles: Column) -> Column:
-    """array<struct<band, low>>: for each band the least of its hash function over the shingles."""
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, b))).alias("low")))
+def minimum(shingles: Column, band: Column) -> Column:
+    """The least of a band's hash function over the shingles."""
+    return F.array_min(F.transform(shingles, lambda s: F.xxhash64(s, band)))
 
 
-def _templates(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> DataFrame:
-    rows = [(name, text, *size_of(text)) for name, text in templates]
-    df = spark.createDataFrame(rows, "license_id string, body string, k int, reach int").withColumn("words", _words(F.col("body")))
+def known(spark: SparkSession, listed: Sequence[tuple[str, str]]) -> DataFrame:
+    """license_id, k, step, width, bands, own (distinct shingles) of each template."""
+    rows = [(name, text, *shape(text), bands_of(text)) for name, text in listed]
+    df = spark.createDataFrame(rows, "license_id string, body string, k int, step int, width int, bands int").withColumn("words", _words(F.col("body")))
     own = F.lit(None)
     for k in sorted({r[2] for r in rows}):
         own = F.when(F.col("k") == k, F.array_distinct(_shingles(F.col("words"), k))).otherwise(own)
-    return df.select("license_id", "k", "reach", own.cast("array<long>").alias("own"))
+    return df.select("license_id", "k", "step", "width", "bands", own.cast("array<long>").alias("own"))
+
+
+def retrieved(docs: DataFrame, index: DataFrame) -> DataFrame:
+    """doc_id, text_hash, license_id, at (word where the window starts), window (its shingles): a row for each band in which a
+    window and a template meet. ``index`` as from known()."""
+    least = F.transform(F.sequence(F.lit(0), F.col("bands") - 1), lambda b: F.struct(b.alias("band"), F.array_min(F.transform("own", lambda s: F.struct(F.xxhash64(s, b).alias("low"), s.alias("s")))).alias("m")))
+    bands = index.select("license_id", "k", "step", "width", F.explode(least).alias("b")).select("license_id", F.col("k").alias("bk"), "step", "width", "b.band", "b.m.low", F.col("b.m.s").alias("bs"))
+    keys: dict[int, list[int]] = {}
+    for k, s in bands.select("bk", "bs").distinct().collect():
+        keys.setdefault(k, []).append(s)
+    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _words(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("words"))
+    texts = texts.select("doc_id", "text_hash", *[_shingles(F.col("words"), k).alias(f"s{k}") for k in sorted(keys)])
+
+    def hits(k: int) -> Column:
+        places = F.when(F.size(f"s{k}") > 0, F.sequence(F.lit(0), F.size(f"s{k}") - 1)).otherwise(F.array().cast("array<int>"))
+        found = F.filter(places, lambda i: F.get(f"s{k}", i).isin(keys[k]))
+        return F.transform(found, lambda i: F.struct(F.lit(k).alias("k"), i.alias("i"), F.get(f"s{k}", i).alias("s"), F.col(f"s{k}").alias("all")))
+
+    # outer, and then without the empty ones: Spark would else test the array before it, and so make the shingles twice
+    met = texts.select("doc_id", "text_hash", F.explode_outer(F.concat(*[hits(k) for k in sorted(keys)])).alias("h")).filter("h IS NOT NULL").select("doc_id", "text_hash", "h.*")
+    met = met.join(F.broadcast(bands), (F.col("k") == F.col("bk")) & (F.col("s") == F.col("bs")))
+    first = F.greatest(F.lit(0), F.ceil((F.col("i") - F.col("width") + 1) / F.col("step")).cast("int") * F.col("step"))
+    starts = F.sequence(first, F.floor(F.col("i") / F.col("step")).cast("int") * F.col("step"), F.col("step"))
+    windows = F.transform(starts, lambda a: F.struct(a.alias("at"), F.slice("all", a + 1, F.col("width")).alias("window")))
+    windows = F.filter(windows, lambda w: minimum(w["window"], F.col("band")) == F.col("low"))
+    return met.select("doc_id", "text_hash", "license_id", F.explode_outer(windows).alias("w")).filter("w IS NOT NULL").select("doc_id", "text_hash", "license_id", "w.*")
+
+
+def matches(docs: DataFrame, listed: Sequence[tuple[str, str]] | None = None, containment: float = CONTAINMENT) -> DataFrame:
+    """doc_id, text_hash, license_id, at (word where the window starts), contained: every verified window."""
+    index = known(docs.sparkSession, templates() if listed is None else listed)
+    found = retrieved(docs, index).join(F.broadcast(index.select("license_id", "own")), "license_id")
+    share = F.size(F.array_intersect("window", "own")) / F.size("own")
+    return found.select("doc_id", "text_hash", "license_id", "at", share.alias("contained")).filter(F.col("contained") >= containment).distinct()
 
 
-def matches(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """doc_id, text_hash, license_id, at (word where the window starts), contained: every verified window."""
-    spark = docs.sparkSession
-    known = _templates(spark, templates)
-    kinds = sorted({size_of(t) for _, t in templates})
-    per_k = {k: [r[0] for r in known.filter(F.col("k") == k).select(F.explode("own")).distinct().collect()] for k in {k for k, _ in kinds}}
-    texts = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _words(F.col("text").cast("string")).alias("words"))
-    for k in per_k:
-        texts = texts.withColumn(f"s{k}", _shingles(F.col("words"), k))
-    seen = F.lit(False)
-    for k, own in per_k.items():
-        seen = seen | F.arrays_overlap(f"s{k}", F.array(*[F.lit(x) for x in own]))
-    window = lambda k, reach: F.transform(
-        F.sequence(F.lit(0), F.greatest(F.lit(0), F.size(f"s{k}") - 1), F.lit(reach)),
-        lambda i: F.struct(F.lit(k).alias("k"), F.lit(reach).alias("reach"), i.alias("at"), F.array_distinct(F.slice(f"s{k}", i + 1, F.lit(2 * reach - k + 1))).alias("set")),
-    )
-    # no filter: it would be pushed below the projection that makes the shingles, which then were made twice
-    windows = texts.select("doc_id", "text_hash", F.explode(F.when(seen, F.concat(*[window(k, r) for k, r in kinds]))).alias("w")).select("doc_id", "text_hash", "w.*")
-    held = F.lit(False)
-    for k, own in per_k.items():
-        held = held | ((F.col("k") == k) & F.arrays_overlap("set", F.array(*[F.lit(x) for x in own])))
-    windows = windows.filter(held)
-    lows = windows.select("*", F.explode(_minima(F.col("set"))).alias("m")).select("doc_id", "text_hash", "k", "reach", "at", "set", "m.band", "m.low")
-    bands = known.select("license_id", "k", "reach", "own", F.explode(_minima(F.col("own"))).alias("m")).select("license_id", "k", "reach", "own", "m.band", "m.low")
-    met = lows.join(F.broadcast(bands), ["k", "reach", "band", "low"])
-    share = F.size(F.array_intersect("set", "own")) / F.size("own")
-    # the first band that meets is enough: a pair's other bands hold the same sets
-    found = met.select("doc_id", "text_hash", "license_id", "at", share.alias("contained")).filter(F.col("contained") >= containment)
-    return found.distinct()
-
-
-def report(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
-    """Per document and license that it holds: doc_id, license_id, n_windows, first_word, contained (the most of any window).
-
-    Rows of equal doc_id and text are one document here."""
-    found = matches(docs, templates)
-    return found.groupBy("doc_id", "text_hash", "license_id").agg(
+def report(docs: DataFrame, listed: Sequence[tuple[str, str]] | None = None) -> DataFrame:
+    """Per document and license that it holds: doc_id, license_id, n_windows, first_word, contained (the most of any window)."""
+    return matches(docs, listed).groupBy("doc_id", "text_hash", "license_id").agg(
         F.count("*").alias("n_windows"), F.min("at").cast("long").alias("first_word"), F.max("contained").alias("contained")
     ).select("doc_id", "license_id", "n_windows", "first_word", "contained")
 
 
-def sql(templates: Sequence[tuple[str, str]] = TEMPLATES, containment: float = CONTAINMENT) -> str:
+def sql(listed: Sequence[tuple[str, str]] | None = None, containment: float = CONTAINMENT) -> str:
     """DuckDB SQL of report() over the view documents: shingles as strings joined to the templates', counted by window."""
-    quoted = ", ".join(f"('{n}', '{' '.join(words_of(t))}', {size_of(t)[0]}, {size_of(t)[1]})" for n, t in templates)
-    kinds = sorted({size_of(t)[0] for _, t in templates})
+    listed = templates() if listed is None else listed
+    quoted = ", ".join("('{}', '{}', {}, {}, {})".format(n, " ".join(words_of(t)), *shape(t)) for n, t in listed)
+    kinds = sorted({shape(t)[0] for _, t in listed})
     shingle = lambda k: " || ' ' || ".join(["word", *[f"lead(word, {j}) OVER o" for j in range(1, k)]])
     each = " UNION ALL ".join(f"SELECT rid, pos - 1 AS i, {k} AS k, {shingle(k)} AS sh FROM w WINDOW o AS (PARTITION BY rid ORDER BY pos)" for k in kinds)
     return f"""
-WITH t AS (SELECT license_id, string_split(body, ' ') AS w, k, reach FROM (VALUES {quoted}) v(license_id, body, k, reach)),
-l AS (SELECT license_id, k, reach, list_distinct(list_transform(range(len(w) - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' '))) AS own FROM t),
-own AS (SELECT license_id, k, reach, len(own) AS size, unnest(own) AS sh FROM l),
+WITH t AS (SELECT license_id, string_split(body, ' ') AS w, k, step, width FROM (VALUES {quoted}) v(license_id, body, k, step, width)),
+l AS (SELECT license_id, k, step, width, list_distinct(list_transform(range(len(w) - k + 1), lambda i: array_to_string(w[i + 1:i + k], ' '))) AS own FROM t),
+own AS (SELECT license_id, k, step, width, len(own) AS size, unnest(own) AS sh FROM l),
 d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(lower(text), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM (SELECT DISTINCT doc_id, text FROM documents WHERE text IS NOT NULL) q),
 w AS (SELECT rid, unnest(w) AS word, generate_subscripts(w, 1) AS pos FROM d),
 s AS ({each}),
-h AS (SELECT rid, license_id, size, i, s.k, reach, own.sh FROM s JOIN own ON s.k = own.k AND s.sh = own.sh),
-u AS (SELECT *, i // reach * reach AS at_ FROM h UNION ALL SELECT *, i // reach * reach - reach FROM h),
-m AS (SELECT rid, license_id, at_ AS pos, CAST(count(DISTINCT sh) AS DOUBLE) / size AS contained FROM u WHERE at_ >= 0 AND i <= at_ + 2 * reach - k GROUP BY rid, license_id, at_, size)
+h AS (SELECT rid, license_id, size, i, step, width, own.sh FROM s JOIN own ON s.k = own.k AND s.sh = own.sh),
+u AS (SELECT rid, license_id, size, sh, i, width, i // step * step - unnest(range((width + step - 1) // step)) * step AS at_ FROM h),
+m AS (SELECT rid, license_id, at_ AS pos, CAST(count(DISTINCT sh) AS DOUBLE) / size AS contained FROM u WHERE at_ >= 0 AND i < at_ + width GROUP BY rid, license_id, at_, size)
 SELECT doc_id, license_id, count(*) AS n_windows, min(pos) AS first_word, max(contained) AS contained
 FROM m JOIN d USING (rid) WHERE contained >= {containment} GROUP BY rid, doc_id, license_id
 """
