@@ -1,7 +1,9 @@
 """Byte-level BPE encoding and decoding with the tiktoken library and a local rank file.
 
 Null and empty texts have no tokens. Long texts are cut where no match of the pre-splitting pattern can reach across,
-so the ids equal those of the whole text while the library never sees more than about ``PIECE`` characters at once.
+so the ids equal those of the whole text while the library never sees more than about ``PIECE`` characters and the rest of one
+match at once (a run of letters without any mark or space is one match, however long). Each row gets its own result, repeated
+rows equal ones; an empty table gives no rows; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -19,9 +21,10 @@ from .common import structs, text_or_empty
 
 #: Characters after which a long text is cut at the next safe boundary.
 PIECE = 1 << 16
-#: A space between two letters: the letters before end their match, the space starts the next one. Holds for patterns whose
-#: words are " ?\p{L}+" and whose other alternatives start no match at a letter but contractions, which hold no space.
-SAFE = regex.compile(r"(?<=\p{L}) (?=\p{L})")
+#: Where a match ends and the next one begins, whatever stands around, for patterns whose alternatives are contractions, runs of
+#: letters, of digits or of other marks, each with a space before it at most, and white space: before a white space, and between
+#: letters, digits and marks, but not after an apostrophe, which may begin a contraction.
+SAFE = regex.compile(r"(?<=[\p{L}\p{N}\p{P}\p{S}])(?=[ \t\n])|(?<=\p{L})(?=[\p{N}\p{P}\p{S}])|(?<=\p{N})(?=[\p{L}\p{P}\p{S}])|(?<=[\p{P}\p{S}])(?<!')(?=[\p{L}\p{N}])")
 
 _codecs: dict = {}
 

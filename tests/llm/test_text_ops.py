@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import duckdb
@@ -86,11 +87,14 @@ def test_bpe_query_and_pieces(docs_of):
     text = LONG + "   \n\n  it's 123 !!! " * 500
     assert "".join(bpe.pieces(text, 100)) == text
     assert [i for p in bpe.pieces(text, 100) for i in encoding.encode_ordinary(p)] == encoding.encode_ordinary(text)
+    for dense in ("漢字。" * 200, "12\n34;5 " * 200, "x1y2z3" * 200, "it's-o'clock" * 100):
+        cut = bpe.pieces(dense, 50)
+        assert max(map(len, cut)) < 70 and [i for p in cut for i in encoding.encode_ordinary(p)] == encoding.encode_ordinary(dense)
     assert rows(bpe.token_digests(docs_of([]), ranks, P.PATTERN)) == []
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet="ab 'é1!\n\t ", max_size=120))
+@given(st.text(alphabet="ab 'é1٣!。$\u0301漢\n\t\u00a0\r ", max_size=120))
 def test_bpe_pieces_of_any_text(text):
     import public_tokenizers as P
 
@@ -136,49 +140,135 @@ def test_line_dedup_sql(docs_of):
     assert sorted(repr(tuple(r)) for r in linededup.report(docs_of(docs)).select("doc_id", "n_lines", "n_removed", "text_sha256").collect()) == want
 
 
-def test_fingerprints_against_brute_force(docs_of):
-    docs = [d for d in ODD if d[0] is not None and d[0] != 3] + [(30 + i, f"Sentence {i % 4}. And more of it! Last {i}\n\nNext section {i % 3}.") for i in range(40)]
-    out = {r["doc_id"]: r for r in rows(merkle.edit_report(clash(docs_of(docs)), per_range=5))}
+def brute_tree(text):
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    cut = lambda t: [x + "\n" for x in t.split("\n")[:-1]] + t.split("\n")[-1:]
+    out = []
+    ends = [0, *(i for i in range(1, len(text) + 1) if text[:i].endswith("\n\n")), len(text)]
+    for lo, hi in zip(ends, ends[1:], strict=False):
+        section = []
+        for p in cut(text[lo:hi]):
+            leaves, at = [], 0
+            while at < len(p):
+                size = next((m.end() - at for k in range(merkle.LEAST, merkle.MOST) if (m := re.compile(r"[.!?;:,]+[ \t\n\x0b\f\r]+|[aenrst][ \t\n\x0b\f\r]+").match(p, at + k))), min(merkle.MOST, len(p) - at))
+                leaves.append(sha(p[at : at + size]))
+                at += size
+            section.append((sha("p" + "".join(leaves)), [x[:6] for x in leaves]))
+        out.append((sha("s" + "".join(d for d, _ in section)), section))
+    return sha("r" + "".join(d for d, _ in out)), out
+
+
+def brute_likeness(a, b):
+    """Of two trees, and the paragraphs of the first that the second does not have."""
+    alike = {d for d, _ in a} & {d for d, _ in b}
+    count = sum(sum(len(x) for _, x in dict((d, s) for d, s in a)[d]) for d in alike)
+    rest = [[p for d, s in t if d not in alike for p in s] for t in (a, b)]
+    same = {d for d, _ in rest[0]} & {d for d, _ in rest[1]}
+    count += sum(len(dict(rest[0])[d]) for d in same)
+    la, lb = ({x for d, ls in part if d not in same for x in ls} for part in rest)
+    edits = [(i, j) for i, (d, s) in enumerate(a) if d not in alike for j, (e, _) in enumerate(s) if e not in same]
+    total = 2 * count + len(la) + len(lb)
+    return 2 * (count + len(la & lb)) / total if total else 1.0, edits
+
+
+@pytest.mark.parametrize(("per_range", "cells"), [(5, 4), (3, 256), (1500, 256)])
+def test_fingerprints_against_brute_force(docs_of, per_range, cells):
+    docs = [d for d in ODD if d[0] is not None and d[0] != 3] + [(30 + i * i, f"Sentence {i % 4}. And more of it! Last {i}\n\nNext section {i % 3}, with another line\nand the same line.\n\nThe end of all.") for i in range(40)] + [(10**15, "An outlier, far away. " * 4), (-(10**12), "Another one")]
+    out = {r["doc_id"]: r for r in rows(merkle.edit_report(clash(docs_of(docs), "a", "b", "n", "edited"), per_range, cells))}
     order = sorted(docs, key=lambda d: -d[0])
-    prints = {}
     for k, (i, t) in enumerate(order):
         t, follow = t or "", order[(k + 1) % len(order)][1] or ""
         m = len(t) // 3
         edited = t[: len(t) - m] + follow[:m]
-        assert out[i]["n_chars"] == len(t) and out[i]["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= out[i]["near_edited"] <= 1 and 0 <= out[i]["near_next"] <= 1
-        assert (out[i]["fingerprint"] == out[i]["edited_fingerprint"]) == (t == edited)
-        prints.setdefault(t, set()).add(out[i]["fingerprint"])
-    assert all(len(v) == 1 for v in prints.values()) and len({x for v in prints.values() for x in v}) == len(prints)
+        trees = [brute_tree(x) for x in (t, edited, follow)]
+        form = lambda x: x[0] + "|" + ";".join(",".join("".join(ls) for _, ls in s) for _, s in x[1])
+        near, edits = brute_likeness(trees[0][1], trees[1][1])
+        got = out[i]
+        assert got["n_chars"] == len(t) and got["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
+        assert got["fingerprint"] == form(trees[0]) and got["edited_fingerprint"] == form(trees[1])
+        assert got["near_edited"] == pytest.approx(near) and got["near_next"] == pytest.approx(brute_likeness(trees[0][1], trees[2][1])[0])
+        assert got["n_edits"] == len(edits) and got["first_edit"] == ("/".join(map(str, edits[0])) if edits else "")
     assert out[6]["near_edited"] > 0.5
-    assert len(rows(merkle.edit_report(docs_of(ODD)))) == len(ODD)
-    assert rows(merkle.edit_report(docs_of([]))) == []
-    one = rows(merkle.edit_report(docs_of([(9, "only one. text.")])))
-    assert one[0]["near_next"] == 1.0
 
 
-def test_fingerprint_branches_locate_edits(spark, docs_of):
+def test_fingerprints_of_odd_tables(docs_of):
+    assert len(rows(merkle.edit_report(docs_of(ODD)))) == len(ODD) and rows(merkle.edit_report(docs_of([]))) == []
+    assert rows(merkle.edit_report(docs_of([(9, "only one. text.")])))[0]["near_next"] == 1.0
+    nulls = rows(merkle.edit_report(docs_of([(None, f"{i} is the text") for i in range(20)]), 3, 4))
+    assert len({r["edited_sha256"] for r in nulls}) == 20
+    for ids in (["a", "b", "c"], [f"doc-{i:07d}" for i in range(50)], ["", None, "zz", "z"]):
+        docs = docs_of([(i, f"The text of {i}, whole.", "en", "s", 1) for i in ids], "doc_id string, text string, lang string, source string, n_chars long")
+        follow = {r["text"]: r["next"] for r in rows(merkle.with_next(docs, 4, 8))}
+        order = [f"The text of {i}, whole." for i in [*sorted((x for x in ids if x is not None), reverse=True), *[x for x in ids if x is None]]]
+        assert follow == dict(zip(order, [*order[1:], order[0]], strict=True))
+
+
+def test_equal_roots_mean_equal_texts_and_branches_locate_edits(docs_of):
     from pyspark.sql import functions as F
 
-    t = merkle.fingerprints(docs_of([(1, "A a.\nB.\n\nC c.\n\nD."), (2, "A a.\nB.\n\nC x.\n\nD.")]))
-    a, b = t.filter("doc_id = 1").select(F.col("sections").alias("a")), t.filter("doc_id = 2").select(F.col("sections").alias("b"))
-    assert a.crossJoin(b).select(merkle.edited_branches(F.col("a"), F.col("b"))).first()[0] == [1]
+    texts = ["A a.\nB.\n\nC c.\n\nD.", "A a.\nB.\n\nC x.\n\nD.", "A a.\nB.\n\nC c. \n\nD.", "A a.\nB.\n\n\nC c.\n\nD.", "A a.\nB.\n \nC c.\n\nD.", "", "\n", "\n\n"]
+    t = merkle.fingerprints(docs_of(list(enumerate(texts))))
+    prints = [r["fingerprint"].split("|")[0] for r in t.collect()]
+    assert len(set(prints)) == len(texts)
+    pair = t.filter("doc_id = 0").select(F.col("sections").alias("a")).crossJoin(t.filter("doc_id = 1").select(F.col("sections").alias("b")))
+    assert [tuple(x) for x in merkle.compared(pair, "a", "b", "near").first()["near_edits"]] == [(1, 0)]
 
 
 def test_licenses_sql_and_odd_inputs(docs_of):
-    body = dict(licenses.TEMPLATES)
+    body = dict(licenses.templates())
+    rng = random.Random(8)
+
+    def worn(name, share):
+        words = body[name].split()
+        for i in rng.sample(range(len(words)), int(share * len(words))):
+            words[i] = "changed"
+        return "Some words before it. " * 7 + " ".join(words) + " and after"
+
     docs = ODD + [(40, body["MIT"]), (41, "x " * 50 + body["Apache-2.0"].upper() + " y" * 30), (42, body["BSD-3-Clause-text"][:100] + " other words here"), (43, "mit of license"), (44, " ".join(body.values())), (40, body["MIT"])]
+    docs += [(50 + i, worn(n, s)) for i, (n, s) in enumerate((n, s) for n in ("MIT-full", "GPL-3.0-full", "Apache-2.0-full", "BSD-3-Clause-full") for s in (0, 0.03, 0.05, 0.1))]
     c = duckdb.connect()
     c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     c.executemany("INSERT INTO documents VALUES (?, ?)", docs)
     names = "doc_id, license_id, n_windows, first_word, contained"
     want = sorted(map(repr, set(c.execute(f"SELECT {names} FROM ({licenses.sql()})").fetchall())))
-    got = rows(licenses.report(clash(docs_of([d for i, d in enumerate(docs) if d not in docs[:i]]))))
+    got = rows(licenses.report(clash(docs_of([d for i, d in enumerate(docs) if d not in docs[:i]]), "k", "step", "words", "s5", "h")))
     assert sorted(repr(tuple(r[n] for n in names.split(", "))) for r in got) == want
     assert {r["license_id"] for r in got if r["doc_id"] == 44} == set(body)
+    assert {"MIT-full", "GPL-3.0-full", "Apache-2.0-full"} <= {r["license_id"] for r in got if r["doc_id"] >= 50}
     assert rows(licenses.report(docs_of([]))) == []
 
 
+def test_every_license_template_has_bands_enough():
+    for name, text in licenses.templates():
+        k, step, width = licenses.shape(text)
+        places = len(licenses.words_of(text)) - k + 1
+        assert width >= places + step - 1  # wholly in some window, wherever it lies
+        size = licenses.distinct_shingles(text)
+        need = next(n for n in range(size + 1) if n >= licenses.CONTAINMENT * size)
+        worst = min(n / (size + width - n) for n in range(need, size + 1) if n <= width)
+        assert (1 - min(1, worst)) ** licenses.bands_of(text) <= licenses.MISS, name
+        assert licenses.bands_of(text) <= 50
+
+
+def test_bands_read_from_the_templates_meet_what_all_windows_meet(spark, docs_of):
+    from pyspark.sql import functions as F
+
+    listed = [t for t in licenses.templates() if t[0] in ("MIT", "MIT-text", "ISC-full", "MIT-full", "BSD-2-Clause-full", "All-rights-reserved", "GPL-2.0-passage-1")]
+    body = dict(listed)
+    docs = docs_of([*ODD, (40, body["MIT-full"]), (41, "a b c " + body["ISC-full"] + " all rights reserved " + body["BSD-2-Clause-full"][:700]), (42, body["GPL-2.0-passage-1"].replace("the", "a"))])
+    index = licenses.known(spark, listed)
+    got = {(r["doc_id"], r["license_id"], r["at"]) for r in licenses.retrieved(docs, index).collect()}
+    want = set()
+    for name, text in listed:
+        k, step, width = licenses.shape(text)
+        one = docs.select("doc_id", licenses._shingles(licenses._words(F.coalesce("text", F.lit(""))), k).alias("all")).filter(F.size("all") > 0)
+        one = one.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(step)), lambda a: F.struct(a.alias("at"), F.slice("all", a + 1, width).alias("window")))).alias("w"))
+        every = one.crossJoin(index.filter(F.col("license_id") == name)).withColumn("band", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)))
+        met = every.filter(licenses.minimum(F.col("w.window"), F.col("band")) == licenses.minimum(F.col("own"), F.col("band")))
+        want |= {(r["doc_id"], name, r["at"]) for r in met.select("doc_id", "w.at").distinct().collect()}
+    assert got == want and len(got) > 20
+
+
 def test_licenses_cover_usual_families_and_keep_them_apart(docs_of):
     gnu = "This program is free software; you can redistribute it under the terms of the GNU {} Public License, version {}."
     docs = [(1, "Some prose. Copyright 2020, all rights reserved. More."), (2, gnu.format("General", "2")), (3, gnu.format("Lesser General", "2.1")), (4, gnu.format("Affero General", "3")), (5, "BSD 2-Clause"), (6, "Licensed under CC BY 4.0."), (7, "Licensed under CC BY-SA 4.0."), (8, "Licensed under CC BY-NC 4.0."), (9, "This is free and unencumbered software released into the public domain."), (10, "ISC License"), (11, "SPDX-License-Identifier: MIT"), (12, "licensed under the GNU General Public License, version 3.")]
