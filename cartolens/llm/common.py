@@ -17,7 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under ``spark.checkpoint.dir``, which all executors share.
+    """A new folder under ``spark.checkpoint.dir``, which all executors share; it is deleted when the driver ends.
 
     Only where that setting is absent and the master is local (as in tests) a folder under /tmp stands in.
     """
@@ -26,7 +26,24 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file:/tmp/checkpoints"
-    return f"{base.rstrip('/')}/cartolens-{uuid.uuid4().hex}"
+    root = f"{base.rstrip('/')}/cartolens-{uuid.uuid4().hex}"
+    fs, path = _hadoop(spark, root)
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return root
+
+
+def _hadoop(spark: SparkSession, name: str) -> tuple:
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def removed(spark: SparkSession, root: str, *keep: str) -> None:
+    """Deletes what was written under ``root`` but for the names to keep, which go when the driver ends."""
+    fs, path = _hadoop(spark, root)
+    for entry in fs.listStatus(path):
+        if entry.getPath().getName() not in keep:
+            fs.delete(entry.getPath(), True)
 
 
 def written(df: DataFrame, root: str, name: str) -> DataFrame:

@@ -17,8 +17,18 @@ by 64-bit hashes: equal texts of any number are one class from the start.
    already connected are skipped, since only connection is asked for. Groups of more than ``cap`` classes are cut into
    blocks: first each block by itself, then the classes of different components, block against block.
 
-The result is exact but for hash collisions (odds of 1e-10 at a billion texts). Rows of equal doc_id and text get equal
-results; null ids never name a component unless all of it have none.
+The result is exact but for hash collisions. Classes are told apart by 128 bits: 64 name them, and where two sets have the same
+name but differ in the other 64, all names are made anew from another seed. Shingles are known by 64 bits, of which a list keeps
+32 besides its bucket: a class whose m posted shingles meet in fewer lists has odds of about m^2 / (2^33 * buckets), 1e-8 for a
+text of 1,000 words and 16 buckets, and it loses a link only if it had not one shared list to spare. What is connected is asked
+for, not the number of links: pairs that are connected already are not compared.
+
+Cost that grows faster than the rows: blocks of a large group are compared two by two, less those of one component, so a group
+of many classes that share a long passage but are not near takes the square of its blocks. A group of near copies does not.
+
+Null, empty and blank texts have no set and are their own component; very long texts are read whole. Rows of equal doc_id and
+text get equal results and count once in the search; null ids never name a component unless all of it have none. An empty table
+gives no rows; extra columns of any name are ignored.
 """
 
 from __future__ import annotations
@@ -26,6 +36,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +44,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import ship
-from .common import packed, raw, shared_dir, unpacked, written
+from .common import packed, raw, removed, shared_dir, unpacked, written
 from .components import components
 from .text_hash import shingle_hashes, word_hashes
 
@@ -42,11 +53,13 @@ SHINGLE = 5
 LONG = 32
 #: Classes with one shingle in one task's batch beyond which it is long at once.
 HOT = 512
-#: Parts that a long list is cut into, so that a list of a third of all classes meets in no one task.
-PARTS = 16
+#: Rows of the table for each part that a long list is cut into, and the least number of parts: a list of a third of all
+#: classes meets in no one task.
+PER_PART, PARTS = 200_000, 16
 #: Postings that a bucket holds about, and that a task gathers before it sends them.
 PER_BUCKET, BATCH = 1_000_000, 750_000
-CAP = 8192
+#: Classes of a group that are searched in one task.
+CAP = 2048
 
 
 def threshold(n: np.ndarray) -> np.ndarray:
@@ -62,17 +75,21 @@ def set_of(text: bytes) -> np.ndarray:
     return shingle_hashes(word_hashes(text), SHINGLE)
 
 
-def class_of(shingles: np.ndarray) -> int:
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def class_of(shingles: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """The 64 bits that name a class, and another 64 that two classes of one name would differ in."""
+    digest = hashlib.blake2b(shingles.tobytes(), digest_size=16, salt=seed.to_bytes(8, "little")).digest()
+    return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        found = [set_of(x) for x in raw(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("th"), pa.array([len(s) for s in found], pa.int64()), pa.array([class_of(s) if len(s) else None for s in found], pa.int64())],
-            ["doc_id", "th", "n_shingles", "cls"],
-        )
+def _sets(seed: int):
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_of(x) for x in raw(batch.column("text"))]
+            names = [class_of(s, seed) if len(s) else (None, None) for s in found]
+            columns = [pa.array(x, pa.int64()) for x in ([len(s) for s in found], [c for c, _ in names], [c for _, c in names])]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("th"), *columns], ["doc_id", "th", "n_shingles", "cls", "rest"])
+
+    return read
 
 
 def _packed(shingles: np.ndarray, classes: np.ndarray, buckets: int, rng: np.random.Generator) -> pa.RecordBatch:
@@ -102,7 +119,7 @@ def _packed(shingles: np.ndarray, classes: np.ndarray, buckets: int, rng: np.ran
     return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int64()), *[pa.array(rows[k], pa.binary()) for k in ("h", "cls", "mark")]], list(rows))
 
 
-def _postings(buckets: int):
+def _postings(buckets: int, seed: int = 0):
     def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, np.ndarray] = {}
         size, rng = 0, np.random.default_rng(1)
@@ -113,7 +130,7 @@ def _postings(buckets: int):
         for batch in batches:
             for text in batch.column("text"):
                 s = set_of(text.as_buffer().to_pybytes() if text.is_valid else b"")
-                if not len(s) or (c := class_of(s)) in held:
+                if not len(s) or (c := class_of(s, seed)[0]) in held:
                     continue
                 n = np.int64(len(s))
                 held[c] = s[: n - threshold(n) + surplus(n)]
@@ -266,12 +283,16 @@ def join(docs: DataFrame, cap: int = CAP) -> DataFrame:
     root = shared_dir(spark)
     texts = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").cast("string").alias("text"))
     kind = texts.schema["doc_id"].dataType.simpleString()
-    rows = written(texts.mapInArrow(_sets, f"doc_id {kind}, th long, n_shingles long, cls long"), root, "rows")
-    classes = rows.filter("cls IS NOT NULL").groupBy("cls").agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"))
-    total = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    for seed in count():
+        rows = written(texts.mapInArrow(_sets(seed), f"doc_id {kind}, th long, n_shingles long, cls long, rest long"), root, f"rows-{seed}")
+        named = rows.filter("cls IS NOT NULL").groupBy("cls")
+        if not named.agg(F.min("rest").alias("a"), F.max("rest").alias("b")).filter("a <> b").limit(1).count():
+            break
+    classes = named.agg(F.min(F.struct("doc_id", "th")).alias("rep"), F.min("doc_id").alias("least"), F.first("n_shingles").alias("n"))
+    total, n_rows = rows.agg(F.coalesce(F.sum("n_shingles"), F.lit(0)), F.count("*")).first()
     buckets = max(16, int(total // 2 // PER_BUCKET) + 1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
-    posted = texts.select("text").mapInArrow(_postings(buckets), "bucket long, h binary, cls binary, mark binary")
+    posted = texts.select("text").mapInArrow(_postings(buckets, seed), "bucket long, h binary, cls binary, mark binary")
     lists = written(posted.groupBy("bucket").applyInArrow(_lists(buckets), "long boolean, list long, cls long"), root, "lists")
     shared = lists.groupBy("cls").agg(F.count_if(~F.col("long")).alias("short"), F.count_if("long").alias("long"))
     spare = lambda n: F.greatest(F.lit(1), F.floor(n / 5))
@@ -287,7 +308,7 @@ def join(docs: DataFrame, cap: int = CAP) -> DataFrame:
     pairs = pairs.filter((F.col("c") >= need) & close).select(F.col("p.x.cls").alias("a"), F.col("p.y.cls").alias("b"))
     # a long list is cut into salted parts, its classes tied to their part's least one, and those to the list's
     loose = lists.filter("long").join(alive.filter("loose").select("cls"), "cls")
-    loose = loose.select("list", "cls", F.pmod(F.xxhash64("cls"), F.lit(PARTS)).alias("part"))
+    loose = loose.select("list", "cls", F.pmod(F.xxhash64("cls"), F.lit(max(PARTS, n_rows // PER_PART))).alias("part"))
     least = loose.groupBy("list", "part").agg(F.min("cls").alias("b"))
     inner = loose.join(least, ["list", "part"]).select(F.col("cls").alias("a"), "b")
     outer = least.join(least.groupBy("list").agg(F.min("b").alias("c")), "list").select(F.col("b").alias("a"), F.col("c").alias("b"))
@@ -313,14 +334,21 @@ def join(docs: DataFrame, cap: int = CAP) -> DataFrame:
 
     heads = classes.select("cls", "least").join(joined, "cls", "left").withColumn("head", F.coalesce("head", "cls"))
     named = heads.join(heads.groupBy("head").agg(F.min("least").alias("component_id")), "head").select(F.col("cls").alias("_cls"), "component_id")
-    out = rows.join(named, F.col("cls") == F.col("_cls"), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    named = written(named, root, "named")
+    removed(spark, root, f"rows-{seed}", "named")
+    # texts without a set have no class to be joined by
+    out = rows.filter("cls IS NOT NULL").join(named, F.col("cls") == F.col("_cls")).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    return out.unionByName(rows.filter("cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The set of each class, once a task, however often its row is repeated."""
+    seen: set[int] = set()
     for batch in batches:
-        found = [set_of(x).astype("<u8").tobytes() for x in raw(batch.column("text"))]
-        yield pa.RecordBatch.from_arrays([batch.column("cls"), pa.array(found, pa.binary())], ["cls", "shingles"])
+        own = batch.column("cls").to_pylist()
+        new = [i for i, c in enumerate(own) if not (c in seen or seen.add(c))]
+        texts = raw(batch.column("text").take(pa.array(new, pa.int64())))
+        yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in new], pa.int64()), pa.array([set_of(x).astype("<u8").tobytes() for x in texts], pa.binary())], ["cls", "shingles"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
