@@ -7,13 +7,17 @@ deadline, since the weights fill the slots exactly, so after any slot each sourc
 however long the phase is. When a source has run out, a new phase starts with the weights of the rest. Every row is kept, in
 one place.
 
-Only one number a source reaches the driver, ``MAX_SOURCES`` of them at most. The schedule is made on an executor as a stream:
-its state is a few numbers a source, its rows hold the slots of one source in a range of ``total`` slots, and it is joined to
-the rows by source and block, not broadcast. It is one pass in one task, over one number a block of text. Running places are
-counted within (source, hash bucket) groups, so a source with most rows is spread over ``buckets`` groups.
+The schedule is made on an executor as a stream over the sources' sizes, any number of them: its state is a few numbers a source,
+its rows hold the slots of one source in a range of ``total`` slots, and it is joined to the rows by source and block, not
+broadcast. It is one pass in one task, a few microseconds for each block of text and for each source of each phase; a larger
+``block`` makes it shorter. Running places are counted within (source, hash bucket) groups, more of them the more rows there are.
 
-Null texts have size one unit, as empty ones; a null source is a source of its own; rows of equal id and source are ordered
-by text hash, equal rows are interchangeable. An empty table gives an empty result.
+A row lies whole in the slot in which it begins. The less-than-one-block bound is on slots: of the texts themselves the share of a
+source may besides be off by the length of its text that crosses the end of a block, so by more than a block where a text is
+longer than one; the blocks that such a text covers whole leave their slots empty.
+
+Null texts have size one unit, as empty ones; a null source is a source of its own; rows are ordered by a hash of id and text, so
+null and repeated ids spread; equal rows are interchangeable. An empty table gives an empty result; extra columns are kept.
 """
 
 from __future__ import annotations
@@ -35,8 +39,8 @@ from ..runtime import ship
 from .common import packed, unpacked
 
 BLOCK = 1 << 16
-BUCKETS = 256
-MAX_SOURCES = 2000
+#: Hash buckets of a source, at least; rows of all sources for each bucket beyond that.
+BUCKETS, PER_BUCKET = 256, 500_000
 #: Slots of a range of the schedule: how it is cut into rows, nothing else.
 TOTAL = 1000
 #: Rows of the schedule in an Arrow batch.
@@ -72,14 +76,6 @@ def exact(weights: Mapping[object, float]) -> dict[object, int]:
     return {k: int(w * scale) for k, w in shares.items()}
 
 
-def whole(weights: Mapping[object, float], total: int = TOTAL) -> dict[object, int]:
-    """Weights as positive integers that add up to about ``total``: rounded, one at least; the schedule doesn't use them."""
-    if any(not w > 0 for w in weights.values()):
-        raise ValueError("target weights must be positive")
-    scale = max(total, len(weights)) / sum(weights.values())
-    return {k: max(1, round(w * scale)) for k, w in weights.items()}
-
-
 @dataclass
 class Phase:
     """A source's part of a range of ``length`` slots at most: block first + j goes to slot start + slots[j], for j under ``count``."""
@@ -131,9 +127,9 @@ def _key(source: Column) -> Column:
 def _placed(docs: DataFrame, buckets: int) -> DataFrame:
     """doc_id, _th, _key, _size, _begin (units of the source before the row)."""
     size = F.greatest(F.lit(1), F.coalesce(F.length("text"), F.lit(0))).cast("long")
-    h = F.xxhash64("doc_id")
-    slim = docs.select("doc_id", F.xxhash64("text").alias("_th"), _key(F.col("source")).alias("_key"), size.alias("_size"), h.alias("_h"))
-    slim = slim.withColumn("_bucket", F.shiftright("_h", 56).cast("int") + 128 if buckets == 256 else F.pmod(F.shiftright("_h", 20), F.lit(buckets)).cast("int"))
+    slim = docs.select("doc_id", F.xxhash64("text").alias("_th"), _key(F.col("source")).alias("_key"), size.alias("_size"))
+    bits = max(1, (buckets - 1).bit_length())
+    slim = slim.withColumn("_h", F.xxhash64("doc_id", "_th")).withColumn("_bucket", F.shiftright("_h", 64 - bits).cast("int"))
     inner = Window.partitionBy("_key", "_bucket").orderBy("_h", "doc_id", "_th").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = slim.withColumn("_inner", F.sum("_size").over(inner) - F.col("_size"))
     sums = slim.groupBy("_key", "_bucket").agg(F.sum("_size").alias("_sum"))
@@ -142,37 +138,37 @@ def _placed(docs: DataFrame, buckets: int) -> DataFrame:
     return rows.join(sums, ["_key", "_bucket"]).select("doc_id", "_th", "_key", "_size", (F.col("_inner") + F.col("_offset")).alias("_begin"))
 
 
-def schedule(docs: DataFrame, weights: Mapping[object, float] | None = None, block: int = BLOCK, total: int = TOTAL, max_sources: int = MAX_SOURCES) -> DataFrame:
+def schedule(docs: DataFrame, weights: Mapping[object, float] | None = None, block: int = BLOCK, total: int = TOTAL) -> DataFrame:
     """The Pfair schedule as a table: a row for each source and range of slots. ``weights`` by source (None is a null source);
     sources that it leaves out are an error, and none at all means tempered sizes."""
     size = F.greatest(F.lit(1), F.coalesce(F.length("text"), F.lit(0))).cast("long")
-    found = docs.groupBy("source").agg(F.sum(size).alias("n")).limit(max_sources + 1).collect()
-    if len(found) > max_sources:
-        raise ValueError(f"more than {max_sources} sources")
-    sizes = {r["source"]: r["n"] for r in found}
-    targets = tempered(sizes) if weights is None else {s: weights[s] for s in sizes}
-    exact(targets)
-    blocks = {s: -(-n // block) for s, n in sizes.items()}
+    sizes = docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum(size).alias("n"))
+    if weights is not None:
+        exact(weights)
+        left_out = F.coalesce(~F.col("source").isin([str(s) for s in weights if s is not None]), F.lit(None not in weights))
+        if (lost := sizes.filter(left_out).first()) is not None:
+            raise KeyError(lost["source"])
+        weights = {None if s is None else str(s): w for s, w in weights.items()}
     ship(docs.sparkSession)
 
     def rows(batches):
-        for _ in batches:
-            plan = phases(blocks, targets, total)
-            while part := list(islice(plan, BATCH)):
-                keys = ["n" if p.source is None else f"s{p.source}" for p in part]
-                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((keys, [p.first for p in part], [p.start for p in part], [p.slots for p in part]), _ARROW, strict=True)], schema=_ARROW)
+        found = {s: n for b in batches for s, n in zip(*(b.column(c).to_pylist() for c in ("source", "n")), strict=True)}
+        plan = phases({s: -(-n // block) for s, n in found.items()}, tempered(found) if weights is None else weights, total)
+        while part := list(islice(plan, BATCH)):
+            keys = ["n" if p.source is None else f"s{p.source}" for p in part]
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((keys, [p.first for p in part], [p.start for p in part], [p.slots for p in part]), _ARROW, strict=True)], schema=_ARROW)
 
-    return docs.sparkSession.range(0, 1, 1, 1).mapInArrow(rows, _SCHEDULE)
+    return sizes.coalesce(1).mapInArrow(rows, _SCHEDULE)
 
 
-def mixed(docs: DataFrame, weights: Mapping[object, float] | None = None, block: int = BLOCK, total: int = TOTAL, buckets: int = BUCKETS) -> DataFrame:
+def mixed(docs: DataFrame, weights: Mapping[object, float] | None = None, block: int = BLOCK, total: int = TOTAL, buckets: int | None = None) -> DataFrame:
     """Per row: doc_id, source, text_hash, block (of its source, by where the row begins), slot (of the mix), place (units of
     the block before the row). Sorting by slot, place, doc_id, text_hash gives the mix."""
     turn = F.posexplode("_slots").alias("_at", "_turn")
     plan = schedule(docs, weights, block, total).select("_key", "_first", "_start", turn)
     # a merge join: what Spark supposes of the schedule's size is that of one row, and it must not be broadcast for that
     plan = plan.select("_key", (F.col("_first") + F.col("_at")).alias("_b"), (F.col("_start") + F.col("_turn")).alias("_slot")).hint("merge")
-    rows = _placed(docs, buckets).withColumn("_block", F.floor(F.col("_begin") / block).cast("long")).withColumnRenamed("_key", "_k")
+    rows = _placed(docs, max(BUCKETS, docs.count() // PER_BUCKET) if buckets is None else buckets).withColumn("_block", F.floor(F.col("_begin") / block).cast("long")).withColumnRenamed("_key", "_k")
     rows = rows.join(plan, (F.col("_k") == F.col("_key")) & (F.col("_block") == F.col("_b")))
     source = F.when(F.col("_k") == "n", F.lit(None)).otherwise(F.substring("_k", 2, 1 << 30))
     return rows.select("doc_id", source.alias("source"), F.col("_th").alias("text_hash"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), (F.col("_begin") % block).cast("long").alias("place"), F.col("_size").alias("size"))
