@@ -175,18 +175,6 @@ mapbox://styles/[^"'\s]+ | mapbox | interactive_webmap | high
 # Words of a path or title that make a page worth rendering.
 MAP_ADJACENT = "map gis viewer locator explorer dashboard find where location parcel zoning district boundary".split()
 
-# Controls that a renderer may operate before it observes a page.
-CLICK_TEXT = r"\b(map|view map|show map|locator|directions)\b"
-CONTROLS = """
-[role=tab]
-[aria-expanded=false]
-details:not([open]) > summary
-.accordion-button.collapsed
-.accordion__title, .accordion-title, .accordion-header button
-[data-toggle=collapse], [data-bs-toggle=collapse], [data-toggle=tab], [data-bs-toggle=tab]
-.ui-tabs-anchor, .ui-accordion-header
-"""
-
 # Ancestors that make a finding site chrome, in order.
 CHROME = """
 header
@@ -254,3 +242,41 @@ BLOCK_STATUSES = (401, 403, 429, 502, 503, 504)
 # Extensions of files that are no pages, and tracking parameters (globs).
 ASSET_EXTENSIONS = "pdf jpg jpeg png gif svg webp zip doc docx xls xlsx ppt pptx csv mp4 mp3 ics xml rss json txt".split()
 TRACKING = "utm_* fbclid gclid mc_cid mc_eid dclid msclkid".split()
+
+# Attributes that hold the URL of an embed that scripts load later, and elements that other passes look at.
+LAZY_ATTRIBUTES = "data-src data-url data-href data-iframe-src data-embed".split()
+NOT_LAZY = "iframe img a object embed source".split()
+
+# Links that lead to no page, by scheme; those that lead to no page to crawl; URLs anywhere in a page's source.
+NO_PAGE = r"(?:mailto|tel|javascript):"
+NO_CRAWL = r"(?:mailto|tel|javascript|data):"
+SOURCE_URL = r"https?://[^\s\"'<>()\\]+"
+STYLE_IN_SOURCE = r"mapbox://styles/[^\"'\s]+"
+HEADINGS = "h1 h2 h3 figcaption".split()
+
+# Where identities stand in URLs.
+STYLE_URI = r"mapbox://styles/([^/?#\s\"']+)/([^/?#\s\"']+)"
+STYLE_API = r"/styles/v1/([^/]+)/([^/]+)"
+ITEM_ID = r"\b[0-9a-f]{32}\b"
+ITEM_PATH = r"/(?:experience|dashboards|opsdashboard|stories|collections|instant/[a-z0-9_-]+|apps/[A-Za-z]+)/([0-9a-f]{32})\b"
+ITEM_PARAMS = "id appid webmap".split()
+SERVICE_HOST = r"(services|tiles)\d*\.arcgis\.com"
+SERVICE_PATH = r"/(?:tiles/)?([A-Za-z0-9]{8,32})/arcgis/rest/services/(.+?)/(?:FeatureServer|MapServer|ImageServer|VectorTileServer|SceneServer)\b"
+ORG_HOST = r"([a-z0-9-]+)\.maps\.arcgis\.com"
+KEPT_PARAMS = "appid webmap id viewer mid".split()
+#: Longest value of an identifying parameter that a key spells out.
+LONGEST_VALUE = 64
+# Fixed value: beginnings of keys that name one application wherever it is embedded.
+STRONG_KEYS = "arcgis:item: mapbox:style: gmymaps:".split()
+
+# Labels of reports.
+HOW = {"link": "link", "embed": "iframe_embed", "image": "static_image", "page": "in_page"}
+KIND_SCRIPT, KIND_IMAGE, KIND_PAGE = "ArcGIS JS API map (in page)", "Static map image", "In-page map ({vendor})"
+HOSTING = {"item": "ArcGIS Online", "service": "ArcGIS Online hosted service", "esri-enterprise": "ArcGIS Enterprise (county)", "esri": "Esri (no item id)"}
+SUMMARY = {"chrome": "site-wide navigation", "both": "content + navigation", "content": "content"}
+KEY_LIMITS = {
+    "none": "not probed", "vendor": "not probed (vendor)", "referrer": "referrer-restricted", "other": "restricted/other: ", "open": "UNRESTRICTED (works without a referrer)", "unknown": "unknown: ", "url": "URL-restricted",
+    "token": "UNRESTRICTED (no allowed URLs)",
+}
+# Libraries whose global says nothing of a container.
+CHART_VENDORS = ("d3", "plotly")

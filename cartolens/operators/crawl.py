@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass, field
 from itertools import count
+from time import monotonic
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
@@ -18,13 +20,19 @@ from ..rules import RuleSet
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; /tmp stands in only for a local master without that setting."""
+    """A new folder under spark.checkpoint.dir, deleted when the driver ends; /tmp stands in only for a local master without
+    that setting."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = "file:/tmp/checkpoints"
-    return f"{base.rstrip('/')}/cartolens-{uuid.uuid4().hex}"
+    root = f"{base.rstrip('/')}/cartolens-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.mkdirs(path)
+    fs.deleteOnExit(path)
+    return root
 
 
 def written(df: DataFrame, path: str) -> DataFrame:
@@ -88,26 +96,37 @@ def add_links(frontier: DataFrame, known: DataFrame, scope: Scope, allowed: Colu
     return links.select("url", "seq", "source", F.when(ok, "pending").otherwise("skipped").alias("status"), F.when(~ok, "robots_disallow").alias("skip_reason"))
 
 
+def capped(new: DataFrame, most: int) -> DataFrame:
+    """The first ``most`` new URLs by discovery, of which those that robots.txt forbids count too."""
+    return new.orderBy("seq", "url").limit(most) if new.limit(most + 1).count() > most else new
+
+
 def discover(seeds: DataFrame, edges: DataFrame, max_urls: int | None = None, max_rounds: int | None = None) -> DataFrame:
     """Breadth-first search: (url, depth) of all URLs that edges (src, dst) reach from seeds (url), the nearest first.
 
-    Each round is written to the shared folder. With ``max_urls`` the search stops when so many are known; ties of the last
-    round go by URL, so the result does not depend on partitioning. It goes on until no
-    new URL is found; a frontier left after ``max_rounds`` rounds, if given, is an error.
+    A round reads the newest URLs, the edges and what is known, and writes one table to the shared folder; its size comes from
+    what the write counted. With ``max_urls`` the search stops when so many are known; ties of the last round go by URL, so the
+    result does not depend on partitioning. It goes on until no new URL is found; a frontier left after ``max_rounds`` rounds, if
+    given, is an error.
     """
     spark = seeds.sparkSession
     root = shared_dir(spark)
     edges = written(edges.select("src", "dst").distinct(), f"{root}/edges")
-    known = frontier = written(seeds.select("url").distinct().select("url", F.lit(0).alias("depth")), f"{root}/0")
-    total = known.count()
+
+    def counted(df: DataFrame, name: str) -> tuple[DataFrame, int]:
+        seen = Observation()
+        return written(df.observe(seen, F.count(F.lit(1)).alias("n")), f"{root}/{name}"), seen.get["n"]
+
+    frontier, total = counted(seeds.select("url").distinct().select("url", F.lit(0).alias("depth")), "0")
+    known = frontier
     for depth in count(1):
         if max_urls is not None and total >= max_urls:
-            return known.orderBy("depth", "url").limit(max_urls)
+            break
         if max_rounds is not None and depth > max_rounds:
             raise ValueError(f"a frontier is left after {max_rounds} rounds")
         step = edges.join(frontier.select(F.col("url").alias("src")), "src", "left_semi").select(F.col("dst").alias("url")).distinct()
-        frontier = written(step.join(known.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth")), f"{root}/{depth}")
-        if not (n := frontier.count()):
+        frontier, n = counted(step.join(known.select("url"), "url", "left_anti").select("url", F.lit(depth).alias("depth")), str(depth))
+        if not n:
             break
         known, total = known.unionByName(frontier), total + n
     return known if max_urls is None or total <= max_urls else known.orderBy("depth", "url").limit(max_urls)
@@ -149,16 +168,52 @@ def reset_stale(queue: DataFrame, now: Column, minutes: int = 10, everything: bo
     return queue.withColumn("status", F.when(stale, "pending").otherwise(F.col("status")))
 
 
-def claim(queue: DataFrame, n: int, now: Column, tier: int | None = None) -> DataFrame:
-    """The next n pending URLs that may be tried: fewest attempts, then first discovered."""
+def claim(queue: DataFrame, n: int, now: Column, tier: int | None = None, urls: list[str] | None = None) -> DataFrame:
+    """The next n pending URLs that may be tried: fewest attempts, then first discovered. ``urls`` are taken whatever their turn."""
     ready = (F.col("status") == "pending") & (F.col("retry_after").isNull() | (F.col("retry_after") <= now))
     if tier == 1:
         ready &= F.col("tier1_done") == 0
     if tier == 2:
         ready &= F.col("tier2_reason").isin("hit", "pattern", "sample", "manual") & (F.col("tier2_done") == 0)
+    if urls is not None:
+        ready = F.col("url").isin(urls)
     return queue.filter(ready).orderBy("attempts", "seq").limit(n)
 
 
+class Stopped(RuntimeError):
+    """A run that ended before its work did; what was written stays, and the next run goes on from there."""
+
+
+@dataclass
+class Budget:
+    """When a run has to stop between two steps: at a deadline, where the disk runs full, or when it is told to."""
+
+    seconds: float | None = None
+    min_free_mb: int = 0
+    folder: str | None = None
+    began: float = field(default_factory=monotonic)
+    told: bool = False
+
+    def stop(self, *_: object) -> None:
+        """Also fit for signal.signal()."""
+        self.told = True
+
+    def reason(self, spark: SparkSession | None = None) -> str | None:
+        if self.told:
+            return "told to stop"
+        if self.seconds is not None and monotonic() - self.began >= self.seconds:
+            return "deadline"
+        if self.min_free_mb and self.folder and spark is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(self.folder)
+            if path.getFileSystem(spark._jsc.hadoopConfiguration()).getStatus().getRemaining() < self.min_free_mb << 20:
+                return "disk full"
+        return None
+
+    def check(self, spark: SparkSession | None = None) -> None:
+        if reason := self.reason(spark):
+            raise Stopped(reason)
+
+
 def rate_slots(arrivals: DataFrame, interval_ms: int, host: str = "host", at: str = "t_ms") -> DataFrame:
     """When each request may start (slot_ms) if a host is asked at most every ``interval_ms``: max(arrival, last slot + interval).
 

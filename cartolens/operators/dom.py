@@ -6,6 +6,7 @@ import re
 from collections.abc import Iterator
 from functools import lru_cache
 from html.parser import HTMLParser
+from itertools import islice
 
 from .. import fixed
 
@@ -172,46 +173,77 @@ def closest(node: Node, selector: str) -> Node | None:
     return next((n for n in node.ancestors() if matches(n, selector)), None)
 
 
-_STRONG = re.compile(fixed.STRONG_CHROME, re.I)
 #: Ancestors looked at, the element itself included.
 DEPTH = 200
 
 
+class Selectors:
+    """Selectors in order, filed by what the element they end at must have, so that a node is tested against few of them."""
+
+    def __init__(self, selectors: list[str]):
+        self.filed: dict[str, list[tuple[int, str, tuple]]] = {}
+        for number, selector in enumerate(selectors):
+            for steps in filter(None, _compiled(selector)):
+                self.filed.setdefault(self._handle(steps[-1][1]), []).append((number, selector, steps))
+
+    @staticmethod
+    def _handle(compound: tuple) -> str:
+        for tag, cls, id_, attr, *_ in compound:
+            if id_ or cls or attr:
+                return f"#{id_}" if id_ else f".{cls}" if cls else f"[{attr}"
+        return next((tag.lower() for tag, *_ in compound if tag and tag != "*"), "*")
+
+    def first(self, node: Node) -> str | None:
+        """The first selector in the list that the node matches."""
+        handles = [node.name, "*", *(f"[{a}" for a in node.attrs), *(f".{c}" for c in (node.get("class") or "").split())]
+        if node.get("id"):
+            handles.append(f"#{node.get('id')}")
+        hits = [(n, selector) for h in handles for n, selector, steps in self.filed.get(h, ()) if _chain(node, steps)]
+        return min(hits)[1] if hits else None
+
+    def nearest(self, node: Node) -> tuple[int, str] | None:
+        """How far up the nearest match is, and what it matches."""
+        return next(((up, hit) for up, n in enumerate(islice(node.ancestors(), DEPTH)) if (hit := self.first(n))), None)
+
+
+class Regions:
+    """Site chrome and main content by the nearest ancestors."""
+
+    def __init__(self, chrome: list[str], main: list[str]):
+        self.chrome, self.main = Selectors(chrome), Selectors(main)
+        self.strong = {s for s in chrome if re.search(fixed.STRONG_CHROME, s, re.I)}
+
+    def of(self, node: Node) -> str:
+        """Chrome counts if there is no main content around, or, for strong chrome, if it is the nearer one of the two."""
+        chrome = self.chrome.nearest(node)
+        if chrome is None:
+            return "main_content"
+        main = self.main.nearest(node)
+        outside = main is None or (chrome[0] < main[0] and chrome[1] in self.strong)
+        return "site_chrome" if outside else "main_content"
+
+
+@lru_cache(maxsize=64)
+def _regions(chrome: tuple[str, ...], main: tuple[str, ...]) -> Regions:
+    return Regions(list(chrome), list(main))
+
+
 def placement(node: Node, chrome: list[str], main: list[str]) -> str:
-    """main_content or site_chrome, by the nearest ancestor that matches; navigation inside main content is content."""
-    main_at = chrome_at = -1
-    strong = False
-    for depth, n in enumerate(node.ancestors()):
-        if depth >= DEPTH or main_at >= 0 and chrome_at >= 0:
-            break
-        if main_at < 0 and any(matches(n, s) for s in main):
-            main_at = depth
-        if chrome_at < 0 and (hit := next((s for s in chrome if matches(n, s)), None)):
-            chrome_at, strong = depth, bool(_STRONG.search(hit))
-    return decide(chrome_at, strong, main_at)
-
-
-def decide(chrome_at: int, strong: bool, main_at: int) -> str:
-    """From the depths of the nearest chrome and main ancestors (-1: none)."""
-    if chrome_at < 0:
-        return "main_content"
-    if main_at < 0:
-        return "site_chrome"
-    return "site_chrome" if chrome_at < main_at and strong else "main_content"
+    """main_content or site_chrome; navigation inside main content is content."""
+    return _regions(tuple(chrome), tuple(main)).of(node)
+
+
+def _step(node: Node) -> str:
+    if node.get("id"):
+        return f"{node.name}#{node.get('id')}"
+    classes = (node.get("class") or "").split()[:2]
+    siblings = [c for c in (node.parent.children if node.parent else ()) if isinstance(c, Node) and c.name == node.name]
+    number = f":nth-of-type({siblings.index(node) + 1})" if len(siblings) > 1 else ""
+    return ".".join([node.name, *classes]) + number
 
 
 def css_path(node: Node, most: int = 4) -> str:
-    """At most four steps from an ancestor (or an id, where it stops) down to the element."""
-    parts: list[str] = []
-    for n in node.ancestors():
-        if len(parts) == most:
-            break
-        if n.get("id"):
-            parts.insert(0, f"{n.name}#{n.get('id')}")
-            break
-        step = ".".join([n.name, *(n.get("class") or "").split()[:2]])
-        same = [c for c in n.parent.children if isinstance(c, Node) and c.name == n.name] if n.parent else []
-        if len(same) > 1:
-            step += f":nth-of-type({same.index(n) + 1})"
-        parts.insert(0, step)
-    return " > ".join(parts)
+    """The way down to the element from the nearest ancestor with an id, or from a few levels up."""
+    line = list(islice(node.ancestors(), most))
+    anchor = next((i for i, n in enumerate(line) if n.get("id")), len(line) - 1)
+    return " > ".join(_step(n) for n in reversed(line[: anchor + 1]))

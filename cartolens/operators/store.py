@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .. import fixed
 from ..functions.identity import inpage_key, is_per_page
@@ -50,10 +49,14 @@ def chrome_presence(findings: DataFrame) -> DataFrame:
 
 
 def exemplars(findings: DataFrame) -> DataFrame:
-    """Findings as stored: all of main content, and of site chrome those on the first page with that application and value."""
-    first = Window.partitionBy("identity_key", "signal_value").orderBy("seq", "tier")
-    chrome = findings.filter("placement = 'site_chrome'").withColumn("_rank", F.dense_rank().over(first)).filter("_rank = 1").drop("_rank")
-    return findings.filter("placement <> 'site_chrome'").unionByName(chrome)
+    """Findings as stored: all of main content, and of site chrome those on the first page with that application and value.
+
+    The first page comes from an aggregate that is combined before its shuffle, so an application that is on every page's
+    navigation is no hot key of a window."""
+    chrome = findings.filter("placement = 'site_chrome'")
+    first = chrome.groupBy("identity_key", "signal_value").agg(F.min(F.struct("seq", "tier")).alias("_first"))
+    kept = chrome.join(first, ["identity_key", "signal_value"]).filter(F.struct("seq", "tier") == F.col("_first")).drop("_first")
+    return findings.filter("placement <> 'site_chrome'").unionByName(kept.select(findings.columns))
 
 
 def type_rank(kind: Column) -> Column:
@@ -81,14 +84,26 @@ def inventory(findings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(stored findings, applications with occurrence_count, chrome presence). Applications on no page any more are left out."""
     left = supersede(findings)
     presence = chrome_presence(left)
-    apps = applications(left).join(occurrence_counts(left, presence), "identity_key")
+    apps = without_orphans(applications(left).join(occurrence_counts(left, presence), "identity_key", "left"))
     return exemplars(left), apps, presence
 
 
 def first_sightings(findings: DataFrame) -> DataFrame:
-    """The first finding of each application: the stream of new applications."""
-    first = Window.partitionBy("identity_key").orderBy(*ORDER)
-    return findings.withColumn("_n", F.row_number().over(first)).filter("_n = 1").drop("_n")
+    """The first finding of each application: the stream of new applications. Of findings equal in order and identity one."""
+    row = F.struct(*[F.col(c) for c in findings.columns])
+    return findings.groupBy("identity_key").agg(F.min_by(row, F.struct(*ORDER)).alias("f")).select("f.*")
+
+
+def without_orphans(apps: DataFrame) -> DataFrame:
+    """Applications that some page still has (occurrence_count), or that a screenshot has been taken of."""
+    pictured = F.col("screenshot_path").isNotNull() if "screenshot_path" in apps.columns else F.lit(False)
+    return apps.filter((F.coalesce("occurrence_count", F.lit(0)) > 0) | pictured)
+
+
+def replace_requests(old: DataFrame, new: DataFrame, rescanned: DataFrame) -> DataFrame:
+    """The request log after pages (url) have been rendered again: all their old requests go, also those of pages that now have
+    none."""
+    return old.join(rescanned.select("url").distinct(), "url", "left_anti").unionByName(new)
 
 
 def duplicate_groups(findings: DataFrame) -> DataFrame:
@@ -98,5 +113,5 @@ def duplicate_groups(findings: DataFrame) -> DataFrame:
 
 def strong_keys(findings: DataFrame) -> DataFrame:
     """(url, vendor, keys): the strong identities in a page's main content."""
-    named = F.col("identity_key").rlike("^(arcgis:item:|mapbox:style:|gmymaps:)") & (F.col("placement") == "main_content")
+    named = F.col("identity_key").rlike("^(" + "|".join(fixed.STRONG_KEYS) + ")") & (F.col("placement") == "main_content")
     return findings.filter(named).groupBy("url", "vendor").agg(F.array_sort(F.collect_set("identity_key")).alias("keys"))

@@ -2,13 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.urls import section
 
 
+def candidates(queue: DataFrame | None, listed: DataFrame | None, spark: SparkSession) -> DataFrame:
+    """(url, seq) of the queue and of sitemaps, each URL once, those of the queue first."""
+    known = queue.select("url", F.col("seq").cast("long").alias("seq")) if queue is not None else spark.createDataFrame([], "url string, seq long")
+    if listed is None:
+        return known
+    more = listed.select(F.col("loc").alias("url"), F.xxhash64("loc").bitwiseAND((1 << 61) - 1).bitwiseOR(1 << 61).alias("seq"))
+    return known.unionByName(more).groupBy("url").agg(F.min("seq").alias("seq"))
+
+
 def stratified(urls: DataFrame, n: int, homepage: str | None = None) -> DataFrame:
     """n URLs (url, seq) by turns from each first path segment, the homepage first: url, section, turn."""
     if homepage:
@@ -38,3 +49,9 @@ def verdict(loads: DataFrame) -> DataFrame:
     gated = gated_hosts(d).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("host", "pages")))).alias("map_hosts_only_with_consent"))
     out = d.agg(F.count("*").alias("sample_size"), signals.alias("cmp_signals")).crossJoin(gated)
     return out.withColumns({"consent_gating_detected": F.size("map_hosts_only_with_consent") > 0, "cmp_present": F.size("cmp_signals") > 0})
+
+
+def document(verdict: DataFrame) -> str:
+    """The verdict as the JSON document that a scan reads its consent mode from."""
+    row = verdict.first().asDict(recursive=True)
+    return json.dumps({k: row[k] for k in sorted(row)}, indent=2)

@@ -61,9 +61,8 @@ def augmented(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tier1(spark: SparkSession, d: str) -> DataFrame:
-    pages = augmented(spark, d)
-    found = detect.findings_of(detect.detect_pages(pages, rules()), 1)
-    return found.join(pages.select("url", F.col("page_id").alias("seq")), "url")
+    pages = augmented(spark, d).withColumnRenamed("page_id", "seq")
+    return detect.findings_of(detect.detect_pages(pages, rules(), keep=["seq"]), 1, ["seq"])
 
 
 def tier2(spark: SparkSession, d: str) -> DataFrame:
@@ -295,8 +294,7 @@ _HREFS = "SELECT page_id, url, unnest(regexp_extract_all(html, '<a href=\"([^\"]
 
 @query(f"SELECT page_id, count(*) AS links, count(DISTINCT href) AS targets FROM ({_HREFS}) GROUP BY 1")
 def link_edges(spark, d):
-    pages = pages_of(spark, d)
-    links = detect.links_of(detect.detect_pages(pages, rules())).join(pages.select(F.col("url").alias("page"), "page_id"), "page")
+    links = detect.links_of(detect.detect_pages(pages_of(spark, d), rules(), keep=["page_id"]), ["page_id"])
     return links.groupBy("page_id").agg(F.count("*").alias("links"), F.count_distinct("href").alias("targets"))
 
 
@@ -368,8 +366,7 @@ def occurrence_count(spark, d):
 
 @query("SELECT page_id, CAST(page_id % 2 = 0 OR page_id % 5 = 0 OR page_id % 11 = 0 AS INTEGER) AS hit, CAST(page_id % 2 = 0 OR page_id % 3 = 0 OR page_id % 5 = 0 OR page_id % 11 = 0 AS INTEGER) AS hit_with_links FROM pages")
 def hit_pages(spark, d):
-    pages = augmented(spark, d)
-    seen = detect.detect_pages(pages, rules()).join(pages.select("url", "page_id"), "url")
+    seen = detect.detect_pages(augmented(spark, d), rules(), keep=["page_id"])
     return seen.select("page_id", detect.is_hit(F.col("findings"), False).cast("int").alias("hit"), detect.is_hit(F.col("findings")).cast("int").alias("hit_with_links"))
 
 

@@ -26,19 +26,16 @@ def in_report(vendors: list[str]) -> Column:
 
 
 def app_kind(rule: Column, signal: Column, vendor: Column, key: Column) -> Column:
-    script = (rule == "host:js.arcgis.com") | (vendor == "esri") & signal.isin("selector", "global", "network", "static_html")
-    return (
-        F.when(rule.startswith("embed:"), F.substring(rule, 7, 1000)).when(script, "ArcGIS JS API map (in page)").when(signal == "image", "Static map image")
-        .when(key.startswith("inpage:"), F.concat(F.lit("In-page map ("), vendor, F.lit(")"))).otherwise(F.coalesce(vendor, F.lit("unknown")))
-    )
+    """What an application is called by its strongest sign: the embed rule's label, else by signal, else by vendor."""
+    by_script = (rule == "host:js.arcgis.com") | (vendor == "esri") & signal.isin("selector", "global", "network", "static_html")
+    in_page = F.replace(F.lit(fixed.KIND_PAGE), F.lit("{vendor}"), vendor)
+    labels = [F.nullif(F.regexp_extract(rule, "(?s)^embed:(.*)$", 1), F.lit("")), F.when(by_script, fixed.KIND_SCRIPT), F.when(signal == "image", fixed.KIND_IMAGE), F.when(key.startswith("inpage:"), in_page)]
+    return F.coalesce(*labels, vendor, F.lit("unknown"))
 
 
 def hosting() -> Column:
-    vendor = F.col("vendor")
-    return (
-        F.when(F.col("arcgis_item_id").isNotNull(), "ArcGIS Online").when(F.col("identity_key").startswith("arcgis:service:"), "ArcGIS Online hosted service")
-        .when(vendor == "esri-enterprise", "ArcGIS Enterprise (county)").when(vendor == "esri", "Esri (no item id)").otherwise(vendor)
-    )
+    named = {"item": F.col("arcgis_item_id").isNotNull(), "service": F.col("identity_key").startswith("arcgis:service:"), "esri-enterprise": F.col("vendor") == "esri-enterprise", "esri": F.col("vendor") == "esri"}
+    return F.coalesce(*[F.when(condition, fixed.HOSTING[name]) for name, condition in named.items()], F.col("vendor"))
 
 
 def applications_report(apps: DataFrame, findings: DataFrame, presence: DataFrame, vendors: list[str] | None = None) -> DataFrame:
@@ -62,7 +59,7 @@ def applications_report(apps: DataFrame, findings: DataFrame, presence: DataFram
     out = out.withColumns({
         "app_kind": app_kind(F.col("kind.rule"), F.col("kind.signal_type"), F.col("vendor"), F.col("identity_key")), "hosting": hosting(),
         "linked_only": (~none & (F.col("embed_pages") == 0)).cast("int"),
-        "placement_summary": F.when(none & some, "site-wide navigation").when(some, "content + navigation").otherwise("content"),
+        "placement_summary": F.when(none & some, fixed.SUMMARY["chrome"]).when(some, fixed.SUMMARY["both"]).otherwise(fixed.SUMMARY["content"]),
         "example_url": F.coalesce("example_main_url", "first_seen_url"), "flagged": F.col("type").isin(*fixed.FLAGGED_TYPES).cast("int"),
         "in_county_org_label": F.when(F.col("in_county_org") == 1, "yes").when(F.col("in_county_org") == 0, "no").when(F.col("arcgis_item_id").isNotNull(), "unknown").otherwise("n/a"),
     })
@@ -72,7 +69,7 @@ def applications_report(apps: DataFrame, findings: DataFrame, presence: DataFram
 def how(signals: Column) -> Column:
     """From an array of signal types."""
     has = lambda s: F.array_contains(signals, s)
-    return F.when(F.forall(signals, lambda s: s == "link"), "link").when(has("iframe") | has("frame"), "iframe_embed").when(has("image"), "static_image").otherwise("in_page")
+    return F.when(F.forall(signals, lambda s: s == "link"), fixed.HOW["link"]).when(has("iframe") | has("frame"), fixed.HOW["embed"]).when(has("image"), fixed.HOW["image"]).otherwise(fixed.HOW["page"])
 
 
 def occurrences(findings: DataFrame, apps: DataFrame, titles: DataFrame | None = None, vendors: list[str] | None = None, chrome: bool = False) -> DataFrame:
@@ -161,16 +158,23 @@ def api_keys(findings: DataFrame, responses: DataFrame | None = None, vendors: l
 
 
 def restriction(vendor: Column, body: Column, status: Column) -> Column:
-    """What a vendor's answer says about a key."""
-    j = lambda p: F.get_json_object(body, p)
-    message, state = F.coalesce(j("$.error_message"), F.lit("")), F.coalesce(j("$.status"), status.cast("string"))
-    google = (
-        F.when(message.rlike("(?i)referer restrictions"), "referrer-restricted").when(message.rlike("(?i)IP address restrictions|not authorized|API key not valid|expired"), F.concat(F.lit("restricted/other: "), F.substring(message, 1, 80)))
-        .when(state.isin("OK", "ZERO_RESULTS"), "UNRESTRICTED (works without a referrer)").otherwise(F.concat(F.lit("unknown: "), F.coalesce(state, F.lit(""))))
-    )
-    code, limited = j("$.code"), F.coalesce(j("$.token.allowedUrls[0]").isNotNull(), F.lit(False))
-    mapbox = F.when(code == "TokenValid", F.when(limited, "URL-restricted").otherwise("UNRESTRICTED (no allowed URLs)")).otherwise(F.concat(F.lit("unknown: "), F.coalesce(code, status.cast("string"), F.lit(""))))
-    return F.when(body.isNull(), "not probed").when(vendor == "google", google).when(vendor == "mapbox", mapbox).otherwise("not probed (vendor)")
+    """What a vendor's answer (JSON) says about a key: the first label whose condition holds."""
+    say, answer = fixed.KEY_LIMITS, lambda p: F.get_json_object(body, p)
+    doubt = lambda value: F.concat(F.lit(say["unknown"]), F.coalesce(value, status.cast("string"), F.lit("")))
+    message, code = F.coalesce(answer("$.error_message"), F.lit("")), answer("$.code")
+    refused = message.rlike("(?i)IP address restrictions|not authorized|API key not valid|expired")
+    listed = F.coalesce(answer("$.token.allowedUrls[0]").isNotNull(), F.lit(False))
+    google = [
+        (message.rlike("(?i)referer restrictions"), F.lit(say["referrer"])), (refused, F.concat(F.lit(say["other"]), F.substring(message, 1, 80))),
+        (F.coalesce(answer("$.status"), status.cast("string")).isin("OK", "ZERO_RESULTS"), F.lit(say["open"])), (F.lit(True), doubt(answer("$.status"))),
+    ]
+    mapbox = [((code == "TokenValid") & listed, F.lit(say["url"])), (code == "TokenValid", F.lit(say["token"])), (F.lit(True), doubt(code))]
+    first = lambda of, cases: F.coalesce(*[F.when((vendor == of) & condition, label) for condition, label in cases])
+    return F.when(body.isNull(), say["none"]).otherwise(F.coalesce(first("google", google), first("mapbox", mapbox), F.lit(say["vendor"])))
+
+
+def by_kind(apps: DataFrame) -> DataFrame:
+    return counts_by(apps, "app_kind").orderBy(F.desc("c"), "app_kind")
 
 
 def by_vendor(apps: DataFrame) -> DataFrame:

@@ -34,6 +34,9 @@ class Rule:
         return _compiled(self.regex)
 
 
+#: Answers that a rule set remembers.
+REMEMBERED = 20_000
+
 _cache: dict[str, re.Pattern] = {}
 
 
@@ -93,7 +96,18 @@ class RuleSet:
     credentials: tuple[str, ...]
     cmp: dict = field(default_factory=dict)
 
-    # Python twins
+    def __post_init__(self) -> None:
+        self.known: dict[tuple[str, str], Rule | None] = {}
+
+    # Python twins; the same URLs stand on many pages, so what was looked up is kept, up to ``REMEMBERED`` answers
+    def lookup(self, matcher: str, url: str) -> Rule | None:
+        """The rule that ``embed``, ``request`` or ``static_map`` gives."""
+        if (matcher, url) not in self.known:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[matcher, url] = getattr(self, matcher)(url)
+        return self.known[matcher, url]
+
     def request(self, url: str) -> Rule | None:
         """Static map service, host, path, tile: the first that matches a request's URL; its kind says which."""
         from .functions.whatwg import parse
@@ -186,10 +200,19 @@ def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
     return spark.createDataFrame([(i, r.id, r.vendor, r.type, r.confidence, f"(?i){r.regex}", r.label, r.identity_key) for i, r in enumerate(rules)], "ord int, id string, vendor string, type string, confidence string, regex string, label string, identity_key string")
 
 
+#: Rules of a table that are sent to every task; more are joined without.
+MOST_RULES = 10_000
+
+
+def small(rules: DataFrame) -> DataFrame:
+    """``rules`` with a hint to broadcast them, if a count shows that they are few."""
+    return F.broadcast(rules) if rules.limit(MOST_RULES + 1).count() <= MOST_RULES else rules
+
+
 def first_match_join(df: DataFrame, value: str, rules: DataFrame) -> DataFrame:
     """``df`` with the number of the first rule of a rule table that matches, as ``ord``: for rule sets that are tables."""
     keyed = df.select(value).distinct()
-    met = keyed.join(F.broadcast(rules), F.expr(f"{value} rlike regex")).groupBy(value).agg(F.min("ord").alias("ord"))
+    met = keyed.join(small(rules), F.expr(f"{value} rlike regex")).groupBy(value).agg(F.min("ord").alias("ord"))
     return df.join(met, value, "left")
 
 

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass, field
+from itertools import dropwhile, groupby, zip_longest
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..rules import small
+
 
 @dataclass
 class Robots:
@@ -36,39 +39,39 @@ def path_regex(pattern: str) -> str:
     return "^" + ".*".join(re.escape(p) for p in pattern.removesuffix("$").split("*")) + ("$" if end else "")
 
 
+#: A line of a group: a field and its value, comments cut off.
+_LINE = re.compile(r"^[ \t]*([A-Za-z-]+)[ \t]*:[ \t]*([^#\r\n]*)", re.M)
+
+
+def fields(text: str) -> list[tuple[str, str]]:
+    return [(name.lower(), value.strip()) for name, value in _LINE.findall(text)]
+
+
+def groups(lines: list[tuple[str, str]]) -> list[tuple[list[str], list[tuple[str, str]]]]:
+    """(agents, lines) of each group: a run of agents and the run of rules that follows it; rules before any agent are for all."""
+    runs = [(agents, list(run)) for agents, run in groupby((x for x in lines if x[0] in ("user-agent", "allow", "disallow", "crawl-delay")), lambda x: x[0] == "user-agent")]
+    if runs and not runs[0][0]:
+        opening = list(dropwhile(lambda x: x[0] == "crawl-delay", runs[0][1]))
+        runs[:1] = [(True, [("user-agent", "*")]), (False, opening)] if opening else []
+    return [([v.lower() for _, v in agents], rules) for (_, agents), (_, rules) in zip_longest(runs[::2], runs[1::2], fillvalue=(False, []))]
+
+
 def parse(text: str, agent: str) -> Robots:
     """Rules of the first group that names a part of ``agent``, else of the first for all. Groups are not merged."""
-    groups: list[dict] = []
-    out = Robots()
-    for line in re.split(r"\r?\n", text):
-        m = re.match(r"([A-Za-z-]+)\s*:\s*(.*)$", re.sub("#.*$", "", line).strip())
-        if not m:
-            continue
-        name, value = m[1].lower(), m[2].strip()
-        if name == "user-agent":
-            if not groups or groups[-1]["closed"]:
-                groups.append({"agents": [], "rules": [], "closed": False, "delay": None})
-            groups[-1]["agents"].append(value.lower())
-        elif name in ("allow", "disallow"):
-            if not groups:
-                groups.append({"agents": ["*"], "rules": [], "closed": False, "delay": None})
-            groups[-1]["closed"] = True
-            if value:
-                groups[-1]["rules"].append((name == "allow", value))
-        elif name == "sitemap" and value:
-            out.sitemaps.append(value)
-        elif name == "crawl-delay" and groups:
-            groups[-1]["closed"] = True
-            groups[-1]["delay"] = float(value) if re.fullmatch(r"\d+(\.\d+)?", value) else None
-    named = [g for g in groups if any(a != "*" and a in agent.lower() for a in g["agents"])]
-    pick = (named or [g for g in groups if "*" in g["agents"]] or [{"rules": [], "delay": None}])[0]
-    out.rules, out.crawl_delay = pick["rules"], pick["delay"]
-    return out
+    lines = fields(text)
+    found = groups(lines)
+    mine = [rules for names, rules in found if any(n != "*" and n in agent.lower() for n in names)]
+    rules = next(iter(mine or [rules for names, rules in found if "*" in names]), [])
+    delays = [v for name, v in rules if name == "crawl-delay"][-1:]
+    return Robots(
+        [(name == "allow", v) for name, v in rules if name != "crawl-delay" and v], [v for name, v in lines if name == "sitemap" and v],
+        next((float(v) for v in delays if re.fullmatch(r"\d+(\.\d+)?", v)), None),
+    )
 
 
 def allowed_join(urls: DataFrame, rules: DataFrame, path: str = "path") -> DataFrame:
     """``urls`` with ``allowed``, for robots rules that are a (small, broadcast) table (allow, pattern, regex): longest match."""
     keyed = urls.select(path).distinct()
     best = F.max_by("allow", F.struct(F.length("pattern"), F.col("allow")))
-    met = keyed.join(F.broadcast(rules), F.expr(f"{path} rlike regex")).groupBy(path).agg(best.alias("allowed"))
+    met = keyed.join(small(rules), F.expr(f"{path} rlike regex")).groupBy(path).agg(best.alias("allowed"))
     return urls.join(met, path, "left").withColumn("allowed", F.coalesce("allowed", F.lit(True)))

@@ -6,7 +6,7 @@ import gzip
 import zlib
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -40,11 +40,20 @@ def unpack(body: pd.Series) -> pd.Series:
 
 
 def stored_pages(spark: SparkSession, path: str, max_bytes: int = 5_000_000) -> DataFrame:
-    """Stored pages with ``html``; a body over the limit is cut there and marked truncated."""
+    """Stored pages with ``html``; a body over the limit is cut there, between two characters, and marked truncated."""
     pages = spark.read.parquet(path)
     if "html" not in pages.columns:
         pages = pages.withColumn("html", unpack("html_gz")).drop("html_gz")
-    return pages.withColumns({"truncated": F.coalesce(F.octet_length("html") > max_bytes, F.lit(False)), "html": F.substring("html", 1, max_bytes)})
+    over = F.coalesce(F.octet_length("html") > max_bytes, F.lit(False))
+    return pages.withColumns({"truncated": over, "html": F.when(over, first_bytes(F.col("html"), max_bytes)).otherwise(F.col("html"))})
+
+
+def first_bytes(text: Column, most: int) -> Column:
+    """The whole characters within the first bytes."""
+    body = text.cast("binary")
+    part = F.make_valid_utf8(F.substring(body, 1, most).cast("string"))
+    inside = F.hex(F.substring(body, most + 1, 1)).rlike("^[89AB]")  # the next byte continues a character
+    return F.when(inside, F.regexp_replace(part, "\ufffd$", "")).otherwise(part)
 
 
 def page_files(spark: SparkSession, path: str) -> DataFrame:
@@ -72,18 +81,26 @@ def sitemap_entries(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("url").alias("sitemap"), index.alias("is_index"), F.posexplode(found).alias("place", "loc"))
 
 
+def sitemap_starts(configured: list[str], declared: list[str], homepage: str | None = None) -> list[str]:
+    """Where to begin: sitemaps from the configuration, then those that robots.txt declares; else the usual place."""
+    return list(dict.fromkeys([*configured, *declared])) or ([homepage.rstrip("/") + "/sitemap.xml"] if homepage else [])
+
+
 def expand_sitemaps(docs: DataFrame, start: list[str], most: int = MAX_SITEMAPS) -> DataFrame:
-    """(loc, sitemap) of all pages that the start sitemaps list, through any nested index; ``docs`` (url, body) are all documents.
+    """(loc, sitemap) of all pages that the start sitemaps list, through any nested index; ``docs`` (url, body: text, or packed
+    bytes) are all documents.
 
-    The loop runs over index documents, of which at most ``most`` are followed.
+    The loop runs over index documents, of which at most ``most`` are followed: by level, then in the order of their URLs.
     """
+    if docs.schema["body"].dataType == T.BinaryType():
+        docs = docs.withColumn("body", unpack("body"))
     entries = sitemap_entries(docs).cache()
     seen, todo = set(), list(dict.fromkeys(start))
     while todo and len(seen) < most:
         todo = todo[: most - len(seen)]
         seen.update(todo)
-        below = entries.filter(F.col("is_index") & F.col("sitemap").isin(todo)).select("loc").distinct().limit(most + len(seen)).collect()
-        todo = sorted({r["loc"] for r in below} - seen)
+        below = entries.filter(F.col("is_index") & F.col("sitemap").isin(todo)).select("loc").distinct()
+        todo = [r["loc"] for r in below.filter(~F.col("loc").isin(sorted(seen))).orderBy("loc").limit(most).collect()]
     pages = entries.filter(~F.col("is_index") & F.col("sitemap").isin(sorted(seen)))
     return pages.groupBy("loc").agg(F.min("sitemap").alias("sitemap"))
 

@@ -8,12 +8,16 @@ from typing import Any
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import fixed
-from ..operators.detect import detect_pages, findings_of
+from ..operators.detect import PAGE, detect_pages, findings_of
+from ..operators.store import latest_wins
 from ..rules import RuleSet
 
+DETECTED = T.StructType([*PAGE.fields, T.StructField("seq", T.LongType()), T.StructField("batch", T.LongType())])
+
 
 def page_stream(spark: SparkSession, folder: str, schema: str = "url string, html string, seq long", files: int = 64) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(folder)
@@ -24,15 +28,29 @@ def findings_stream(pages: DataFrame, rules: RuleSet) -> DataFrame:
     return findings_of(detect_pages(pages, rules), 1)
 
 
-def new_applications(findings: DataFrame, time: str = "detected_at", late: str = "1 day") -> DataFrame:
-    """The first finding of each identity: state is kept for identities, not pages, and bounded by the watermark."""
-    return findings.withWatermark(time, late).dropDuplicatesWithinWatermark(["identity_key"])
+def new_applications(findings: DataFrame) -> DataFrame:
+    """The first finding of each identity, announced once for good: the state is one key an application, not a page."""
+    return findings.dropDuplicates(["identity_key"])
 
 
 def ingest(pages: DataFrame, rules: RuleSet, out: str, checkpoint: str) -> Any:
-    """Runs all pages there are to Parquet findings, exactly once a page; starts again where it stopped."""
-    stream = findings_stream(pages, rules).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint)
-    return stream.trigger(availableNow=True).start()
+    """Detects on all pages there are and stores what each one shows now, exactly once; starts again where it stopped.
+
+    A batch is a folder of its own, written over if it is run again; a page scanned again is in a later batch, which current()
+    takes instead, also where the page has no findings any more."""
+
+    def upsert(batch: DataFrame, number: int) -> None:
+        one = latest_wins(batch, ["url"], [F.col("seq"), F.xxhash64("html")])
+        detect_pages(one, rules, keep=["seq"]).write.mode("overwrite").parquet(f"{out}/batch={number:09d}")
+
+    return pages.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def current(spark: SparkSession, out: str) -> DataFrame:
+    """The findings of each page's last scan, as of findings_of()."""
+    scans = spark.read.option("basePath", out).schema(DETECTED).parquet(out)
+    last = scans.groupBy("url").agg(F.max_by(F.struct("findings", "seq"), "batch").alias("s")).select("url", "s.*")
+    return findings_of(last, 1, ["seq"])
 
 
 def breaker_stream(statuses: DataFrame, window: int = 25, threshold: int = 8) -> DataFrame:

@@ -55,7 +55,7 @@ def pages(spark):
 
 @pytest.fixture(scope="module")
 def found(pages, rules):
-    return detect.findings_of(detect.detect_pages(pages, rules), 1).join(pages.select("url", "seq"), "url").cache()
+    return detect.findings_of(detect.detect_pages(pages, rules, keep=["seq"]), 1, ["seq"]).cache()
 
 
 def test_ground_truth(found):
@@ -63,7 +63,7 @@ def test_ground_truth(found):
     assert {(r["url"].removeprefix(HOME), r["identity_key"], r["type"]) for r in rows if r["placement"] == "main_content"} == TRUTH
     chrome = [r for r in rows if r["placement"] == "site_chrome"]
     assert {r["identity_key"] for r in chrome} == {f"arcgis:item:{STORY}"} and len(chrome) == len(PAGES)
-    by = {(r["url"].removeprefix(HOME), r["identity_key"]): r for r in rows}
+    by = {(r["url"].removeprefix(HOME), r["identity_key"]): r for r in sorted(rows, key=lambda r: -r["place"])}  # the first finding of each
     dash, static, link = by["/dash", f"arcgis:item:{ITEM}"], by["/static", "iframe:maps.googleapis.com/maps/api/staticmap/?center=37.5,-122.3"], by["/link", "link:google.com/maps"]
     assert dash["width_px"] == 100 and dash["height_px"] == 400 and dash["title"] == "Dash" and dash["arcgis_org"] == "city" and static["api_key"] == "AIzaFAKEKEY123" and static["title"] == "Map"
     assert link["title"] == "Get directions" and link["flagged"] == 1
@@ -216,9 +216,9 @@ def test_run(spark, pages, tmp_path):
     assert queue["/find-parcel"]["tier2_reason"] == "pattern" and queue["/dash"]["tier2_reason"] == "hit" and queue["/gone"]["skip_reason"] == "http_404" and queue["/script"]["status"] == "done"
     front = {r["url"].removeprefix(HOME): r["skip_reason"] for r in c.read("frontier").collect()}
     assert front == {"/about": "robots_disallow"}
-    head, *lines = next(Path(out, "applications.csv").glob("part-*")).read_text().splitlines()
+    head, *lines = Path(out, "applications.csv").read_text().splitlines()
     assert head.startswith("identity_key,vendor,app_kind") and len(lines) == len(apps) and json.loads(Path(out, "summary.json").read_text())["totals"]["applications"] == len(apps)
-    assert "<table>" in Path(out, "report.html").read_text() and any(Path(out, "findings.jsonl").glob("part-*"))
+    assert "<h2>By vendor</h2><table>" in Path(out, "report.html").read_text() and len(Path(out, "findings.jsonl").read_text().splitlines()) == done["findings"].count()
     before = sorted(map(repr, c.read("applications").collect()))
     c.run(out)
     assert sorted(map(repr, c.read("applications").collect())) == before
@@ -230,15 +230,119 @@ def test_streams(spark, pages, rules, tmp_path):
     pages.select("url", "html", "seq").repartition(2).write.parquet(src)
     streams.ingest(streams.page_stream(spark, src), rules, out, ck).awaitTermination(120)
     batch = detect.findings_of(detect.detect_pages(pages, rules), 1)
-    assert spark.read.parquet(out).count() == batch.count()
+    assert streams.current(spark, out).count() == batch.count()
+    # pages scanned again: one has lost its findings, one is as before
+    again = pages.select("url", F.when(F.col("url") == HOME + "/dash", "").otherwise(F.col("html")).alias("html"), (F.col("seq") + 1000).alias("seq")).filter(F.col("url").isin(HOME + "/dash", HOME + "/nav"))
+    again.write.mode("append").parquet(src)
+    streams.ingest(streams.page_stream(spark, src), rules, out, ck).awaitTermination(120)
+    now, lost = streams.current(spark, out), batch.filter(F.col("url") == HOME + "/dash").count()
+    assert now.count() == batch.count() - lost and now.filter(F.col("url") == HOME + "/dash").count() == 0 and lost
     events = str(tmp_path / "events")
     spark.createDataFrame([("h", i, 403) for i in range(9)] + [("g", i, 200) for i in range(9)], "host string, seq long, http_status int").coalesce(1).write.parquet(events)
     q = streams.breaker_stream(spark.readStream.schema("host string, seq long, http_status int").parquet(events)).writeStream.format("memory").queryName("b").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert {tuple(r) for r in spark.table("b").filter("tripped").select("host", "seq").collect()} == {("h", 7), ("h", 8)}
     times = str(tmp_path / "times")
-    found = detect.findings_of(detect.detect_pages(pages, rules), 1).withColumn("detected_at", F.timestamp_seconds(F.lit(1000)))
-    found.select("identity_key", "url", "detected_at").coalesce(1).write.parquet(times)
-    new = streams.new_applications(spark.readStream.schema("identity_key string, url string, detected_at timestamp").parquet(times)).writeStream.format("memory").queryName("n").trigger(availableNow=True).start()
-    new.awaitTermination(120)
-    assert spark.table("n").count() == batch.select("identity_key").distinct().count()
+    found = detect.findings_of(detect.detect_pages(pages, rules), 1).select("identity_key", "url")
+    for turn in ("n", "m"):  # applications that are seen again, however late, are not announced again
+        found.coalesce(1).write.mode("append").parquet(times)
+        new = streams.new_applications(spark.readStream.schema("identity_key string, url string").parquet(times)).writeStream.format("parquet").option("path", str(tmp_path / "new")).option("checkpointLocation", str(tmp_path / "new-ck")).trigger(availableNow=True).start()
+        new.awaitTermination(120)
+        assert spark.read.parquet(str(tmp_path / "new")).count() == batch.select("identity_key").distinct().count(), turn
+
+
+def test_two_rows_of_one_url_are_two_pages(spark, pages, rules):
+    once = detect.findings_of(detect.detect_pages(pages, rules, keep=["seq"]), 1, ["seq"])
+    twice = detect.findings_of(detect.detect_pages(pages.unionByName(pages.withColumn("seq", F.col("seq") + 500)), rules, keep=["seq"]), 1, ["seq"])
+    assert twice.count() == 2 * once.count() and twice.select("url", "seq", "place").distinct().count() == twice.count()
+
+
+def test_runs_stop_and_go_on(spark, pages, tmp_path):
+    folder = str(tmp_path / "crawl")
+    pages.unionByName(pages.filter("seq < 3").withColumn("seq", F.col("seq") - 50)).write.parquet(f"{folder}/pages.parquet")
+    script, dash = HOME + "/script", HOME + "/dash"
+    spark.createDataFrame([observation(script, selectors=[selector("#m")]), observation(dash, selectors=[selector("#a"), selector("#b")])], fuse.OBSERVATION).write.parquet(f"{folder}/observations.parquet")
+    spark.createDataFrame([(u, 0, "https://unpkg.com/leaflet/x.js", "script", "host:unpkg.com/leaflet*", "vendor_host", True) for u in (script, dash)], "url string, seq long, request_url string, resource_type string, matched_rule string, kind string, is_main boolean").write.parquet(f"{folder}/requests.parquet")
+    spark.createDataFrame([(HOME + "/sitemap.xml", f"<urlset><url><loc>{HOME}/new</loc></url><url><loc>{HOME}/dash</loc></url></urlset>")], "url string, body string").write.parquet(f"{folder}/sitemaps.parquet")
+    c = Crawl.open(spark, folder, CONFIG)
+    with pytest.raises(crawl.Stopped, match="deadline"):
+        c.run(str(tmp_path / "out"), budget=crawl.Budget(0.0))
+    told = crawl.Budget()
+    told.stop()
+    with pytest.raises(crawl.Stopped, match="told"):
+        c.run(str(tmp_path / "out"), budget=told)
+    with pytest.raises(crawl.Stopped, match="disk"):
+        c.run(str(tmp_path / "out"), budget=crawl.Budget(min_free_mb=1 << 40, folder=folder))
+    c.inventory()
+    assert c.read("queue").count() == pages.count()  # a URL is one row, however often it was recorded
+    assert {r["url"].removeprefix(HOME): r["source"] for r in c.read("frontier").collect()} == {"/about": "crawl", "/new": "sitemap"}
+    assert c.due(1).count() == 1
+    first = c.scan(limit=1).select("url").collect()
+    c.scan(limit=50)
+    assert {r["url"] for r in c.read("rendered").collect()} == {script, dash} and len(first) <= 1
+    assert c.scan(urls=[dash]).count() == 2 and c.read("tier2").filter(F.col("url") == dash).select("identity_key").distinct().count() == 2
+    assert c.read("request_log").count() == 2 and store.duplicate_groups(c.findings()).count() == 0
+    assert c.preflight(20)[0].filter(F.col("url") == HOME + "/new").count() == 1
+    assert {r["flag"]: r["up"] for r in c.status()["flags"].collect()} == {"blocked": False, "disk": False}
+    assert c.inventory(False).count() == pages.count() and c.read("frontier").select("url").collect()[0][0] == HOME + "/new"
+
+
+def test_command_line(spark, pages, tmp_path, capsys):
+    from cartolens.__main__ import main
+
+    folder, out = str(tmp_path / "crawl"), str(tmp_path / "out")
+    pages.write.parquet(f"{folder}/pages.parquet")
+    spark.createDataFrame([("p", True, ["x", "y"], ["OneTrust"]), ("p", False, ["x"], None)], "url string, with_consent boolean, map_hosts array<string>, cmp_signals array<string>").write.parquet(f"{folder}/loads.parquet")
+    (tmp_path / "c.yaml").write_text(json.dumps(CONFIG))
+    run = lambda *a: main([*a, "-c", str(tmp_path / "c.yaml"), "--out", out])
+    assert run("inventory", folder, "--no-crawl") == 0 and run("preflight", folder) == 0
+    verdict = json.loads(Path(out, "preflight.json").read_text())
+    assert verdict["consent_gating_detected"] and verdict["map_hosts_only_with_consent"] == {"y": 1}
+    assert run("scan", folder, "--verdict", str(Path(out, "preflight.json")), "--reset-in-progress", "--limit", "3") == 0
+    assert run("status", folder) == 0 and run("report", folder, "--no-probe-keys") == 0
+    assert run("run-crawl", folder, "--max-runtime", "0") == 1 and "deadline" in capsys.readouterr().err
+
+
+def test_detect_static_is_a_table_function(spark, rules):
+    from cartolens.rules import default_source
+
+    spark.udtf.register("detect_static", detect.DetectStatic)
+    source = json.dumps(default_source("example.gov", "city.maps.arcgis.com"))
+    page = PAGES["/dash"]
+    got = spark.sql("SELECT identity_key, width_px FROM detect_static(:html, :url, :rules)", args={"html": page, "url": HOME + "/dash", "rules": source}).collect()
+    want = detect.detect(page, HOME + "/dash", rules)["findings"]
+    assert [tuple(r) for r in got] == [(f["identity_key"], f["width_px"]) for f in want] and want
+
+
+def test_pages_are_cut_by_bytes_between_characters(spark, tmp_path):
+    texts = ["abc", "ééééé", "aéé漢😀", "x" * 10, "\ufffd" * 3, "", None]
+    spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "url string, html string").write.parquet(str(tmp_path / "p"))
+    for most in range(1, 12):
+        got = {r["url"]: r for r in tables.stored_pages(spark, str(tmp_path / "p"), most).collect()}
+        for i, t in enumerate(texts):
+            assert got[str(i)]["html"] == (t if t is None else t.encode()[:most].decode("utf-8", "ignore")) and got[str(i)]["truncated"] == (len((t or "").encode()) > most)
+
+
+def test_pages_are_stored_and_read_again(spark, pages, found, tmp_path):
+    p = str(tmp_path / "store")
+    tables.store_pages(pages, p, "hits", found)
+    assert {r["url"] for r in tables.stored_pages(spark, p).collect()} == {r["url"] for r in found.select("url").distinct().collect()}
+    tables.store_pages(pages, str(tmp_path / "none"), "none")
+    assert not (tmp_path / "none").exists()
+    (tmp_path / "f").mkdir()
+    import gzip
+
+    (tmp_path / "f" / "a").write_bytes(gzip.compress("né".encode()))
+    (tmp_path / "f" / "b").write_bytes(b"plain")
+    assert {r["html"] for r in tables.page_files(spark, str(tmp_path / "f")).collect()} == {"né", "plain"}
+    docs = spark.createDataFrame([("i", gzip.compress(b"<urlset><url><loc>https://a/</loc></url></urlset>"))], "url string, body binary")
+    assert [r["loc"] for r in tables.expand_sitemaps(docs, tables.sitemap_starts([], ["i", "i"])).collect()] == ["https://a/"]
+    assert tables.sitemap_starts([], [], "https://h/") == ["https://h/sitemap.xml"]
+
+
+def test_requests_and_applications_after_a_rescan(spark):
+    log = spark.createDataFrame([("p", 1), ("q", 2), ("r", 3)], "url string, seq long")
+    new = spark.createDataFrame([("p", 9)], "url string, seq long")
+    assert {tuple(r) for r in store.replace_requests(log, new, spark.createDataFrame([("p",), ("q",)], "url string")).collect()} == {("p", 9), ("r", 3)}
+    apps = spark.createDataFrame([("a", 1, None), ("b", 0, None), ("c", 0, "c.jpg"), ("d", None, None)], "identity_key string, occurrence_count int, screenshot_path string")
+    assert {r["identity_key"] for r in store.without_orphans(apps).collect()} == {"a", "c"}
