@@ -6,7 +6,6 @@ number of the page; the SQL states what that markup must give.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +13,7 @@ from ..functions import identity as ident
 from ..functions import text as tx
 from ..functions import urls
 from ..functions.urls import Scope
-from ..operators import crawl, detect, fuse, store
+from ..operators import crawl, detect, store
 from ..rules import RuleSet, all_matches, default_rules, first_match_join, pick, rule_table
 from ..sources import robots, tables
 from . import preflight, report, xref
@@ -522,21 +521,6 @@ def sitemap_expand(spark, d):
     return tables.expand_sitemaps(docs, ["https://s.example.com/index.xml"]).select("loc", "sitemap")
 
 
-@query()
-def container_fusion(spark, d):
-    """Recorded observations of every third page fused into findings: a container, a global and tiles of one map."""
-    r = rules()
-
-    def observe(batches):
-        for b in batches:
-            rows = [{"url": u, "title": None, "globals": [{"id": "global:L", "name": "L", "vendor": "leaflet", "type": "interactive_webmap", "confidence": "high"}], "selectors": [{"id": "selector:.leaflet-container", "selector": ".leaflet-container", "vendor": "leaflet", "type": "interactive_webmap", "confidence": "high", "container": "div#m", "bbox": {"x": 0, "y": 0, "w": 640, "h": 480}, "placement": "main_content", "non_geo": False, "visible": True}], "iframes": [], "links": [], "images": [], "frames": []} for u in b["url"]]
-            yield pd.DataFrame(rows, columns=fuse.OBSERVATION.names)
-
-    seen = pages_of(spark, d).filter("page_id % 3 = 0").select("url").mapInPandas(observe, fuse.OBSERVATION)
-    log = matched(spark, d).select("url", "seq", "request_url", "matched_rule", F.lit(None).cast("string").alias("kind"), F.lit(True).alias("is_main"))
-    return detect.findings_of(fuse.fuse_pages(seen, log, r), 2).select("url", "place", "identity_key", "vendor", "type", "signal_type", "signal_value", "confidence", "container_selector")
-
-
 @query(f"WITH {EXPECTED}, a AS (SELECT identity_key, count(DISTINCT url) AS pages FROM t1 GROUP BY 1) SELECT identity_key, pages FROM a")
 def flagship(spark, d):
     """Augmented pages to applications: detection, superseding, counting."""
