@@ -251,6 +251,53 @@ def test_pipeline(spark, docs_of, tmp_path):
     assert len({(r["file"], r["row"]) for r in out}) == len(out)
 
 
+def test_pipeline_against_brute_force(spark, docs_of, tmp_path):
+    """Every stage done again row by row in Python (the classifier by its fitted model), on odd rows among others."""
+    import corpus_pipeline
+    import public_tokenizers as P
+
+    from cartolens.llm import bpe, quality
+
+    from .test_models import invented
+    from .test_text_ops import brute_lines
+
+    docs, labels = invented(250, 4)
+    passage = "one line of it\nanother line of it\nand a third one"
+    docs += [(2000 + i, f"{docs[i][1]}\n{passage}\nlast {i}", "aa", "s0", 5) for i in range(20)]
+    docs += [(3000 + i, docs[i][1] + " tail words", "bb", "s1", 7) for i in range(0, 30, 2)] + [(2500, passage, "aa", None, 3)]
+    docs += [(4000, None, None, None, None), (4001, "", "aa", "s2", 0), (4002, "word " * 30000, "aa", "s0", 150000), (4003, "a\nb\nc\nd", "aa", "s0", 7), (4003, "a\nb\nc\nd", "aa", "s0", 7)]
+    table = docs_of(docs).withColumns({n: F.lit(1) for n in ("row", "file", "ids", "at", "cls", "_text")})
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    label_rows = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    label_rows.write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    model = quality.fit(table, label_rows)
+    rows = [d for d in docs if model.score((d[1] or "").encode()) >= 0.3]
+    assert 0 < len(rows) < len(docs)
+    clean = brute_lines([(d[0], d[1]) for d in rows])
+    text = lambda d: None if d[1] is None else clean[d[0], d[1]]
+    rows = [(d[0], text(d), *d[2:]) for d in rows if d[1] is None or text(d) == d[1] or text(d) != ""]
+    least = {i: int(c) for i, _, c in (eval(x) for x in brute_components([(d[0], d[1]) for d in rows]))}
+    rows = [d for d in rows if least[d[0]] == d[0]]
+    encoding, _ = bpe.codec(P.path("byte_bpe_50k.tiktoken"), P.PATTERN)
+    want = sorted(repr((d[0], d[2], d[3], encoding.encode_ordinary(d[1] or ""))) for d in rows)
+    assert sorted(repr((r["doc_id"], r["lang"], r["source"], r["ids"])) for r in out) == want and all(r["whole"] for r in out)
+    mix = mixing.mixed(docs_of([(*d[:4], len(d[1] or "")) for d in rows])).collect()
+    place = {r["doc_id"]: (r["slot"], r["place"]) for r in mix}
+    order = [place[r["doc_id"]] for r in sorted(out, key=lambda r: (r["file"], r["row"]))]
+    assert order == sorted(order)
+
+
+def test_pipeline_of_empty_tables(spark, docs_of, tmp_path):
+    import corpus_pipeline
+
+    docs_of([]).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() == 0 and out.columns[:3] == ["doc_id", "lang", "source"]
+
+
 def test_hot_shingles_meet_in_no_bucket(monkeypatch):
     """Postings by tasks and buckets, in this process: very frequent shingles are long and spread, all others listed whole."""
     import numpy as np
