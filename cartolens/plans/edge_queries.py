@@ -186,7 +186,7 @@ SCENES: list[tuple[dict, list[tuple[str, str]], dict[str, str], list[tuple]]] =
     ({"selectors": [_selector("leaflet", "#m", drawing=True)]}, [_STYLE, _SERVICE, _STATIC], {}, [("inpage:leaflet:{url}:#m", "leaflet", "non_geographic", "high", "selector", ".leaflet", "#m"), ("mapbox:style:org/s1", "mapbox", _WEB, "high", "network", _STYLE[0], "*"), ("arcgis:service:ORG1abcde/Parcels", "esri", _WEB, "high", "network", _SERVICE[0], "*"), ("iframe:maps.googleapis.com/maps/api/staticmap/?center=1", "google", "static_map_image", "high", "network", _STATIC[0], "*")]),
     # no container: requests and globals of the whole page; direct signs; a frame that is shown, one that is not, a nested one
     ({"globals": [_global("leaflet")], "iframes": [{"src": "https://public.tableau.com/a/b", "rule_id": None, "container": "i", "bbox": _BOX, "placement": "main_content", "title": "T", "non_geo": True}], "frames": [{"url": "https://public.tableau.com/a/b", "cross_origin": True, "parent": "main"}, {"url": "https://public.tableau.com/c/d", "cross_origin": True, "parent": "main"}, {"url": "https://www.google.com/maps/d/embed?mid=M", "cross_origin": True, "parent": "https://x.y/"}], "links": [{"href": "https://www.google.com/maps/dir/a/b", "rule_id": None, "text": "Go", "container": "a", "placement": "main_content"}], "images": [{"src": _STATIC[0], "rule_id": None, "container": "img", "bbox": _BOX, "placement": "main_content", "alt": "A"}]}, [_OSM], {}, [
-        ("iframe:public.tableau.com/a/b/", "tableau", "non_geographic", "medium", "iframe", "https://public.tableau.com/a/b", "i"), ("iframe:public.tableau.com/c/d/", "tableau", "embedded_third_party", "medium", "frame", "https://public.tableau.com/c/d", None), ("gmymaps:mid:M", "google", _WEB, "low", "frame", "https://www.google.com/maps/d/embed?mid=M", "frame(https://x.y/)"), ("link:google.com/maps", "google", "map_link_only", "medium", "link", "https://www.google.com/maps/dir/a/b", "a"), ("iframe:maps.googleapis.com/maps/api/staticmap/?center=1", "google", "static_map_image", "high", "image", _STATIC[0], "img"), ("inpage:leaflet:{url}:*", "leaflet", _WEB, "medium", "global", "leaflet", "*"), ("inpage:osm:{url}:*", "osm", _WEB, "high", "network", _OSM[0], "*")]),
+        ("iframe:public.tableau.com/a/b/", "tableau", "non_geographic", "low", "iframe", "https://public.tableau.com/a/b", "i"), ("iframe:public.tableau.com/c/d/", "tableau", "embedded_third_party", "medium", "frame", "https://public.tableau.com/c/d", None), ("gmymaps:mid:M", "google", _WEB, "low", "frame", "https://www.google.com/maps/d/embed?mid=M", "frame(https://x.y/)"), ("link:google.com/maps", "google", "map_link_only", "medium", "link", "https://www.google.com/maps/dir/a/b", "a"), ("iframe:maps.googleapis.com/maps/api/staticmap/?center=1", "google", "static_map_image", "high", "image", _STATIC[0], "img"), ("inpage:leaflet:{url}:*", "leaflet", _WEB, "medium", "global", "leaflet", "*"), ("inpage:osm:{url}:*", "osm", _WEB, "high", "network", _OSM[0], "*")]),
 ]
 _SEEN = "identity_key vendor type confidence signal_type signal_value container_selector".split()
 _SCENE_ROWS = [(k, i, *row) for k, (*_, want) in enumerate(SCENES) for i, row in enumerate(want)]
