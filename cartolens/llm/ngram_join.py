@@ -59,7 +59,7 @@ PER_PART, PARTS = 200_000, 16
 #: Postings that a bucket holds about, and that a task gathers before it sends them.
 PER_BUCKET, BATCH = 1_000_000, 750_000
 #: Classes of a group that are searched in one task.
-CAP = 2048
+CAP = 8192
 
 
 def threshold(n: np.ndarray) -> np.ndarray:
@@ -252,23 +252,24 @@ def _linked(sets: DataFrame, tasks: DataFrame) -> DataFrame:
 def _blocks(members: DataFrame, sets: DataFrame, cap: int, root: str) -> DataFrame:
     """Edges within groups too large for a task; ``members``: (cls, grp, size)."""
     blocks = F.ceil(F.col("size") / cap).cast("int")
-    block = lambda: F.pmod(F.xxhash64("cls"), F.col("blocks"))
-    placed = members.withColumn("blocks", blocks).withColumn("block", block())
+    placed = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     first = placed.select("cls", F.col("cls").alias("label"), F.xxhash64("grp", "block").alias("task"))
+    # a class is in one task only, so what a task finds are stars around the least class of each component
+    named = lambda edges, old: edges.select(F.col("a").alias(old), F.col("b").alias("named"))
     inner = written(_linked(sets, first), root, "inner")
-    joined = components(inner, root, "inner-c")
+    placed = placed.join(named(inner, "cls"), "cls", "left").withColumn("label", F.coalesce("named", "cls")).drop("named")
     # one class of each component of a block, again in blocks: joins the bulk of a group of near copies
-    placed = placed.join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
     heads = placed.filter(F.col("cls") == F.col("label"))
     heads = heads.select("cls", "label", F.xxhash64("grp", F.pmod(F.xxhash64("cls", F.lit(1)), F.col("blocks")), F.lit("h")).alias("task"))
     across = written(_linked(sets, heads), root, "heads")
-    joined = components(inner.union(across), root, "heads-c")
-    placed = placed.drop("label").join(joined.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
+    placed = placed.join(named(across, "label"), "label", "left").withColumn("label", F.coalesce("named", "label")).drop("named")
     # blocks anew, those of a large component by themselves: two blocks of one component need no comparison
-    sizes = placed.groupBy("grp", "label").agg(F.count("*").alias("own"))
-    placed = placed.join(sizes, ["grp", "label"])
-    placed = placed.withColumn("part", F.when(F.col("own") * 4 > cap, F.concat_ws("/", "label", F.pmod(F.xxhash64("cls", F.lit(2)), F.ceil(F.col("own") / cap)).cast("string"))).otherwise(F.concat_ws("/", F.lit("rest"), block().cast("string"))))
-    placed = written(placed.select("cls", "grp", "label", "part", (F.col("own") * 4 > cap).alias("whole")), root, "parts")
+    sizes = placed.groupBy("grp", "label").agg(F.count("*").alias("own")).withColumn("whole", F.col("own") * 4 > cap)
+    rest = sizes.filter("NOT whole").groupBy("grp").agg(F.sum("own").alias("others"))
+    placed = placed.join(sizes, ["grp", "label"]).join(rest, "grp", "left")
+    number = lambda seed, n: F.pmod(F.xxhash64("cls", F.lit(seed)), F.ceil(F.col(n) / cap)).cast("string")
+    placed = placed.withColumn("part", F.when(F.col("whole"), F.concat_ws("/", "label", number(2, "own"))).otherwise(F.concat_ws("/", F.lit("rest"), number(3, "others"))))
+    placed = written(placed.select("cls", "grp", "label", "part", "whole"), root, "parts")
     parts = placed.groupBy("grp", "part").agg(F.min("label").alias("label"), F.max("whole").alias("whole"))
     one, two = parts.alias("p"), parts.alias("q")
     pairs = one.join(two, (F.col("p.grp") == F.col("q.grp")) & (F.col("p.part") <= F.col("q.part")) & ~(F.col("p.whole") & F.col("q.whole") & (F.col("p.label") == F.col("q.label"))))
