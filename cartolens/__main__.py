@@ -53,7 +53,8 @@ def main(args: list[str] | None = None) -> int:
     budget = Budget(a.max_runtime * 60 if a.max_runtime is not None else None, c.cfg["storage"]["min_free_disk_mb"], c.folder)
     before = {s: signal.signal(s, budget.stop) for s in (signal.SIGINT, signal.SIGTERM)} if threading.current_thread() is threading.main_thread() else {}
     try:
-        return _command(a, c, budget)
+        with c.logged(a.command):
+            return _command(a, c, budget)
     except Stopped as why:
         print(f"stopped: {why}", file=sys.stderr)
         return 1

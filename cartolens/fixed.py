@@ -230,6 +230,20 @@ CREDENTIALS = "key access_token apikey api_key token".split()
 CMP_GLOBALS = "__tcfapi __gpp __uspapi OneTrust Cookiebot truste UC_UI Osano Termly _iub".split()
 CMP_ASSETS = "cookielaw.org otSDKStub.js cookiebot.com trustarc.com usercentrics.eu privacy-center.io privacy-mgmt.com osano.com termly.io cookieyes.com iubenda.com cookie-script.com cookieconsent".split()
 
+CMP_GTAG = r"gtag\s*\(\s*['\"]consent['\"]\s*,\s*['\"]default['\"]"
+CMP_ACCEPT = r"^(accept( all)?( cookies)?|i accept|agree|i agree|allow( all)?( cookies)?|got it|ok(ay)?|yes|continue)$"
+CMP_COOKIES = """
+OptanonAlertBoxClosed 2024-01-01T00:00:00.000Z
+OptanonConsent isGpcEnabled=0&groups=C0001:1,C0002:1,C0003:1,C0004:1
+CookieConsent {stamp:'x',necessary:true,preferences:true,statistics:true,marketing:true,method:'explicit',ver:1}
+cookieconsent_status allow
+cookie_consent true
+cookies_accepted true
+euconsent-v2 CPxxxxx
+cmplz_consent_status allow
+cmplz_marketing allow
+"""
+
 # Attributes that hold a URL, in the order they are tried.
 URL_ATTRIBUTES = "src href data-src data-lazy-src data-url data-href data-iframe-src data-embed data srcdoc".split()
 

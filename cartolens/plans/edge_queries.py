@@ -424,6 +424,16 @@ def preflight_candidates(spark, d):
     return found.select("url", F.when(F.col("seq") < 1 << 60, "queue").otherwise("sitemap").alias("source"))
 
 
+@query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'OneTrust cookielaw.org otSDKStub.js' WHEN 1 THEN '__tcfapi gtag' WHEN 2 THEN '' ELSE 'iubenda.com' END AS signals, CASE WHEN page_id % 2 = 0 THEN 'Accept all cookies,OK' ELSE '' END AS buttons FROM pages")
+def consent_signals(spark, d):
+    """What pages' sources say of consent, and which of their buttons give it."""
+    marks = ('<script src="https://cdn.cookielaw.org/otSDKStub.js"></script><script>OneTrust.init()</script>', "<script>window.__tcfapi(); gtag( 'consent', \"default\", {})</script>", "<p>__tcfapiX, OneTrusted</p>", '<script src="//CDN.Iubenda.com/x.js"></script>')
+    html = F.concat(F.get(F.array(*map(F.lit, marks)), (F.col("page_id") % 4).cast("int")), F.lit("<p>text</p>"))
+    labels = F.when(F.col("page_id") % 2 == 0, F.array(*map(F.lit, ("Accept all cookies", "More", "OK")))).otherwise(F.array(F.lit("Accept nothing")))
+    cmp = rules().cmp
+    return pages_of(spark, d).select("page_id", F.array_join(preflight.consent_signals(html, cmp), " ").alias("signals"), F.array_join(preflight.accept_buttons(labels, cmp), ",").alias("buttons"))
+
+
 # --- reports and sinks
 def _reported(spark: SparkSession, d: str, vendors: list[str] | None = None):
     stored, apps, presence = store.inventory(both(spark, d))

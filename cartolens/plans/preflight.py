@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import json
+import re
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -38,6 +39,20 @@ def consent_difference(loads: DataFrame) -> DataFrame:
     return pages.select("url", F.array_sort(F.array_except("b", "a")).alias("only_with_consent"), F.array_sort("cmp_signals").alias("cmp_signals"))
 
 
+def consent_signals(html: Column, cmp: dict) -> Column:
+    """What in a page's source says that it asks for consent, in order: names of libraries' globals, addresses of their files, and
+    ``gtag`` where it sets a default of consent."""
+    names = [F.when(html.rlike(rf"(?<![\w$]){re.escape(g)}(?![\w$])"), g) for g in cmp.get("globals") or []]
+    files = [F.when(F.contains(F.lower(html), F.lit(p.lower())), p) for p in cmp.get("asset_patterns") or []]
+    gtag = [F.when(html.rlike(cmp["gtag_consent_regex"]), "gtag")] if cmp.get("gtag_consent_regex") else []
+    return F.array_compact(F.array(*names, *files, *gtag))
+
+
+def accept_buttons(labels: Column, cmp: dict) -> Column:
+    """Of an array of buttons' labels those that give consent."""
+    return F.filter(labels, lambda x: F.trim(x).rlike(f"(?i){cmp['accept_button_regex']}"))
+
+
 def gated_hosts(difference: DataFrame) -> DataFrame:
     return difference.select(F.explode("only_with_consent").alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
 

@@ -511,12 +511,13 @@ def storage_projection(spark, d):
     return report.status(queue_of(spark, d).withColumns({"error": F.lit(None).cast("string"), "last_attempt_at": F.lit(None).cast("timestamp"), "tier1_hit": F.col("hit").cast("int"), "tier2_hit": F.lit(0)}), fetches_of(spark, d), p)["storage"]
 
 
-@query("SELECT 'https://s.example.com/' || page_id AS loc, 'https://s.example.com/map' || (page_id % 3) || '.xml' AS sitemap FROM pages")
+@query("SELECT 'https://s.example.com/' || page_id AS loc, 'https://s.example.com/map' || (page_id % 100) || '.xml' AS sitemap FROM pages")
 def sitemap_expand(spark, d):
+    """A hundred sitemaps below one index."""
     p = pages_of(spark, d)
     body = F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(F.concat(F.lit("<url><loc>https://s.example.com/"), F.col("page_id").cast("string"), F.lit("</loc></url>"))), ""), F.lit("</urlset>"))
-    maps = p.groupBy((F.col("page_id") % 3).alias("m")).agg(body.alias("body")).select(F.concat(F.lit("https://s.example.com/map"), F.col("m").cast("string"), F.lit(".xml")).alias("url"), "body")
-    index = "<sitemapindex>" + "".join(f"<sitemap><loc>https://s.example.com/map{i}.xml</loc></sitemap>" for i in range(3)) + "</sitemapindex>"
+    maps = p.groupBy((F.col("page_id") % 100).alias("m")).agg(body.alias("body")).select(F.concat(F.lit("https://s.example.com/map"), F.col("m").cast("string"), F.lit(".xml")).alias("url"), "body")
+    index = "<sitemapindex>" + "".join(f"<sitemap><loc>https://s.example.com/map{i}.xml</loc></sitemap>" for i in range(100)) + "</sitemapindex>"
     docs = maps.unionByName(spark.createDataFrame([("https://s.example.com/index.xml", index)], "url string, body string"))
     return tables.expand_sitemaps(docs, ["https://s.example.com/index.xml"]).select("loc", "sitemap")
 

@@ -7,7 +7,11 @@ rendering themselves are outside Spark. Each step writes its tables beside them
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass
+from datetime import UTC, datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +25,8 @@ from ..runtime import ship
 from ..sources import robots, tables
 from . import export, preflight, report, xref
 
+RUN = "command string, started_at timestamp, finished_at timestamp, result string, config_json string"
+
 
 @dataclass
 class Crawl:
@@ -197,13 +203,31 @@ class Crawl:
         export.write_text(self.spark, out, "report.html", export.page(table, made["totals"], made["coverage"], keys, made["buckets"]))
         return made
 
+    @contextmanager
+    def logged(self, command: str) -> Iterator[None]:
+        """Notes a command in the table runs: when it began and ended, and how."""
+        began, result = datetime.now(UTC), "done"
+        try:
+            yield
+        except BaseException as e:
+            result = f"{type(e).__name__}: {e}"[:500]
+            raise
+        finally:
+            row = self.spark.createDataFrame([(command, began, datetime.now(UTC), result, json.dumps(self.cfg, default=str))], RUN)
+            row.coalesce(1).write.mode("append").parquet(f"{self.folder}/runs.parquet")
+
+    def runs(self, most: int = 3) -> DataFrame:
+        """The last commands."""
+        runs = self.read("runs") if self.has("runs") else self.spark.createDataFrame([], RUN)
+        return runs.select("command", "started_at", "finished_at", "result").orderBy(F.desc("started_at")).limit(most)
+
     def status(self) -> dict[str, DataFrame]:
         queue = self.queue()
         if "last_attempt_at" not in queue.columns:
             queue = queue.withColumn("last_attempt_at", F.lit(None).cast("timestamp"))
         free = crawl.Budget(min_free_mb=self.cfg["storage"]["min_free_disk_mb"], folder=self.folder).reason(self.spark)
         flags = self.spark.createDataFrame([("blocked", self.blocked()), ("disk", free is not None)], "flag string, up boolean")
-        return {**report.status(queue, self.read("pages"), self.read("pages")), "flags": flags}
+        return {**report.status(queue, self.read("pages"), self.read("pages")), "flags": flags, "runs": self.runs(), "failed": report.failed_urls(queue)}
 
     def blocked(self) -> bool:
         """Whether recorded fetches (host, seq, http_status) ever tripped the circuit breaker."""

@@ -72,7 +72,10 @@ def default_source(domain: str = "", portal: str = "") -> dict[str, Any]:
         "placement": {"chrome_selectors": fixed.CHROME.split("\n")[1:-1], "main_content_selectors": fixed.MAIN.split("\n")[1:-1], "ignore_link_selectors": fixed.IGNORED_LINKS.split("\n")[1:-1], "ignore_link_text_regex": fixed.IGNORED_LINK_TEXT},
         "non_geographic": {"hint_regex": fixed.NON_GEOGRAPHIC},
         "identity": {"identifying_params": fixed.IDENTIFYING, "credential_params": fixed.CREDENTIALS},
-        "cmp": {"globals": fixed.CMP_GLOBALS, "asset_patterns": fixed.CMP_ASSETS},
+        "cmp": {
+            "globals": fixed.CMP_GLOBALS, "asset_patterns": fixed.CMP_ASSETS, "gtag_consent_regex": fixed.CMP_GTAG, "accept_button_regex": fixed.CMP_ACCEPT,
+            "consent_cookies": [dict(zip(("name", "value"), x.split(" ", 1), strict=True)) for x in fixed.CMP_COOKIES.split("\n")[1:-1]],
+        },
     }
 
 

@@ -301,6 +301,8 @@ def test_command_line(spark, pages, tmp_path, capsys):
     assert run("scan", folder, "--verdict", str(Path(out, "preflight.json")), "--reset-in-progress", "--limit", "3") == 0
     assert run("status", folder) == 0 and run("report", folder, "--no-probe-keys") == 0
     assert run("run-crawl", folder, "--max-runtime", "0") == 1 and "deadline" in capsys.readouterr().err
+    last = Crawl.open(spark, folder, CONFIG).runs().collect()
+    assert [r["command"] for r in last] == ["run-crawl", "report", "status"] and "deadline" in last[0]["result"] and last[1]["result"] == "done"
 
 
 def test_detect_static_is_a_table_function(spark, rules):
