@@ -2,8 +2,7 @@
 
 A payload is the text's UTF-8 bytes (null: none) filled with zero bytes to a positive multiple of 64, one row of samples per
 64 bytes. Rows are filtered (None throughout, or the least of None/Sub/Up by row), whichever deflates smaller. Reading tests
-the signature, each chunk's CRC, zlib's Adler and the size, and undoes all five PNG filters, None, Sub and Up in one numpy call for
-a run of rows, Average and Paeth sample by sample, as each depends on the one before (encode() never writes these two).
+the signature, each chunk's CRC, zlib's Adler and the size, and undoes all five PNG filters with numpy.
 Equal texts have equal values, repeated rows are rows of their own; an empty table gives no rows; other columns are kept.
 """
 
@@ -68,15 +67,33 @@ def encode(payload: bytes, level: int = 6) -> bytes:
     return SIGNATURE + _chunk(b"IHDR", head) + data + _chunk(b"IEND", b"")
 
 
+def _wave(paeth: np.ndarray, rows: np.ndarray, above: np.ndarray) -> np.ndarray:
+    """Rows of Average or Paeth residuals: a sample depends on the ones to the left and above, so all samples of a falling
+    diagonal are undone at once."""
+    height, width = rows.shape
+    out = np.zeros((height + 1, width + 1), np.int16)
+    out[0, 1:] = above
+    for d in range(height + width - 1):
+        r = np.arange(max(0, d - width + 1), min(height, d + 1))
+        i = d - r
+        left, up, corner = out[r + 1, i], out[r, i + 1], out[r, i]
+        to_left, to_up, to_corner = abs(up - corner), abs(left - corner), abs(left + up - 2 * corner)
+        nearest = np.where((to_left <= to_up) & (to_left <= to_corner), left, np.where(to_up <= to_corner, up, corner))
+        out[r + 1, i + 1] = (rows[r, i] + np.where(paeth[r], nearest, (left + up) >> 1)) & 255
+    return out[1:, 1:].astype(np.uint8)
+
+
 def unfilter(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """Samples from residual rows of one byte a sample. Runs of Up rows and all Sub rows go in one numpy call each."""
+    """Samples from residual rows of one byte a sample. All Sub rows go in one numpy call, and so does each run of Up rows; runs
+    of Average and Paeth rows go by diagonals."""
     if len(kinds) and kinds.max() > PAETH:
         raise BadMedia("unknown row filter")
     out = rows.copy()
     if (sub := kinds == SUB).any():
         out[sub] = np.cumsum(rows[sub], axis=1, dtype=np.uint8)
     todo = np.flatnonzero(kinds >= UP)
-    run_ends = np.flatnonzero((np.diff(todo) != 1) | (np.diff(kinds[todo].astype(int)) != 0)) + 1
+    waves = kinds[todo] > UP
+    run_ends = np.flatnonzero((np.diff(todo) != 1) | (waves[1:] != waves[:-1])) + 1
     for run in np.split(todo, run_ends) if len(todo) else []:
         lo, hi = run[0], run[-1] + 1
         above = out[lo - 1] if lo else np.zeros(rows.shape[1], np.uint8)
@@ -84,19 +101,8 @@ def unfilter(kinds: np.ndarray, rows: np.ndarray) -> np.ndarray:
             block = rows[lo:hi].copy()
             block[0] += above
             out[lo:hi] = np.cumsum(block, axis=0, dtype=np.uint8)
-            continue
-        for r in range(lo, hi):
-            up, line, left, corner = out[r - 1].tolist() if r else above.tolist(), rows[r].tolist(), 0, 0
-            for i, (x, b) in enumerate(zip(line, up, strict=True)):
-                if kinds[r] == AVERAGE:
-                    guess = (left + b) >> 1
-                else:
-                    p = left + b - corner
-                    pa_, pb, pc = abs(p - left), abs(p - b), abs(p - corner)
-                    guess = left if pa_ <= pb and pa_ <= pc else b if pb <= pc else corner
-                left, corner = (x + guess) & 255, b
-                line[i] = left
-            out[r] = line
+        else:
+            out[lo:hi] = _wave(kinds[lo:hi] == PAETH, rows[lo:hi], above)
     return out
 
 

@@ -45,6 +45,10 @@ def test_binary_models(tables, docs_of, module, target, folds, held):
     assert len(out) == docs.count() and all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.3) for r in out)
     test = [(r["predicted"], truth[r["doc_id"]][target]) for r in out if r["held_out"] and r["doc_id"] in truth]
     assert len(test) > 80 and np.mean([p == y for p, y in test]) > 0.93
+    # each row's score is that of its whole text by itself, in this process
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    alone = (lambda x: model.score(x)) if module is quality else (lambda x, index=getattr(model, "open", lambda: None)(): next(iter(index.scores([x])))[0])
+    assert all(r["score"] == pytest.approx(alone(texts[r["doc_id"]]), abs=1e-5) for r in out)
     equal = [r["score"] for r in out if r["doc_id"] == 9004]
     assert equal[0] == equal[1]
     none = module.fit(docs, labels.limit(0), None)
