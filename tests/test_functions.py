@@ -165,3 +165,13 @@ def test_whatwg_parts():
     u = parse("https://User:pw@[::1]:8080/a%2e/%2E%2e/b;c?x='y'#z")
     assert (u.user, u.netloc, u.path, u.query, u.fragment) == ("User:pw@", "[::1]:8080", "/b;c", "x=%27y%27", "z")
     assert form_encode([("a b", "ü~*"), ("c", "")]) == "a+b=%C3%BC%7E*&c="
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.text(alphabet="abA0.-~/?&=:%_é", max_size=14), st.sampled_from(["", "/", "//", "https://a.bc", "https://a.bc/", "http://xn--a.bc/", "https://a.b1/", "https://A.bc/"]))
+def test_plain_urls_need_no_parsing(tail, head):
+    from cartolens.operators.detect import Page
+
+    for base in ("https://www.example.gov:8443/x/y?z", "http://h.example/", "mailto:x"):
+        found = parse(head + tail, parse(base))
+        assert Page("", base, RULES).absolute(head + tail) == (found.href if found else None)
