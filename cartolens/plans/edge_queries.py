@@ -290,6 +290,20 @@ def crawl_stops_at_cap(spark, d):
     return crawl.discover(spark.createDataFrame([("1",)], "url string"), edges_of(spark, d), max_urls=30)
 
 
+@query("""WITH RECURSIVE n AS (SELECT count(*) AS n FROM pages), e AS (SELECT page_id AS src, (page_id * 2 + 1) % n AS dst FROM pages, n UNION ALL SELECT page_id, (page_id * 3) % n FROM pages, n),
+b AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS depth UNION SELECT e.dst, depth + 1 FROM b JOIN e ON b.node = e.src WHERE depth < 60)
+SELECT 'https://h/p' || node AS url, CAST(min(depth) AS INTEGER) AS depth FROM b GROUP BY 1""")
+def link_graph_depth(spark, d):
+    """From pages' markup to their links, normalised, and the distance of every page from one of them."""
+    pages, s = pages_of(spark, d).select("page_id"), lambda c: c.cast("string")
+    n = pages.agg(F.count("*").alias("n"))
+    html = F.concat(F.lit('<p><a href="/p'), s((F.col("page_id") * 2 + 1) % F.col("n")), F.lit('/?utm_source=x">a</a> <a href="./p'), s(F.col("page_id") * 3 % F.col("n")), F.lit('#top">b</a> <a href="mailto:x@y.z">m</a> <area href="https://other/p1">'))
+    made = pages.crossJoin(F.broadcast(n)).select(F.concat(F.lit("https://h/p"), s(F.col("page_id"))).alias("url"), html.alias("html"))
+    scope = Scope.make(["h"], {}, [], ["utm_*"])
+    links = detect.links_of(detect.detect_pages(made, rules())).select(F.col("page").alias("src"), scope.normalized(F.col("href"), F.col("page")).alias("dst"))
+    return crawl.discover(spark.createDataFrame([("https://h/p1",)], "url string"), links.filter(scope.classified(F.col("dst")) == "ok"))
+
+
 _CLAIM = "c AS (SELECT page_id AS seq, url, page_id % 3 AS attempts, page_id % 4 = 0 AS pending, page_id % 8 = 0 AS later, page_id % 5 AS r FROM pages)"
 
 

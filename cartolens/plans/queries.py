@@ -314,9 +314,10 @@ def link_bfs_depth(spark, d):
 
 @query(f"WITH {EXPECTED} SELECT url, identity_key, count(*) AS n FROM t1 GROUP BY 1, 2")
 def findings_dedup(spark, d):
-    twice = tier1(spark, d).withColumn("place", F.col("place") + 100).unionByName(tier1(spark, d))
-    key = ["url", "identity_key", "signal_type", "placement", "signal_value"]
-    return twice.dropDuplicates(key).groupBy("url", "identity_key").agg(F.count("*").alias("n"))
+    """Pages whose whole source stands in them twice: each sign counts once."""
+    twice = augmented(spark, d).withColumn("html", F.concat("html", "html"))
+    found = detect.findings_of(detect.detect_pages(twice, rules()), 1)
+    return found.groupBy("url", "identity_key").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {EXPECTED} SELECT identity_key, signal_value, min(page_id) AS page FROM t1 WHERE placement = 'site_chrome' GROUP BY 1, 2")
