@@ -160,8 +160,10 @@ def known(spark: SparkSession, listed: Sequence[tuple[str, str]]) -> DataFrame:
 def retrieved(docs: DataFrame, index: DataFrame) -> DataFrame:
     """doc_id, text_hash, license_id, at (word where the window starts), window (its shingles): a row for each band in which a
     window and a template meet. ``index`` as from known()."""
-    least = F.transform(F.sequence(F.lit(0), F.col("bands") - 1), lambda b: F.struct(b.alias("band"), F.array_min(F.transform("own", lambda s: F.struct(F.xxhash64(s, b).alias("low"), s.alias("s")))).alias("m")))
-    bands = index.select("license_id", "k", "step", "width", F.explode(least).alias("b")).select("license_id", F.col("k").alias("bk"), "step", "width", "b.band", "b.m.low", F.col("b.m.s").alias("bs"))
+    least = F.transform(F.sequence(F.lit(0), F.col("bands") - 1), lambda b: F.struct(b.alias("band"),
+        F.array_min(F.transform("own", lambda s: F.struct(F.xxhash64(s, b).alias("low"), s.alias("s")))).alias("m")))
+    bands = index.select("license_id", "k", "step", "width", F.explode(least).alias("b")).select("license_id", F.col("k").alias("bk"), "step",
+        "width", "b.band", "b.m.low", F.col("b.m.s").alias("bs"))
     keys: dict[int, list[int]] = {}
     for k, s in bands.select("bk", "bs").distinct().collect():
         keys.setdefault(k, []).append(s)
@@ -174,7 +176,8 @@ def retrieved(docs: DataFrame, index: DataFrame) -> DataFrame:
         return F.transform(found, lambda i: F.struct(F.lit(k).alias("k"), i.alias("i"), F.get(f"s{k}", i).alias("s"), F.col(f"s{k}").alias("all")))
 
     # outer, and then without the empty ones: Spark would else test the array before it, and so make the shingles twice
-    met = texts.select("doc_id", "text_hash", F.explode_outer(F.concat(*[hits(k) for k in sorted(keys)])).alias("h")).filter("h IS NOT NULL").select("doc_id", "text_hash", "h.*")
+    met = texts.select("doc_id", "text_hash",
+        F.explode_outer(F.concat(*[hits(k) for k in sorted(keys)])).alias("h")).filter("h IS NOT NULL").select("doc_id", "text_hash", "h.*")
     met = met.join(F.broadcast(bands), (F.col("k") == F.col("bk")) & (F.col("s") == F.col("bs")))
     first = F.greatest(F.lit(0), F.ceil((F.col("i") - F.col("width") + 1) / F.col("step")).cast("int") * F.col("step"))
     starts = F.sequence(first, F.floor(F.col("i") / F.col("step")).cast("int") * F.col("step"), F.col("step"))

@@ -91,9 +91,12 @@ def compared(df: DataFrame, a: str, b: str, name: str) -> DataFrame:
     out = out.withColumns({at("la"): rest(at("pa")), at("lb"): rest(at("pb")), at("n"): _below(F.col(at("s"))) + _below(F.col(at("p")))})
     total = 2 * F.col(at("n")) + F.size(at("la")) + F.size(at("lb"))
     common = F.col(at("n")) + F.size(F.array_intersect(at("la"), at("lb")))
-    number = lambda s, i: F.when(~F.array_contains(at("s"), s["key"]), F.transform(s["paragraphs"], lambda p, j: F.when(~F.array_contains(at("p"), p["key"]), F.struct(i.alias("section"), j.alias("paragraph")))))
+    number = lambda s, i: F.when(~F.array_contains(at("s"), s["key"]),
+        F.transform(s["paragraphs"], lambda p, j: F.when(~F.array_contains(at("p"), p["key"]),
+        F.struct(i.alias("section"), j.alias("paragraph")))))
     edits = F.filter(F.flatten(F.filter(F.transform(F.col(a), number), lambda s: s.isNotNull())), lambda p: p.isNotNull())
-    return out.withColumns({name: F.when(total == 0, F.lit(1.0)).otherwise(2.0 * common / total), f"{name}_edits": edits}).drop(*[at(c) for c in ("s", "pa", "pb", "p", "la", "lb", "n")])
+    return out.withColumns({name: F.when(total == 0, F.lit(1.0)).otherwise(2.0 * common / total),
+        f"{name}_edits": edits}).drop(*[at(c) for c in ("s", "pa", "pb", "p", "la", "lb", "n")])
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -156,7 +159,8 @@ def with_next(docs: DataFrame, per_range: int = PER_RANGE, cells: int = CELLS) -
     after = after.otherwise(F.lit(starts[0]))
     heads = heads.withColumns({"follow": F.lead("head").over(Window.partitionBy("cell").orderBy("r")), "after": after})
     opening = heads.filter(F.col("r").isin(starts)).select(F.col("r").alias("s"), F.col("head").alias("opens"))
-    heads = heads.join(opening, F.col("follow").isNull() & (F.col("after") == F.col("s")), "left").select(F.col("r").alias("q"), F.coalesce("follow", "opens").alias("head"))
+    heads = heads.join(opening, F.col("follow").isNull() & (F.col("after") == F.col("s")), "left").select(F.col("r").alias("q"),
+        F.coalesce("follow", "opens").alias("head"))
     both = inner.join(heads, (F.col("r") == F.col("q")) & F.col("next").isNull(), "left")
     return both.select("doc_id", "text", F.coalesce("next", "head").alias("next"))
 
@@ -167,7 +171,8 @@ def edit_report(docs: DataFrame, per_range: int = PER_RANGE, cells: int = CELLS)
     t = with_next(docs, per_range, cells).withColumn("n", F.length("text").cast("long"))
     cut = F.floor(F.col("n") / 3).cast("int")
     t = t.withColumn("edited", F.concat(F.expr("substring(text, 1, cast(n - floor(n / 3) as int))"), F.substring("next", F.lit(1), cut)))
-    t = t.select("doc_id", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("text")).alias("a"), tree(F.col("edited")).alias("b"), tree(F.col("next")).alias("c"))
+    t = t.select("doc_id", F.col("n").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), tree(F.col("text")).alias("a"),
+        tree(F.col("edited")).alias("b"), tree(F.col("next")).alias("c"))
     t = compared(compared(t, "a", "b", "near_edited"), "a", "c", "near_next")
     first = F.get("near_edited_edits", F.lit(0))
     return t.select(

@@ -156,7 +156,8 @@ def schedule(docs: DataFrame, weights: Mapping[object, float] | None = None, blo
         plan = phases({s: -(-n // block) for s, n in found.items()}, tempered(found) if weights is None else weights, total)
         while part := list(islice(plan, BATCH)):
             keys = ["n" if p.source is None else f"s{p.source}" for p in part]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((keys, [p.first for p in part], [p.start for p in part], [p.slots for p in part]), _ARROW, strict=True)], schema=_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x,
+                f in zip((keys, [p.first for p in part], [p.start for p in part], [p.slots for p in part]), _ARROW, strict=True)], schema=_ARROW)
 
     return sizes.coalesce(1).mapInArrow(rows, _SCHEDULE)
 
@@ -168,10 +169,12 @@ def mixed(docs: DataFrame, weights: Mapping[object, float] | None = None, block:
     plan = schedule(docs, weights, block, total).select("_key", "_first", "_start", turn)
     # a merge join: what Spark supposes of the schedule's size is that of one row, and it must not be broadcast for that
     plan = plan.select("_key", (F.col("_first") + F.col("_at")).alias("_b"), (F.col("_start") + F.col("_turn")).alias("_slot")).hint("merge")
-    rows = _placed(docs, max(BUCKETS, docs.count() // PER_BUCKET) if buckets is None else buckets).withColumn("_block", F.floor(F.col("_begin") / block).cast("long")).withColumnRenamed("_key", "_k")
+    rows = _placed(docs, max(BUCKETS, docs.count() // PER_BUCKET) if buckets is None else buckets).withColumn("_block",
+        F.floor(F.col("_begin") / block).cast("long")).withColumnRenamed("_key", "_k")
     rows = rows.join(plan, (F.col("_k") == F.col("_key")) & (F.col("_block") == F.col("_b")))
     source = F.when(F.col("_k") == "n", F.lit(None)).otherwise(F.substring("_k", 2, 1 << 30))
-    return rows.select("doc_id", source.alias("source"), F.col("_th").alias("text_hash"), F.col("_block").alias("block"), F.col("_slot").alias("slot"), (F.col("_begin") % block).cast("long").alias("place"), F.col("_size").alias("size"))
+    return rows.select("doc_id", source.alias("source"), F.col("_th").alias("text_hash"), F.col("_block").alias("block"),
+        F.col("_slot").alias("slot"), (F.col("_begin") % block).cast("long").alias("place"), F.col("_size").alias("size"))
 
 
 def in_order(docs: DataFrame, weights: Mapping[object, float] | None = None, block: int = BLOCK, total: int = TOTAL) -> DataFrame:

@@ -101,7 +101,8 @@ def _packed(shingles: np.ndarray, classes: np.ndarray, buckets: int, rng: np.ran
     rows = {"bucket": [], "h": [], "cls": [], "mark": []}
 
     def add(bucket: int, h: np.ndarray, c: np.ndarray, mark: np.ndarray) -> None:
-        for k, v in zip(rows, (bucket, (h // np.uint64(buckets)).astype("<u4").tobytes(), c.astype("<i8").tobytes(), (mark // np.uint64(buckets)).astype("<u4").tobytes()), strict=True):
+        for k, v in zip(rows, (bucket, (h // np.uint64(buckets)).astype("<u4").tobytes(), c.astype("<i8").tobytes(),
+            (mark // np.uint64(buckets)).astype("<u4").tobytes()), strict=True):
             rows[k].append(v)
 
     marks = np.unique(shingles[often])
@@ -268,12 +269,14 @@ def _blocks(members: DataFrame, sets: DataFrame, cap: int, root: str) -> DataFra
     rest = sizes.filter("NOT whole").groupBy("grp").agg(F.sum("own").alias("others"))
     placed = placed.join(sizes, ["grp", "label"]).join(rest, "grp", "left")
     number = lambda seed, n: F.pmod(F.xxhash64("cls", F.lit(seed)), F.ceil(F.col(n) / cap)).cast("string")
-    placed = placed.withColumn("part", F.when(F.col("whole"), F.concat_ws("/", "label", number(2, "own"))).otherwise(F.concat_ws("/", F.lit("rest"), number(3, "others"))))
+    placed = placed.withColumn("part", F.when(F.col("whole"), F.concat_ws("/", "label", number(2, "own"))).otherwise(F.concat_ws("/", F.lit("rest"),
+        number(3, "others"))))
     placed = written(placed.select("cls", "grp", "label", "part", "whole"), root, "parts")
     parts = placed.groupBy("grp", "part").agg(F.min("label").alias("label"), F.max("whole").alias("whole"))
     one, two = parts.alias("p"), parts.alias("q")
     pairs = one.join(two, (F.col("p.grp") == F.col("q.grp")) & (F.col("p.part") <= F.col("q.part")) & ~(F.col("p.whole") & F.col("q.whole") & (F.col("p.label") == F.col("q.label"))))
-    pairs = pairs.select(F.col("p.grp").alias("grp"), F.explode(F.array_distinct(F.array("p.part", "q.part"))).alias("part"), F.xxhash64("p.grp", "p.part", "q.part").alias("task"))
+    pairs = pairs.select(F.col("p.grp").alias("grp"), F.explode(F.array_distinct(F.array("p.part", "q.part"))).alias("part"),
+        F.xxhash64("p.grp", "p.part", "q.part").alias("task"))
     last = placed.join(pairs, ["grp", "part"]).select("cls", "label", "task").distinct()
     return inner.union(across).union(_linked(sets, last))
 
@@ -338,7 +341,8 @@ def join(docs: DataFrame, cap: int = CAP) -> DataFrame:
     named = written(named, root, "named")
     removed(spark, root, f"rows-{seed}", "named")
     # texts without a set have no class to be joined by
-    out = rows.filter("cls IS NOT NULL").join(named, F.col("cls") == F.col("_cls")).select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    out = rows.filter("cls IS NOT NULL").join(named, F.col("cls") == F.col("_cls")).select("doc_id", "n_shingles",
+        F.coalesce("component_id", "doc_id").alias("component_id"))
     return out.unionByName(rows.filter("cls IS NULL").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id")))
 
 
@@ -349,7 +353,8 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = batch.column("cls").to_pylist()
         new = [i for i, c in enumerate(own) if not (c in seen or seen.add(c))]
         texts = raw(batch.column("text").take(pa.array(new, pa.int64())))
-        yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in new], pa.int64()), pa.array([set_of(x).astype("<u8").tobytes() for x in texts], pa.binary())], ["cls", "shingles"])
+        yield pa.RecordBatch.from_arrays([pa.array([own[i] for i in new], pa.int64()),
+            pa.array([set_of(x).astype("<u8").tobytes() for x in texts], pa.binary())], ["cls", "shingles"])
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

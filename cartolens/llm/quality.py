@@ -28,7 +28,8 @@ BINS = 8
 PER_CLASS = 1500
 THRESHOLD = 0.3
 #: Names of the statistics, in the order of stats().
-STATS = ("log_bytes", "log_words", "log_lines", "line_length", "word_length", "upper", "digit", "space", "symbol", "terminal", "high_byte", "distinct_words", "top_word", "repeated_lines", "longest_line", "shouted_words", "odd_endings", "bars", "exclaims", "vowels")
+STATS = ("log_bytes", "log_words", "log_lines", "line_length", "word_length", "upper", "digit", "space", "symbol", "terminal", "high_byte",
+    "distinct_words", "top_word", "repeated_lines", "longest_line", "shouted_words", "odd_endings", "bars", "exclaims", "vowels")
 
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[65:91], _CLASS[97:123], _CLASS[48:58] = 1, 2, 3
@@ -104,7 +105,8 @@ def _constant(p: float) -> Model:
     return Model(float(np.log(p / (1 - p))), np.zeros(size, np.float32), np.zeros((size, RANK), np.float32), np.zeros((len(STATS), 0), np.float32))
 
 
-def train(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], sizes: dict[int, int], epochs: int = 12, rate: float = 0.08, decay: float = 2e-3, seed: int = 7) -> Model:
+def train(rows: list[tuple[int, np.ndarray, np.ndarray, np.ndarray]], sizes: dict[int, int], epochs: int = 12, rate: float = 0.08,
+    decay: float = 2e-3, seed: int = 7) -> Model:
     """Logistic loss by AdaGrad over small batches; ``rows``: label, index, value, statistics."""
     if not rows:
         return _constant(0.5)
@@ -157,7 +159,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, targe
     if picked is None:
         return _constant(0.5)
     rows = labelled.texts(docs, picked).select("doc_id", "y", _features("text").alias("f")).select("doc_id", "y", "f.*").collect()
-    rows = sorted(((r["doc_id"], r["y"], np.array(r["index"], np.int32), np.array(r["value"], np.float32), np.array(r["stat"], np.float32)) for r in rows), key=lambda r: r[0])
+    rows = sorted(((r["doc_id"], r["y"], np.array(r["index"], np.int32), np.array(r["value"], np.float32),
+        np.array(r["stat"], np.float32)) for r in rows), key=lambda r: r[0])
     return train([r[1:] for r in rows], sizes)
 
 

@@ -221,7 +221,8 @@ def build(rows: list[tuple[int, int, np.ndarray, np.ndarray]], sizes: dict[int,
     relevance = ((1 + ratio) / (1 + HALF + ratio)) ** 2
     total = sum(sizes.values())
     class_weight = tuple(sizes[y] / total / (labels == y).mean() for y in (0, 1))
-    index = Index(vocab, np.log(1 + len(rows) / np.maximum(df, 1)) * relevance, *[np.empty(0, int)] * 3, labels, np.array([r[0] for r in rows]), class_weight, (1.0, 0.0), sizes[1] / total)
+    index = Index(vocab, np.log(1 + len(rows) / np.maximum(df, 1)) * relevance, *[np.empty(0, int)] * 3, labels, np.array([r[0] for r in rows]),
+        class_weight, (1.0, 0.0), sizes[1] / total)
     vectors = [index.vector(*r[2:]) for r in rows]
     order = _alike(vectors, len(vocab))
     vectors = [vectors[i] for i in order]
@@ -238,7 +239,8 @@ def build(rows: list[tuple[int, int, np.ndarray, np.ndarray]], sizes: dict[int,
     votes = []
     for lo in range(0, len(vectors), TOGETHER):
         group = vectors[lo : lo + TOGETHER]
-        votes += [index.vote(*index.nearest(at, value, NEAREST, part, lo + i)) for i, ((at, value), part) in enumerate(zip(group, index.common(group), strict=False)) if len(at)]
+        votes += [index.vote(*index.nearest(at, value, NEAREST, part, lo + i)) for i,
+            ((at, value), part) in enumerate(zip(group, index.common(group), strict=False)) if len(at)]
     if votes:
         v = np.clip(np.array(votes), 1e-6, 1 - 1e-6)
         index.curve = _logistic(np.log(v / (1 - v)), index.labels[~empty], weigh[~empty])

@@ -39,7 +39,8 @@ def test_phases_place_every_block_once():
 
 
 def test_long_phases_keep_to_unrounded_targets():
-    for weights, blocks in (({f"s{i}": 1.0 for i in range(20)} | {"big": 10**0.5}, 3000), ({"few": 0.00005, "most": 0.99995}, 60000), ({f"s{i}": 0.667 / 1499 for i in range(1499)} | {"big": 0.333}, 20)):
+    for weights, blocks in (({f"s{i}": 1.0 for i in range(20)} | {"big": 10**0.5}, 3000), ({"few": 0.00005, "most": 0.99995}, 60000),
+        ({f"s{i}": 0.667 / 1499 for i in range(1499)} | {"big": 0.333}, 20)):
         total = sum(map(Fraction, weights.values()))
         slots = {}
         for p in mixing.phases({s: blocks for s in weights}, weights):
@@ -209,7 +210,8 @@ def _weak_sets(plain):
 
 def test_join_of_rows_repeated_very_often_and_a_very_long_text(docs_of):
     long = " ".join(f"w{i % 977}x{i}" for i in range(30000))
-    docs = [(1, "one two three four five six seven eight")] * 400 + [(2, "one two three four five six seven eight nine")] * 300 + [(3, long), (4, long.replace("w5x5 ", "w5 "))]
+    docs = [(1, "one two three four five six seven eight")] * 400 + [(2, "one two three four five six seven eight nine")] * 300 + [(3, long),
+        (4, long.replace("w5x5 ", "w5 "))]
     out = ngram_join.join(docs_of(docs).repartition(3)).collect()
     assert sorted({tuple(r) for r in out}) == [(1, 4, 1), (2, 5, 1), (3, 29996, 3), (4, 29996, 3)] and len(out) == len(docs)
 
@@ -229,7 +231,8 @@ def test_components(spark):
         if a != b:
             x, y = find(a), find(b)
             head[max(x, y)] = min(x, y)
-    assert {(r["node"], r["component"]) for r in out} == {(x, find(x)) for e in edges for x in e if e[0] != e[1]} | {(find(e[0]), find(e[0])) for e in edges if e[0] != e[1]}
+    assert {(r["node"], r["component"]) for r in out} == {(x, find(x)) for e in edges for x in e if e[0] != e[1]} | {(find(e[0]),
+        find(e[0])) for e in edges if e[0] != e[1]}
     assert len(out) == len({r["node"] for r in out})
 
 
@@ -239,7 +242,8 @@ def test_pipeline(spark, docs_of, tmp_path):
     from .test_models import invented
 
     docs, labels = invented(300)
-    docs += [(1000, docs[0][1], "aa", "s0", 1), (1001, docs[1][1] + " tail", "aa", "s1", 1), (1002, None, None, None, None), (1003, "l1\nl2\nl3", "aa", "s0", 8), (1004, "x\nl1\nl2\nl3", "aa", "s0", 10)]
+    docs += [(1000, docs[0][1], "aa", "s0", 1), (1001, docs[1][1] + " tail", "aa", "s1", 1), (1002, None, None, None, None),
+        (1003, "l1\nl2\nl3", "aa", "s0", 8), (1004, "x\nl1\nl2\nl3", "aa", "s0", 10)]
     docs_of(docs).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "lines", "near", "mixing", "tokens"]
@@ -265,7 +269,8 @@ def test_pipeline_against_brute_force(spark, docs_of, tmp_path):
     passage = "one line of it\nanother line of it\nand a third one"
     docs += [(2000 + i, f"{docs[i][1]}\n{passage}\nlast {i}", "aa", "s0", 5) for i in range(20)]
     docs += [(3000 + i, docs[i][1] + " tail words", "bb", "s1", 7) for i in range(0, 30, 2)] + [(2500, passage, "aa", None, 3)]
-    docs += [(4000, None, None, None, None), (4001, "", "aa", "s2", 0), (4002, "word " * 30000, "aa", "s0", 150000), (4003, "a\nb\nc\nd", "aa", "s0", 7), (4003, "a\nb\nc\nd", "aa", "s0", 7)]
+    docs += [(4000, None, None, None, None), (4001, "", "aa", "s2", 0), (4002, "word " * 30000, "aa", "s0", 150000),
+        (4003, "a\nb\nc\nd", "aa", "s0", 7), (4003, "a\nb\nc\nd", "aa", "s0", 7)]
     table = docs_of(docs).withColumns({n: F.lit(1) for n in ("row", "file", "ids", "at", "cls", "_text")})
     table.write.parquet(str(tmp_path / "documents.parquet"))
     label_rows = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -313,7 +318,8 @@ def test_hot_shingles_meet_in_no_bucket(monkeypatch):
     assert any(r["bucket"] < 0 for r in rows)
     lists = {}
     for b in {r["bucket"] for r in rows}:
-        out = ngram_join._lists(4)((pa.scalar(b),), pa.Table.from_pylist([r for r in rows if r["bucket"] == b], pa.schema([("bucket", pa.int64()), ("h", pa.binary()), ("cls", pa.binary()), ("mark", pa.binary())])))
+        out = ngram_join._lists(4)((pa.scalar(b),), pa.Table.from_pylist([r for r in rows if r["bucket"] == b],
+            pa.schema([("bucket", pa.int64()), ("h", pa.binary()), ("cls", pa.binary()), ("mark", pa.binary())])))
         for r in out.to_pylist():
             lists.setdefault(r["list"], set()).add((r["cls"], r["long"]))
     want = {}

@@ -28,13 +28,15 @@ def invented(n, seed=1):
     return docs, labels
 
 
-ODD = [(9001, None, None, None, None), (9002, "", "aa", "s", 0), (9003, "1 2 3", None, None, 5), (None, "some text here", "bb", "s", 14), (9004, "tor ben " * 20000, "aa", "s", 160000), (9004, "tor ben " * 20000, "aa", "s", 160000)]
+ODD = [(9001, None, None, None, None), (9002, "", "aa", "s", 0), (9003, "1 2 3", None, None, 5), (None, "some text here", "bb", "s", 14),
+    (9004, "tor ben " * 20000, "aa", "s", 160000), (9004, "tor ben " * 20000, "aa", "s", 160000)]
 
 
 @pytest.fixture(scope="module")
 def tables(spark, docs_of):
     docs, labels = invented(700)
-    return docs_of([*docs, *ODD]).withColumn("score", F.lit(1)).cache(), spark.createDataFrame([*labels, (None, 1, 1), (1, None, None), (9002, 1, 0)], "doc_id long, quality int, toxic int").cache(), dict((x[0], x) for x in labels)
+    return docs_of([*docs, *ODD]).withColumn("score", F.lit(1)).cache(), spark.createDataFrame([*labels, (None, 1, 1), (1, None, None), (9002, 1, 0)],
+        "doc_id long, quality int, toxic int").cache(), dict((x[0], x) for x in labels)
 
 
 @pytest.mark.parametrize(("module", "target", "folds", "held"), [(quality, 1, 5, 0), (toxicity, 2, 4, 2)])

@@ -150,7 +150,9 @@ def brute_tree(text):
         for p in cut(text[lo:hi]):
             leaves, at = [], 0
             while at < len(p):
-                size = next((m.end() - at for k in range(merkle.LEAST, merkle.MOST) if (m := re.compile(r"[.!?;:,]+[ \t\n\x0b\f\r]+|[aenrst][ \t\n\x0b\f\r]+").match(p, at + k))), min(merkle.MOST, len(p) - at))
+                size = next((m.end() - at for k in range(merkle.LEAST,
+                    merkle.MOST) if (m := re.compile(r"[.!?;:,]+[ \t\n\x0b\f\r]+|[aenrst][ \t\n\x0b\f\r]+").match(p, at + k))),
+                    min(merkle.MOST, len(p) - at))
                 leaves.append(sha(p[at : at + size]))
                 at += size
             section.append((sha("p" + "".join(leaves)), [x[:6] for x in leaves]))
@@ -173,7 +175,9 @@ def brute_likeness(a, b):
 
 @pytest.mark.parametrize(("per_range", "cells"), [(5, 4), (3, 256), (1500, 256)])
 def test_fingerprints_against_brute_force(docs_of, per_range, cells):
-    docs = [d for d in ODD if d[0] is not None and d[0] != 3] + [(30 + i * i, f"Sentence {i % 4}. And more of it! Last {i}\n\nNext section {i % 3}, with another line\nand the same line.\n\nThe end of all.") for i in range(40)] + [(10**15, "An outlier, far away. " * 4), (-(10**12), "Another one")]
+    docs = [d for d in ODD if d[0] is not None and d[0] != 3] + [(30 + i * i,
+        f"Sentence {i % 4}. And more of it! Last {i}\n\nNext section {i % 3}, with another line\nand the same line.\n\nThe end of all.") for i in range(40)] + [(10**15,
+        "An outlier, far away. " * 4), (-(10**12), "Another one")]
     out = {r["doc_id"]: r for r in rows(merkle.edit_report(clash(docs_of(docs), "a", "b", "n", "edited"), per_range, cells))}
     order = sorted(docs, key=lambda d: -d[0])
     for k, (i, t) in enumerate(order):
@@ -224,8 +228,10 @@ def test_licenses_sql_and_odd_inputs(docs_of):
             words[i] = "changed"
         return "Some words before it. " * 7 + " ".join(words) + " and after"
 
-    docs = ODD + [(40, body["MIT"]), (41, "x " * 50 + body["Apache-2.0"].upper() + " y" * 30), (42, body["BSD-3-Clause-text"][:100] + " other words here"), (43, "mit of license"), (44, " ".join(body.values())), (40, body["MIT"])]
-    docs += [(50 + i, worn(n, s)) for i, (n, s) in enumerate((n, s) for n in ("MIT-full", "GPL-3.0-full", "Apache-2.0-full", "BSD-3-Clause-full") for s in (0, 0.03, 0.05, 0.1))]
+    docs = ODD + [(40, body["MIT"]), (41, "x " * 50 + body["Apache-2.0"].upper() + " y" * 30),
+        (42, body["BSD-3-Clause-text"][:100] + " other words here"), (43, "mit of license"), (44, " ".join(body.values())), (40, body["MIT"])]
+    docs += [(50 + i, worn(n, s)) for i, (n, s) in enumerate((n, s) for n in ("MIT-full", "GPL-3.0-full", "Apache-2.0-full",
+        "BSD-3-Clause-full") for s in (0, 0.03, 0.05, 0.1))]
     c = duckdb.connect()
     c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
     c.executemany("INSERT INTO documents VALUES (?, ?)", docs)
@@ -255,14 +261,16 @@ def test_bands_read_from_the_templates_meet_what_all_windows_meet(spark, docs_of
 
     listed = [t for t in licenses.templates() if t[0] in ("MIT", "MIT-text", "ISC-full", "MIT-full", "BSD-2-Clause-full", "All-rights-reserved", "GPL-2.0-passage-1")]
     body = dict(listed)
-    docs = docs_of([*ODD, (40, body["MIT-full"]), (41, "a b c " + body["ISC-full"] + " all rights reserved " + body["BSD-2-Clause-full"][:700]), (42, body["GPL-2.0-passage-1"].replace("the", "a"))])
+    docs = docs_of([*ODD, (40, body["MIT-full"]), (41, "a b c " + body["ISC-full"] + " all rights reserved " + body["BSD-2-Clause-full"][:700]),
+        (42, body["GPL-2.0-passage-1"].replace("the", "a"))])
     index = licenses.known(spark, listed)
     got = {(r["doc_id"], r["license_id"], r["at"]) for r in licenses.retrieved(docs, index).collect()}
     want = set()
     for name, text in listed:
         k, step, width = licenses.shape(text)
         one = docs.select("doc_id", licenses._shingles(licenses._words(F.coalesce("text", F.lit(""))), k).alias("all")).filter(F.size("all") > 0)
-        one = one.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(step)), lambda a: F.struct(a.alias("at"), F.slice("all", a + 1, width).alias("window")))).alias("w"))
+        one = one.select("doc_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("all") - 1, F.lit(step)),
+            lambda a: F.struct(a.alias("at"), F.slice("all", a + 1, width).alias("window")))).alias("w"))
         every = one.crossJoin(index.filter(F.col("license_id") == name)).withColumn("band", F.explode(F.sequence(F.lit(0), F.col("bands") - 1)))
         met = every.filter(licenses.minimum(F.col("w.window"), F.col("band")) == licenses.minimum(F.col("own"), F.col("band")))
         want |= {(r["doc_id"], name, r["at"]) for r in met.select("doc_id", "w.at").distinct().collect()}
@@ -271,8 +279,12 @@ def test_bands_read_from_the_templates_meet_what_all_windows_meet(spark, docs_of
 
 def test_licenses_cover_usual_families_and_keep_them_apart(docs_of):
     gnu = "This program is free software; you can redistribute it under the terms of the GNU {} Public License, version {}."
-    docs = [(1, "Some prose. Copyright 2020, all rights reserved. More."), (2, gnu.format("General", "2")), (3, gnu.format("Lesser General", "2.1")), (4, gnu.format("Affero General", "3")), (5, "BSD 2-Clause"), (6, "Licensed under CC BY 4.0."), (7, "Licensed under CC BY-SA 4.0."), (8, "Licensed under CC BY-NC 4.0."), (9, "This is free and unencumbered software released into the public domain."), (10, "ISC License"), (11, "SPDX-License-Identifier: MIT"), (12, "licensed under the GNU General Public License, version 3.")]
-    want = {1: {"All-rights-reserved"}, 2: {"GPL-2.0"}, 3: {"LGPL-2.1", "LGPL-text"}, 4: {"AGPL-3.0", "AGPL-text"}, 5: {"BSD-2-Clause"}, 6: {"CC-BY-4.0"}, 7: {"CC-BY-SA-4.0"}, 8: {"CC-BY-NC-4.0"}, 9: {"Unlicense-text"}, 10: {"ISC"}, 11: {"MIT-spdx"}, 12: {"GPL-3.0-only"}}
+    docs = [(1, "Some prose. Copyright 2020, all rights reserved. More."), (2, gnu.format("General", "2")), (3, gnu.format("Lesser General", "2.1")),
+        (4, gnu.format("Affero General", "3")), (5, "BSD 2-Clause"), (6, "Licensed under CC BY 4.0."), (7, "Licensed under CC BY-SA 4.0."),
+        (8, "Licensed under CC BY-NC 4.0."), (9, "This is free and unencumbered software released into the public domain."), (10, "ISC License"),
+        (11, "SPDX-License-Identifier: MIT"), (12, "licensed under the GNU General Public License, version 3.")]
+    want = {1: {"All-rights-reserved"}, 2: {"GPL-2.0"}, 3: {"LGPL-2.1", "LGPL-text"}, 4: {"AGPL-3.0", "AGPL-text"}, 5: {"BSD-2-Clause"},
+        6: {"CC-BY-4.0"}, 7: {"CC-BY-SA-4.0"}, 8: {"CC-BY-NC-4.0"}, 9: {"Unlicense-text"}, 10: {"ISC"}, 11: {"MIT-spdx"}, 12: {"GPL-3.0-only"}}
     got = {}
     for r in licenses.report(docs_of(docs)).collect():
         got.setdefault(r["doc_id"], set()).add(r["license_id"])
