@@ -49,7 +49,8 @@ def main(args: list[str] | None = None) -> int:
     builder = SparkSession.builder.appName("cartolens")
     spark = (builder.master(f"local[{a.concurrency}]") if a.concurrency else builder).getOrCreate()
     text = lambda f: Path(f).read_text() if f else ""
-    c = Crawl.open(spark, a.folder, text(a.config) or None, rules, text(a.robots), report__include_chrome_occurrences=a.include_chrome_occurrences or None, scan__consent=a.consent)
+    c = Crawl.open(spark, a.folder, text(a.config) or None, rules, text(a.robots),
+        report__include_chrome_occurrences=a.include_chrome_occurrences or None, scan__consent=a.consent)
     budget = Budget(a.max_runtime * 60 if a.max_runtime is not None else None, c.cfg["storage"]["min_free_disk_mb"], c.folder)
     before = {s: signal.signal(s, budget.stop) for s in (signal.SIGINT, signal.SIGTERM)} if threading.current_thread() is threading.main_thread() else {}
     try:

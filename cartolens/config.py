@@ -12,7 +12,8 @@ DEFAULTS: dict[str, Any] = {
     "seeds": {"homepage": None, "sitemaps": []},
     "inventory": {"max_urls": 50_000, "bfs_link_crawl": True, "run_tier1_during_crawl": True, "skip_extensions": [], "strip_query_params": [], "store_html": "all"},
     "detection": {"vendors": [], "record_links": True, "links_trigger_render": True},
-    "http": {"requests_per_second_per_host": 2, "respect_crawl_delay": True, "max_retries": 3, "retry_backoff_ms": 15_000, "block_window": 25, "block_threshold": 8, "max_html_bytes": 5_000_000, "user_agent_token": "cartolens"},
+    "http": {"requests_per_second_per_host": 2, "respect_crawl_delay": True, "max_retries": 3, "retry_backoff_ms": 15_000, "block_window": 25,
+        "block_threshold": 8, "max_html_bytes": 5_000_000, "user_agent_token": "cartolens"},
     "scan": {"tier2_sample_rate": 0.2, "stale_in_progress_minutes": 10, "record_all_requests": True, "max_requests_per_page": 400, "consent": "auto"},
     "arcgis": {"item_types": []},
     "report": {"vendors": [], "probe_api_keys": True, "dir": "output", "include_chrome_occurrences": False},

@@ -248,7 +248,8 @@ cmplz_marketing allow
 URL_ATTRIBUTES = "src href data-src data-lazy-src data-url data-href data-iframe-src data-embed data srcdoc".split()
 
 # Application types by rank, HTTP statuses that mean the crawler is being refused.
-TYPE_RANK = {"gis_application": 7, "story_map": 6, "interactive_webmap": 5, "embedded_third_party": 4, "thematic_chart_map": 4, "static_map_image": 3, "non_geographic": 2, "map_link_only": 1}
+TYPE_RANK = {"gis_application": 7, "story_map": 6, "interactive_webmap": 5, "embedded_third_party": 4, "thematic_chart_map": 4, "static_map_image": 3,
+    "non_geographic": 2, "map_link_only": 1}
 FLAGGED_TYPES = ("map_link_only", "non_geographic")
 CONFIDENCE = {"high": 3, "medium": 2, "low": 1}
 BLOCK_STATUSES = (401, 403, 429, 502, 503, 504)
@@ -289,7 +290,8 @@ KIND_SCRIPT, KIND_IMAGE, KIND_PAGE = "ArcGIS JS API map (in page)", "Static map
 HOSTING = {"item": "ArcGIS Online", "service": "ArcGIS Online hosted service", "esri-enterprise": "ArcGIS Enterprise (county)", "esri": "Esri (no item id)"}
 SUMMARY = {"chrome": "site-wide navigation", "both": "content + navigation", "content": "content"}
 KEY_LIMITS = {
-    "none": "not probed", "vendor": "not probed (vendor)", "referrer": "referrer-restricted", "other": "restricted/other: ", "open": "UNRESTRICTED (works without a referrer)", "unknown": "unknown: ", "url": "URL-restricted",
+    "none": "not probed", "vendor": "not probed (vendor)", "referrer": "referrer-restricted", "other": "restricted/other: ",
+        "open": "UNRESTRICTED (works without a referrer)", "unknown": "unknown: ", "url": "URL-restricted",
     "token": "UNRESTRICTED (no allowed URLs)",
 }
 # Libraries whose global says nothing of a container.

@@ -62,7 +62,8 @@ def shorten(text: Column, n: int = 60) -> Column:
 def duration(ms: Column) -> Column:
     s = F.round(ms / 1000).cast("long")
     hours, minutes = F.floor(s / 3600).cast("string"), F.floor(s % 3600 / 60).cast("string")
-    return F.when(s >= 3600, F.concat(hours, F.lit("h"), minutes, F.lit("m"))).when(s >= 60, F.concat(minutes, F.lit("m"), (s % 60).cast("string"), F.lit("s"))).otherwise(F.concat(s.cast("string"), F.lit("s")))
+    return F.when(s >= 3600, F.concat(hours, F.lit("h"), minutes, F.lit("m"))).when(s >= 60,
+        F.concat(minutes, F.lit("m"), (s % 60).cast("string"), F.lit("s"))).otherwise(F.concat(s.cast("string"), F.lit("s")))
 
 
 def is_blocked(status: Column, statuses: tuple[int, ...]) -> Column:

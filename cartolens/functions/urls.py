@@ -31,7 +31,8 @@ class Scope:
 
     @classmethod
     def make(cls, allow: Iterable[str] = (), aliases: Mapping[str, str] | None = None, assets: Iterable[str] = (), drop: Iterable[str] = ()) -> Scope:
-        return cls(frozenset(h.lower() for h in allow), tuple((k.lower(), v.lower()) for k, v in (aliases or {}).items()), frozenset(e.lower().lstrip(".") for e in assets), tuple(glob_regex(g) for g in drop))
+        return cls(frozenset(h.lower() for h in allow), tuple((k.lower(), v.lower()) for k, v in (aliases or {}).items()),
+            frozenset(e.lower().lstrip(".") for e in assets), tuple(glob_regex(g) for g in drop))
 
     # Python twins
     def canonical_host(self, host: str) -> str:
@@ -74,7 +75,8 @@ class Scope:
         scheme = F.lower(F.regexp_extract(url, "^([A-Za-z]+):", 1))
         host = F.lower(F.regexp_extract(url, "://([^/?#:]+)", 1))
         port = F.regexp_extract(url, "://[^/?#:]+:([0-9]+)", 1)
-        port = F.when((port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")), "").otherwise(F.concat(F.lit(":"), F.regexp_replace(port, "^0+(?=[0-9])", "")))
+        port = F.when((port == "") | ((scheme == "http") & (port == "80")) | ((scheme == "https") & (port == "443")),
+            "").otherwise(F.concat(F.lit(":"), F.regexp_replace(port, "^0+(?=[0-9])", "")))
         path = F.regexp_replace(F.regexp_extract(url, "://[^/?#]+([^?#]*)", 1), "/{2,}", "/")
         path = F.when(path == "", "/").when((F.length(path) > 1) & path.endswith("/"), F.regexp_replace(path, "/$", "")).otherwise(path)
         query = F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)

@@ -54,7 +54,8 @@ def route(pages: DataFrame, known: DataFrame | None = None) -> DataFrame:
         twice = F.lit(False)
     outcome = (
         F.when(is_blocked(status, fixed.BLOCK_STATUSES), "retry").when(status >= 400, F.concat(F.lit("http_"), status.cast("string")))
-        .when(~is_html(F.col("content_type")), "non_html").when(F.col("final_host") != F.col("host"), "redirected_off_host").when(twice, "redirect_duplicate").otherwise("ok")
+        .when(~is_html(F.col("content_type")), "non_html").when(F.col("final_host") != F.col("host"), "redirected_off_host").when(twice,
+            "redirect_duplicate").otherwise("ok")
     )
     return pages.withColumn("outcome", outcome).drop("_known")
 
@@ -150,7 +151,9 @@ def status_histogram(statuses: DataFrame) -> DataFrame:
 def queue_state(events: DataFrame) -> DataFrame:
     """The latest state of each URL from an event log (url, seq, event, http_status, error, ts): last event wins."""
     at = F.max_by
-    return events.groupBy("url").agg(at("event", "seq").alias("status"), at("http_status", F.when(F.col("http_status").isNotNull(), F.col("seq"))).alias("http_status"), at("error", "seq").alias("error"), F.count_if(F.col("event") == "in_progress").alias("attempts"), F.max("ts").alias("last_attempt_at"))
+    return events.groupBy("url").agg(at("event", "seq").alias("status"),
+        at("http_status", F.when(F.col("http_status").isNotNull(), F.col("seq"))).alias("http_status"), at("error", "seq").alias("error"),
+        F.count_if(F.col("event") == "in_progress").alias("attempts"), F.max("ts").alias("last_attempt_at"))
 
 
 def after_failure(queue: DataFrame, max_retries: int = 3, backoff: int = 15_000, factor: int = 1) -> DataFrame:

@@ -18,7 +18,8 @@ _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
     "tr": ({"tr", "td", "th"}, {"table", "tbody", "thead", "tfoot"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
     "option": ({"option"}, {"select", "datalist", "optgroup"}), "a": ({"a"}, {"td", "th", "table", "object"}),
-    "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
+    "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
+        "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th"}, {"table"}),
 }
 
 
@@ -142,7 +143,8 @@ def _fits(node: Node, compound: tuple) -> bool:
             have = node.get(attr)
             if have is None:
                 return False
-            if op and not {"=": have == value, "*=": bool(value) and value in have, "^=": bool(value) and have.startswith(value), "$=": bool(value) and have.endswith(value), "~=": value in have.split(), "|=": have == value or have.startswith(value + "-")}[op]:
+            if op and not {"=": have == value, "*=": bool(value) and value in have, "^=": bool(value) and have.startswith(value),
+                "$=": bool(value) and have.endswith(value), "~=": value in have.split(), "|=": have == value or have.startswith(value + "-")}[op]:
                 return False
         if negated and matches(node, negated):
             return False

@@ -27,18 +27,40 @@ _VIEWER = "iframe:gis.example.gov/apps/viewer/"
 #: Markup, then key, vendor, type, confidence, placement, signal, value, target, container, width, height, title; {n} is the
 #: page's number modulo 3, {url} its URL. None: nothing is found.
 CASES: list[tuple[str, tuple | None]] = [
-    ('<a href="https://www.openstreetmap.org/copyright">© OSM</a>', ("iframe:www.openstreetmap.org/copyright/", "osm", "interactive_webmap", "low", "main_content", "static_html", "https://www.openstreetmap.org/copyright", "https://www.openstreetmap.org/copyright", "*", None, None, None)),
-    ('<div class="leaflet-control-attribution"><a href="https://www.openstreetmap.org/copyright">contributors</a></div>', ("iframe:www.openstreetmap.org/copyright/", "osm", "interactive_webmap", "low", "main_content", "static_html", "https://www.openstreetmap.org/copyright", "https://www.openstreetmap.org/copyright", "*", None, None, None)),
-    ('<section><h2>Floor plan</h2><iframe src="https://public.tableau.com/views/F{n}/P" title="T" width="100%"></iframe></section>', ("iframe:public.tableau.com/views/F{n}/P/", "tableau", "non_geographic", "medium", "main_content", "iframe", "https://public.tableau.com/views/F{n}/P", "https://public.tableau.com/views/F{n}/P", "main#main-content > article > section > iframe", 100, None, "T")),
-    ('<script src="https://unpkg.com/leaflet@1/l.js"></script>', ("inpage:leaflet:{url}:*", "leaflet", "interactive_webmap", "medium", "main_content", "static_html", "https://unpkg.com/leaflet@1/l.js", "https://unpkg.com/leaflet@1/l.js", "*", None, None, None)),
-    ('<div data-url="https://www.google.com/maps/d/embed?mid=M{n}"></div>', ("gmymaps:mid:M{n}", "google", "interactive_webmap", "medium", "main_content", "static_html", "data-url=https://www.google.com/maps/d/embed?mid=M{n}", "https://www.google.com/maps/d/embed?mid=M{n}", "main#main-content > article > div", None, None, None)),
-    ("<p>See https://gis.example.gov/apps/viewer.</p>", (_VIEWER, "esri-enterprise", "gis_application", "low", "main_content", "static_html", "https://gis.example.gov/apps/viewer", "https://gis.example.gov/apps/viewer", "*", None, None, None)),
-    ('<p>a</p><p class="x y z"><a href="https://www.google.com/maps/dir/a/b" aria-label="Way there"><img src="x.png"></a></p>', ("link:google.com/maps", "google", "map_link_only", "medium", "main_content", "link", "https://www.google.com/maps/dir/a/b", "https://www.google.com/maps/dir/a/b", "main#main-content > article > p.x.y:nth-of-type(2) > a", None, None, "Way there")),
+    ('<a href="https://www.openstreetmap.org/copyright">© OSM</a>', ("iframe:www.openstreetmap.org/copyright/", "osm", "interactive_webmap", "low",
+        "main_content", "static_html", "https://www.openstreetmap.org/copyright", "https://www.openstreetmap.org/copyright", "*", None, None, None)),
+    ('<div class="leaflet-control-attribution"><a href="https://www.openstreetmap.org/copyright">contributors</a></div>',
+        ("iframe:www.openstreetmap.org/copyright/", "osm", "interactive_webmap", "low", "main_content", "static_html",
+        "https://www.openstreetmap.org/copyright", "https://www.openstreetmap.org/copyright", "*", None, None, None)),
+    ('<section><h2>Floor plan</h2><iframe src="https://public.tableau.com/views/F{n}/P" title="T" width="100%"></iframe></section>',
+        ("iframe:public.tableau.com/views/F{n}/P/", "tableau", "non_geographic", "medium", "main_content", "iframe",
+        "https://public.tableau.com/views/F{n}/P", "https://public.tableau.com/views/F{n}/P", "main#main-content > article > section > iframe", 100,
+        None, "T")),
+    ('<script src="https://unpkg.com/leaflet@1/l.js"></script>', ("inpage:leaflet:{url}:*", "leaflet", "interactive_webmap", "medium", "main_content",
+        "static_html", "https://unpkg.com/leaflet@1/l.js", "https://unpkg.com/leaflet@1/l.js", "*", None, None, None)),
+    ('<div data-url="https://www.google.com/maps/d/embed?mid=M{n}"></div>',
+        ("gmymaps:mid:M{n}", "google", "interactive_webmap", "medium", "main_content", "static_html",
+        "data-url=https://www.google.com/maps/d/embed?mid=M{n}", "https://www.google.com/maps/d/embed?mid=M{n}", "main#main-content > article > div",
+        None, None, None)),
+    ("<p>See https://gis.example.gov/apps/viewer.</p>", (_VIEWER, "esri-enterprise", "gis_application", "low", "main_content", "static_html",
+        "https://gis.example.gov/apps/viewer", "https://gis.example.gov/apps/viewer", "*", None, None, None)),
+    ('<p>a</p><p class="x y z"><a href="https://www.google.com/maps/dir/a/b" aria-label="Way there"><img src="x.png"></a></p>',
+        ("link:google.com/maps", "google", "map_link_only", "medium", "main_content", "link", "https://www.google.com/maps/dir/a/b",
+        "https://www.google.com/maps/dir/a/b", "main#main-content > article > p.x.y:nth-of-type(2) > a", None, None, "Way there")),
     ('<a href="mailto:map@gis.example.gov">m</a><a href="javascript:void(0)">j</a><img src="/staticmap?center=1">', None),
-    ('<img srcset="/a.png 1x, https://maps.googleapis.com/maps/api/staticmap?center=5 2x" alt="Alt" width="12px" height="+7">', ("iframe:maps.googleapis.com/maps/api/staticmap/?center=5", "google", "static_map_image", "high", "main_content", "image", "https://maps.googleapis.com/maps/api/staticmap?center=5", "https://maps.googleapis.com/maps/api/staticmap?center=5", "main#main-content > article > img", 12, 7, "Alt")),
-    ('<header><iframe src="https://public.tableau.com/views/H/P"></iframe></header>', ("iframe:public.tableau.com/views/H/P/", "tableau", "embedded_third_party", "medium", "site_chrome", "iframe", "https://public.tableau.com/views/H/P", "https://public.tableau.com/views/H/P", "main#main-content > article > header > iframe", None, None, None)),
-    ('<nav><a href="https://gis.example.gov/apps/viewer/">  The\n viewer </a></nav>', (_VIEWER, "esri-enterprise", "map_link_only", "medium", "main_content", "link", "https://gis.example.gov/apps/viewer/", "https://gis.example.gov/apps/viewer/", "main#main-content > article > nav > a", None, None, "The viewer")),
-    ('<script>s="mapbox://styles/org/s{n}";</script>', ("mapbox:style:org/s{n}", "mapbox", "interactive_webmap", "high", "main_content", "static_html", "mapbox://styles/org/s{n}", "mapbox://styles/org/s{n}", "*", None, None, None)),
+    ('<img srcset="/a.png 1x, https://maps.googleapis.com/maps/api/staticmap?center=5 2x" alt="Alt" width="12px" height="+7">',
+        ("iframe:maps.googleapis.com/maps/api/staticmap/?center=5", "google", "static_map_image", "high", "main_content", "image",
+        "https://maps.googleapis.com/maps/api/staticmap?center=5", "https://maps.googleapis.com/maps/api/staticmap?center=5",
+        "main#main-content > article > img", 12, 7, "Alt")),
+    ('<header><iframe src="https://public.tableau.com/views/H/P"></iframe></header>',
+        ("iframe:public.tableau.com/views/H/P/", "tableau", "embedded_third_party", "medium", "site_chrome", "iframe",
+        "https://public.tableau.com/views/H/P", "https://public.tableau.com/views/H/P", "main#main-content > article > header > iframe", None, None,
+        None)),
+    ('<nav><a href="https://gis.example.gov/apps/viewer/">  The\n viewer </a></nav>',
+        (_VIEWER, "esri-enterprise", "map_link_only", "medium", "main_content", "link", "https://gis.example.gov/apps/viewer/",
+        "https://gis.example.gov/apps/viewer/", "main#main-content > article > nav > a", None, None, "The viewer")),
+    ('<script>s="mapbox://styles/org/s{n}";</script>', ("mapbox:style:org/s{n}", "mapbox", "interactive_webmap", "high", "main_content",
+        "static_html", "mapbox://styles/org/s{n}", "mapbox://styles/org/s{n}", "*", None, None, None)),
 ]
 _COLUMNS = "identity_key vendor type confidence placement signal_type signal_value target_url container_selector width_px height_px title".split()
 
@@ -62,7 +84,8 @@ e AS (SELECT page_id, url, {', '.join(f'CAST({c} AS INTEGER) AS {c}' if c.endswi
 def edge_pages(spark: SparkSession, d: str) -> DataFrame:
     body = F.get(F.array(*[F.lit(m) for m, _ in CASES]), (F.col("page_id") % len(CASES)).cast("int"))
     body = F.replace(body, F.lit("{n}"), (F.col("page_id") % 3).cast("string"))
-    html = F.concat(F.lit('<html><head><title> Where\n to find </title></head><body><main id="main-content"><article>'), body, F.lit('</article></main><footer><a href="/about">About</a></footer></body></html>'))
+    html = F.concat(F.lit('<html><head><title> Where\n to find </title></head><body><main id="main-content"><article>'), body,
+        F.lit('</article></main><footer><a href="/about">About</a></footer></body></html>'))
     return pages_of(spark, d).select("page_id", "url", html.alias("html"))
 
 
@@ -111,7 +134,8 @@ def outbound_links(spark, d):
 def rescan_replaces(spark, d):
     """Every fourth page is scanned again; half of those have one finding now, the others none of tier 1... which their rows say."""
     old = tier1(spark, d).select("url", "seq", "tier", "identity_key")
-    again = pages_of(spark, d).filter("page_id % 4 = 0").select("url", F.col("page_id").alias("seq"), F.lit(1).alias("tier"), F.when(F.col("page_id") % 8 == 0, F.lit("new")).alias("identity_key"))
+    again = pages_of(spark, d).filter("page_id % 4 = 0").select("url", F.col("page_id").alias("seq"), F.lit(1).alias("tier"),
+        F.when(F.col("page_id") % 8 == 0, F.lit("new")).alias("identity_key"))
     return store.replace_rescans(old, again).filter("identity_key IS NOT NULL").select("url", "tier", "identity_key")
 
 
@@ -149,7 +173,8 @@ def first_known_values(spark, d):
 @query("SELECT 'u' || user_id AS url, arg_max(event_type, event_id) AS status, arg_max(value, event_id) FILTER (event_type <> 'error') AS value FROM events GROUP BY 1")
 def upsert_latest(spark, d):
     """The last state of each row, but the last known value where the newest has none."""
-    e = tables.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), "event_id", F.col("event_type").alias("status"), F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
+    e = tables.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), "event_id",
+        F.col("event_type").alias("status"), F.when(F.col("event_type") != "error", F.col("value")).alias("value"))
     return store.latest_wins(e, ["url"], [F.col("event_id")], ["value"]).select("url", "status", "value")
 
 
@@ -159,34 +184,67 @@ _WEB = "interactive_webmap"
 
 
 def _selector(vendor: str, container: str, confidence: str = "high", visible: bool = True, drawing: bool = False, kind: str = _WEB) -> dict:
-    return {"id": f"selector:.{vendor}", "selector": f".{vendor}", "vendor": vendor, "type": kind, "confidence": confidence, "container": container, "bbox": _BOX, "placement": "main_content", "non_geo": drawing, "visible": visible}
+    return {"id": f"selector:.{vendor}", "selector": f".{vendor}", "vendor": vendor, "type": kind, "confidence": confidence, "container": container,
+        "bbox": _BOX, "placement": "main_content", "non_geo": drawing, "visible": visible}
 
 
 def _global(vendor: str, confidence: str = "high", kind: str = _WEB) -> dict:
     return {"id": f"global:{vendor}", "name": vendor, "vendor": vendor, "type": kind, "confidence": confidence}
 
 
-_OSM, _LEAFLET, _STATIC = ("https://a.tile.openstreetmap.org/3/1/2.png", "host:*.tile.openstreetmap.org"), ("https://unpkg.com/leaflet@1/l.js", "host:unpkg.com/leaflet*"), ("https://maps.googleapis.com/maps/api/staticmap?center=1&key=K", "static:maps\\.googleapis\\.com/maps/api/staticmap")
+_OSM, _LEAFLET, _STATIC = ("https://a.tile.openstreetmap.org/3/1/2.png", "host:*.tile.openstreetmap.org"), ("https://unpkg.com/leaflet@1/l.js",
+    "host:unpkg.com/leaflet*"), ("https://maps.googleapis.com/maps/api/staticmap?center=1&key=K",
+    "static:maps\\.googleapis\\.com/maps/api/staticmap")
 _SERVICE = ("https://services.arcgis.com/ORG1abcde/arcgis/rest/services/Parcels/FeatureServer/0", "host:services.arcgis.com")
 _STYLE = ("https://api.mapbox.com/styles/v1/org/s1?x=1", "host:api.mapbox.com")
 #: What a renderer saw, the main frame's requests (URL, rule), the strong identities that static detection knew; then for each
 #: finding in order: key, vendor, type, confidence, signal, value, container.
 SCENES: list[tuple[dict, list[tuple[str, str]], dict[str, str], list[tuple]]] = [
     # one container of a known vendor: selector, global and network say the same
-    ({"selectors": [_selector("leaflet", "#m")], "globals": [_global("leaflet")]}, [_LEAFLET, _LEAFLET, _LEAFLET], {}, [("inpage:leaflet:{url}:#m", "leaflet", _WEB, "high", "selector", ".leaflet", "#m"), ("inpage:leaflet:{url}:#m", "leaflet", _WEB, "high", "global", "leaflet", "#m"), ("inpage:leaflet:{url}:#m", "leaflet", _WEB, "high", "network", _LEAFLET[0] + " (+2 more)", "#m")]),
+    ({"selectors": [_selector("leaflet", "#m")], "globals": [_global("leaflet")]}, [_LEAFLET, _LEAFLET, _LEAFLET], {},
+        [("inpage:leaflet:{url}:#m", "leaflet", _WEB, "high", "selector", ".leaflet", "#m"),
+        ("inpage:leaflet:{url}:#m", "leaflet", _WEB, "high", "global", "leaflet", "#m"),
+        ("inpage:leaflet:{url}:#m", "leaflet", _WEB, "high", "network", _LEAFLET[0] + " (+2 more)", "#m")]),
     # tiles of another vendor go to the first container; an invisible one is a weak sign; of two claims the better counts
-    ({"selectors": [_selector("leaflet", "#m", "medium"), _selector("mapbox", "#m", "high", False)]}, [_OSM], {}, [("inpage:mapbox:{url}:#m", "mapbox", _WEB, "medium", "selector", ".leaflet", "#m"), ("inpage:mapbox:{url}:#m", "mapbox", _WEB, "low", "selector", ".mapbox", "#m"), ("inpage:mapbox:{url}:#m", "mapbox", _WEB, "high", "network", _OSM[0], "#m")]),
+    ({"selectors": [_selector("leaflet", "#m", "medium"), _selector("mapbox", "#m", "high", False)]}, [_OSM], {},
+        [("inpage:mapbox:{url}:#m", "mapbox", _WEB, "medium", "selector", ".leaflet", "#m"),
+        ("inpage:mapbox:{url}:#m", "mapbox", _WEB, "low", "selector", ".mapbox", "#m"),
+        ("inpage:mapbox:{url}:#m", "mapbox", _WEB, "high", "network", _OSM[0], "#m")]),
     # equal claims: the first; two containers have an identity each, also with a strong one at hand
-    ({"selectors": [_selector("leaflet", "#a"), _selector("esri", "#a"), _selector("mapbox", "#b")]}, [], {"mapbox": "mapbox:style:org/s0"}, [("inpage:leaflet:{url}:#a", "leaflet", _WEB, "high", "selector", ".leaflet", "#a"), ("inpage:leaflet:{url}:#a", "leaflet", _WEB, "high", "selector", ".esri", "#a"), ("inpage:mapbox:{url}:#b", "mapbox", _WEB, "high", "selector", ".mapbox", "#b")]),
+    ({"selectors": [_selector("leaflet", "#a"), _selector("esri", "#a"), _selector("mapbox", "#b")]}, [], {"mapbox": "mapbox:style:org/s0"},
+        [("inpage:leaflet:{url}:#a", "leaflet", _WEB, "high", "selector", ".leaflet", "#a"),
+        ("inpage:leaflet:{url}:#a", "leaflet", _WEB, "high", "selector", ".esri", "#a"),
+        ("inpage:mapbox:{url}:#b", "mapbox", _WEB, "high", "selector", ".mapbox", "#b")]),
     # an unknown container takes the only library's name and type, charts aside; their globals are weak signs of their own
-    ({"selectors": [_selector("unknown", "#m", "low")], "globals": [_global("d3", "low", "thematic_chart_map"), _global("cesium")]}, [], {}, [("inpage:cesium:{url}:#m", "cesium", _WEB, "low", "selector", ".unknown", "#m"), ("inpage:d3:{url}:*", "d3", "thematic_chart_map", "low", "global", "d3", "*"), ("inpage:cesium:{url}:#m", "cesium", _WEB, "high", "global", "cesium", "#m")]),
+    ({"selectors": [_selector("unknown", "#m", "low")], "globals": [_global("d3", "low", "thematic_chart_map"), _global("cesium")]}, [], {},
+        [("inpage:cesium:{url}:#m", "cesium", _WEB, "low", "selector", ".unknown", "#m"),
+        ("inpage:d3:{url}:*", "d3", "thematic_chart_map", "low", "global", "d3", "*"),
+        ("inpage:cesium:{url}:#m", "cesium", _WEB, "high", "global", "cesium", "#m")]),
     # two libraries: no name; the only strong vendor gives one, and its identity, as it is the only container
-    ({"selectors": [_selector("unknown", "#m", "low")], "globals": [_global("leaflet"), _global("mapbox")]}, [], {"mapbox": "mapbox:style:org/s0"}, [("mapbox:style:org/s0", "mapbox", _WEB, "low", "selector", ".unknown", "#m"), ("inpage:leaflet:{url}:*", "leaflet", _WEB, "medium", "global", "leaflet", "*"), ("mapbox:style:org/s0", "mapbox", _WEB, "high", "global", "mapbox", "#m")]),
+    ({"selectors": [_selector("unknown", "#m", "low")], "globals": [_global("leaflet"), _global("mapbox")]}, [], {"mapbox": "mapbox:style:org/s0"},
+        [("mapbox:style:org/s0", "mapbox", _WEB, "low", "selector", ".unknown", "#m"),
+        ("inpage:leaflet:{url}:*", "leaflet", _WEB, "medium", "global", "leaflet", "*"),
+        ("mapbox:style:org/s0", "mapbox", _WEB, "high", "global", "mapbox", "#m")]),
     # a drawing; a strong identity among the requests; a service; a static map
-    ({"selectors": [_selector("leaflet", "#m", drawing=True)]}, [_STYLE, _SERVICE, _STATIC], {}, [("inpage:leaflet:{url}:#m", "leaflet", "non_geographic", "high", "selector", ".leaflet", "#m"), ("mapbox:style:org/s1", "mapbox", _WEB, "high", "network", _STYLE[0], "*"), ("arcgis:service:ORG1abcde/Parcels", "esri", _WEB, "high", "network", _SERVICE[0], "*"), ("iframe:maps.googleapis.com/maps/api/staticmap/?center=1", "google", "static_map_image", "high", "network", _STATIC[0], "*")]),
+    ({"selectors": [_selector("leaflet", "#m", drawing=True)]}, [_STYLE, _SERVICE, _STATIC], {},
+        [("inpage:leaflet:{url}:#m", "leaflet", "non_geographic", "high", "selector", ".leaflet", "#m"),
+        ("mapbox:style:org/s1", "mapbox", _WEB, "high", "network", _STYLE[0], "*"),
+        ("arcgis:service:ORG1abcde/Parcels", "esri", _WEB, "high", "network", _SERVICE[0], "*"),
+        ("iframe:maps.googleapis.com/maps/api/staticmap/?center=1", "google", "static_map_image", "high", "network", _STATIC[0], "*")]),
     # no container: requests and globals of the whole page; direct signs; a frame that is shown, one that is not, a nested one
-    ({"globals": [_global("leaflet")], "iframes": [{"src": "https://public.tableau.com/a/b", "rule_id": None, "container": "i", "bbox": _BOX, "placement": "main_content", "title": "T", "non_geo": True}], "frames": [{"url": "https://public.tableau.com/a/b", "cross_origin": True, "parent": "main"}, {"url": "https://public.tableau.com/c/d", "cross_origin": True, "parent": "main"}, {"url": "https://www.google.com/maps/d/embed?mid=M", "cross_origin": True, "parent": "https://x.y/"}], "links": [{"href": "https://www.google.com/maps/dir/a/b", "rule_id": None, "text": "Go", "container": "a", "placement": "main_content"}], "images": [{"src": _STATIC[0], "rule_id": None, "container": "img", "bbox": _BOX, "placement": "main_content", "alt": "A"}]}, [_OSM], {}, [
-        ("iframe:public.tableau.com/a/b/", "tableau", "non_geographic", "low", "iframe", "https://public.tableau.com/a/b", "i"), ("iframe:public.tableau.com/c/d/", "tableau", "embedded_third_party", "medium", "frame", "https://public.tableau.com/c/d", None), ("gmymaps:mid:M", "google", _WEB, "low", "frame", "https://www.google.com/maps/d/embed?mid=M", "frame(https://x.y/)"), ("link:google.com/maps", "google", "map_link_only", "medium", "link", "https://www.google.com/maps/dir/a/b", "a"), ("iframe:maps.googleapis.com/maps/api/staticmap/?center=1", "google", "static_map_image", "high", "image", _STATIC[0], "img"), ("inpage:leaflet:{url}:*", "leaflet", _WEB, "medium", "global", "leaflet", "*"), ("inpage:osm:{url}:*", "osm", _WEB, "high", "network", _OSM[0], "*")]),
+    ({"globals": [_global("leaflet")], "iframes": [{"src": "https://public.tableau.com/a/b", "rule_id": None, "container": "i", "bbox": _BOX,
+        "placement": "main_content", "title": "T", "non_geo": True}], "frames": [{"url": "https://public.tableau.com/a/b", "cross_origin": True,
+        "parent": "main"}, {"url": "https://public.tableau.com/c/d", "cross_origin": True, "parent": "main"},
+        {"url": "https://www.google.com/maps/d/embed?mid=M", "cross_origin": True, "parent": "https://x.y/"}],
+        "links": [{"href": "https://www.google.com/maps/dir/a/b", "rule_id": None, "text": "Go", "container": "a", "placement": "main_content"}],
+        "images": [{"src": _STATIC[0], "rule_id": None, "container": "img", "bbox": _BOX, "placement": "main_content", "alt": "A"}]}, [_OSM], {}, [
+        ("iframe:public.tableau.com/a/b/", "tableau", "non_geographic", "low", "iframe", "https://public.tableau.com/a/b", "i"),
+            ("iframe:public.tableau.com/c/d/", "tableau", "embedded_third_party", "medium", "frame", "https://public.tableau.com/c/d", None),
+            ("gmymaps:mid:M", "google", _WEB, "low", "frame", "https://www.google.com/maps/d/embed?mid=M", "frame(https://x.y/)"),
+            ("link:google.com/maps", "google", "map_link_only", "medium", "link", "https://www.google.com/maps/dir/a/b", "a"),
+            ("iframe:maps.googleapis.com/maps/api/staticmap/?center=1", "google", "static_map_image", "high", "image", _STATIC[0], "img"),
+            ("inpage:leaflet:{url}:*", "leaflet", _WEB, "medium", "global", "leaflet", "*"),
+            ("inpage:osm:{url}:*", "osm", _WEB, "high", "network", _OSM[0], "*")]),
 ]
 _SEEN = "identity_key vendor type confidence signal_type signal_value container_selector".split()
 _SCENE_ROWS = [(k, i, *row) for k, (*_, want) in enumerate(SCENES) for i, row in enumerate(want)]
@@ -198,15 +256,19 @@ def fused(spark: SparkSession, d: str) -> DataFrame:
 
     def observe(batches):
         for b in batches:
-            rows = [{"title": None, **dict.fromkeys(("globals", "selectors", "iframes", "links", "images", "frames"), []), "url": u, **SCENES[n % len(SCENES)][0]} for n, u in zip(b["page_id"], b["url"], strict=True)]
+            rows = [{"title": None, **dict.fromkeys(("globals", "selectors", "iframes", "links", "images", "frames"), []), "url": u,
+                **SCENES[n % len(SCENES)][0]} for n, u in zip(b["page_id"], b["url"], strict=True)]
             yield pd.DataFrame(rows, columns=fuse.OBSERVATION.names)
 
     k = (F.col("page_id") % len(SCENES)).cast("int")
     # requests of another frame than the main one say nothing
     request = lambda u, r, main: F.struct(F.lit(u).alias("request_url"), F.lit(r).alias("matched_rule"), F.lit(main).alias("is_main"))
-    asked = F.array(*[F.array(*[request(u, r, True) for u, r in asked], request("https://api.mapbox.com/styles/v1/org/other", "host:api.mapbox.com", False)) for _, asked, _, _ in SCENES])
-    log = pages.select("url", F.posexplode(F.get(asked, k)).alias("seq", "r")).select("url", F.col("seq").cast("long").alias("seq"), "r.request_url", "r.matched_rule", F.lit(None).cast("string").alias("kind"), "r.is_main")
-    known = F.array(*[F.array(*[F.struct(F.lit(v).alias("vendor"), F.lit(key).alias("identity_key")) for v, key in prior.items()]) if prior else F.array().cast("array<struct<vendor:string,identity_key:string>>") for _, _, prior, _ in SCENES])
+    asked = F.array(*[F.array(*[request(u, r, True) for u, r in asked],
+        request("https://api.mapbox.com/styles/v1/org/other", "host:api.mapbox.com", False)) for _, asked, _, _ in SCENES])
+    log = pages.select("url", F.posexplode(F.get(asked, k)).alias("seq", "r")).select("url", F.col("seq").cast("long").alias("seq"), "r.request_url",
+        "r.matched_rule", F.lit(None).cast("string").alias("kind"), "r.is_main")
+    known = F.array(*[F.array(*[F.struct(F.lit(v).alias("vendor"), F.lit(key).alias("identity_key")) for v,
+        key in prior.items()]) if prior else F.array().cast("array<struct<vendor:string,identity_key:string>>") for _, _, prior, _ in SCENES])
     static = pages.select("url", F.explode(F.get(known, k)).alias("p")).select("url", "p.*", F.lit("main_content").alias("placement"))
     return fuse.fuse_pages(pages.mapInPandas(observe, fuse.OBSERVATION), log, rules(), static)
 
@@ -235,8 +297,11 @@ def route_outcomes(spark, d):
     """Refusals, errors, documents, redirects to other hosts, to known pages (7) and to new ones (8)."""
     n, url = F.col("page_id") % 11, F.concat(F.lit("https://h/"), F.col("page_id").cast("string"))
     status = F.when(n == 0, 403).when(n == 1, 404).when(n == 2, 500).when(n == 3, F.lit(None)).when(n == 4, 429).otherwise(200)
-    final = F.when(n == 6, F.lit("https://other/")).when(n == 7, F.concat(F.lit("https://h/"), (F.col("page_id") - 1).cast("string"))).when(n == 8, F.lit("https://h/new")).otherwise(url)
-    pages = pages_of(spark, d).select("page_id", url.alias("url"), status.alias("http_status"), F.when(n == 5, "application/pdf").when(n == 9, "application/XHTML+xml; x").otherwise("text/html").alias("content_type"), final.alias("final"), F.lit("h").alias("host"), F.when(n == 6, "other").otherwise("h").alias("final_host"))
+    final = F.when(n == 6, F.lit("https://other/")).when(n == 7, F.concat(F.lit("https://h/"), (F.col("page_id") - 1).cast("string"))).when(n == 8,
+        F.lit("https://h/new")).otherwise(url)
+    pages = pages_of(spark, d).select("page_id", url.alias("url"), status.alias("http_status"),
+        F.when(n == 5, "application/pdf").when(n == 9, "application/XHTML+xml; x").otherwise("text/html").alias("content_type"),
+        final.alias("final"), F.lit("h").alias("host"), F.when(n == 6, "other").otherwise("h").alias("final_host"))
     return crawl.route(pages, pages.select("url")).select("page_id", "outcome")
 
 
@@ -244,9 +309,11 @@ def route_outcomes(spark, d):
 def request_limits(spark, d):
     """30 requests a page, stored while it has fewer than 10: tiles of four, a script, ever other data; the log is loose up to 8."""
     n = F.col("i")
-    url = F.when(n % 3 == 0, F.concat(F.lit("https://tile/"), (n % 4).cast("string"), F.lit("?v="), n.cast("string"))).when(n % 3 == 1, F.concat(F.lit("https://lib/"), n.cast("string"))).otherwise(F.lit("https://data/x?q#f"))
+    url = F.when(n % 3 == 0, F.concat(F.lit("https://tile/"), (n % 4).cast("string"), F.lit("?v="), n.cast("string"))).when(n % 3 == 1,
+        F.concat(F.lit("https://lib/"), n.cast("string"))).otherwise(F.lit("https://data/x?q#f"))
     log = pages_of(spark, d).select("page_id", "url", F.explode(F.sequence(F.lit(0), F.lit(29))).alias("i"))
-    log = log.select("page_id", "url", n.cast("long").alias("seq"), url.alias("request_url"), F.lit("image").alias("resource_type"), F.when(n % 3 != 2, F.lit("r")).alias("matched_rule"))
+    log = log.select("page_id", "url", n.cast("long").alias("seq"), url.alias("request_url"), F.lit("image").alias("resource_type"),
+        F.when(n % 3 != 2, F.lit("r")).alias("matched_rule"))
     return crawl.request_log(log, 10, 8).select("page_id", "seq")
 
 
@@ -258,7 +325,9 @@ def schedule_by_title(spark, d):
 
 
 #: Links of a page by turn: base, href, what they lead to. {n} is the page's number modulo 50.
-LINKS = [("https://h/a/b", "../x{n}/", "https://h/x{n}"), ("https://h/a", "y{n}?utm_source=s&b=1#f", "https://h/y{n}?b=1"), ("https://h/", "https://H:443//z//{n}", "https://h/z/{n}"), ("https://h/", "/robots/{n}", "https://h/robots/{n}"), ("https://h/", "f{n}.pdf", None), ("https://h/", "https://other/{n}", None), ("https://h/", "mailto:a", None), ("https://h/", "/known{n}", None)]
+LINKS = [("https://h/a/b", "../x{n}/", "https://h/x{n}"), ("https://h/a", "y{n}?utm_source=s&b=1#f", "https://h/y{n}?b=1"),
+    ("https://h/", "https://H:443//z//{n}", "https://h/z/{n}"), ("https://h/", "/robots/{n}", "https://h/robots/{n}"),
+    ("https://h/", "f{n}.pdf", None), ("https://h/", "https://other/{n}", None), ("https://h/", "mailto:a", None), ("https://h/", "/known{n}", None)]
 
 
 @query(f"""WITH l(j, u) AS (VALUES {_values([(j, u) for j, (_, _, u) in enumerate(LINKS) if u])}),
@@ -270,7 +339,9 @@ def frontier(spark, d):
     scope = Scope.make(["h"], {}, ["pdf"], ["utm_*"])
     n = (F.col("page_id") % 50).cast("string")
     links = F.array(*[F.struct(F.lit(b).alias("base"), F.lit(h).alias("href"), F.lit(j).alias("j")) for j, (b, h, _) in enumerate(LINKS)])
-    made = pages_of(spark, d).select("page_id", F.explode(links).alias("l")).select(F.col("l.base").alias("base"), F.replace("l.href", F.lit("{n}"), n).alias("href"), (F.col("page_id") * 10 + F.col("l.j")).alias("seq"), F.when(F.col("page_id") % 2 == 0, "crawl").otherwise("sitemap").alias("source"))
+    made = pages_of(spark, d).select("page_id", F.explode(links).alias("l")).select(F.col("l.base").alias("base"),
+        F.replace("l.href", F.lit("{n}"), n).alias("href"), (F.col("page_id") * 10 + F.col("l.j")).alias("seq"),
+        F.when(F.col("page_id") % 2 == 0, "crawl").otherwise("sitemap").alias("source"))
     known = spark.range(50).select(F.concat(F.lit("https://h/known"), F.col("id").cast("string")).alias("url"))
     allowed = robots.parse("User-agent: *\nDisallow: /robots/", "x").allowed(F.regexp_extract("url", "://[^/?#]+([^#]*)", 1))
     return crawl.add_links(made, known, scope, allowed)
@@ -297,7 +368,8 @@ def link_graph_depth(spark, d):
     """From pages' markup to their links, normalised, and the distance of every page from one of them."""
     pages, s = pages_of(spark, d).select("page_id"), lambda c: c.cast("string")
     n = pages.agg(F.count("*").alias("n"))
-    html = F.concat(F.lit('<p><a href="/p'), s((F.col("page_id") * 2 + 1) % F.col("n")), F.lit('/?utm_source=x">a</a> <a href="./p'), s(F.col("page_id") * 3 % F.col("n")), F.lit('#top">b</a> <a href="mailto:x@y.z">m</a> <area href="https://other/p1">'))
+    html = F.concat(F.lit('<p><a href="/p'), s((F.col("page_id") * 2 + 1) % F.col("n")), F.lit('/?utm_source=x">a</a> <a href="./p'),
+        s(F.col("page_id") * 3 % F.col("n")), F.lit('#top">b</a> <a href="mailto:x@y.z">m</a> <area href="https://other/p1">'))
     made = pages.crossJoin(F.broadcast(n)).select(F.concat(F.lit("https://h/p"), s(F.col("page_id"))).alias("url"), html.alias("html"))
     scope = Scope.make(["h"], {}, [], ["utm_*"])
     links = detect.links_of(detect.detect_pages(made, rules())).select(F.col("page").alias("src"), scope.normalized(F.col("href"), F.col("page")).alias("dst"))
@@ -309,8 +381,12 @@ _CLAIM = "c AS (SELECT page_id AS seq, url, page_id % 3 AS attempts, page_id % 4
 
 def claims_of(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("page_id")
-    q = pages_of(spark, d).select(n.alias("seq"), "url", (n % 3).cast("int").alias("attempts"), F.when(n % 4 == 0, "pending").when(n % 4 == 1, "in_progress").otherwise("done").alias("status"), F.when(n % 8 == 0, F.timestamp_seconds(F.lit(9999))).alias("retry_after"))
-    return q.withColumns({"tier1_done": (F.col("seq") % 2).cast("int"), "tier2_done": F.lit(0), "tier2_reason": F.when(F.col("seq") % 5 == 0, "none").otherwise("hit"), "last_attempt_at": F.when(F.col("seq") % 3 != 0, F.timestamp_seconds(F.col("seq") * 60))})
+    q = pages_of(spark, d).select(n.alias("seq"), "url", (n % 3).cast("int").alias("attempts"),
+        F.when(n % 4 == 0, "pending").when(n % 4 == 1, "in_progress").otherwise("done").alias("status"),
+        F.when(n % 8 == 0, F.timestamp_seconds(F.lit(9999))).alias("retry_after"))
+    return q.withColumns({"tier1_done": (F.col("seq") % 2).cast("int"), "tier2_done": F.lit(0),
+        "tier2_reason": F.when(F.col("seq") % 5 == 0, "none").otherwise("hit"),
+        "last_attempt_at": F.when(F.col("seq") % 3 != 0, F.timestamp_seconds(F.col("seq") * 60))})
 
 
 @query(f"WITH {_CLAIM} SELECT seq, attempts FROM (SELECT seq, CAST(attempts AS INTEGER) AS attempts FROM c WHERE pending AND NOT later AND r <> 0 ORDER BY attempts, seq LIMIT 17)")
@@ -363,9 +439,12 @@ def sitemap_union(spark, d):
     """Packed sitemaps of the configuration, of robots.txt, and plain lists; one that neither names is not read."""
     pack = F.udf(lambda body: gzip.compress(body.encode()), "binary")
     n = F.col("page_id") % 4
-    entry = F.when(n == 2, F.concat(F.lit("https://s/"), F.col("page_id").cast("string"), F.lit("?a=1&b=<"))).otherwise(F.concat(F.lit("<url><loc> https://s/"), F.col("page_id").cast("string"), F.lit("?a=1&amp;b=&lt; </loc></url>")))
+    entry = F.when(n == 2, F.concat(F.lit("https://s/"), F.col("page_id").cast("string"),
+        F.lit("?a=1&b=<"))).otherwise(F.concat(F.lit("<url><loc> https://s/"), F.col("page_id").cast("string"),
+        F.lit("?a=1&amp;b=&lt; </loc></url>")))
     bodies = pages_of(spark, d).groupBy(n.alias("m")).agg(F.array_join(F.collect_list(entry), "\n").alias("body"))
-    docs = bodies.select(F.concat(F.lit("https://s/map"), F.col("m").cast("string"), F.lit(".xml")).alias("url"), F.when(F.col("m") == 2, F.col("body").cast("binary")).otherwise(pack(F.concat(F.lit("<urlset>"), "body", F.lit("</urlset>")))).alias("body"))
+    docs = bodies.select(F.concat(F.lit("https://s/map"), F.col("m").cast("string"), F.lit(".xml")).alias("url"),
+        F.when(F.col("m") == 2, F.col("body").cast("binary")).otherwise(pack(F.concat(F.lit("<urlset>"), "body", F.lit("</urlset>")))).alias("body"))
     declared = robots.parse("Sitemap: https://s/map1.xml\nSitemap: https://s/map2.xml\n", "x").sitemaps
     return tables.expand_sitemaps(docs, tables.sitemap_starts(["https://s/map0.xml", "https://s/map1.xml"], declared))
 
@@ -374,8 +453,10 @@ def sitemap_union(spark, d):
 def portal_search(spark, d):
     """Four pages of a search's answers; an item that two pages list is as in the later one."""
     n = F.col("id")
-    item = F.struct(F.concat(F.lit("i"), (n % 60).cast("string")).alias("id"), F.concat(F.lit("Item "), n.cast("string")).alias("title"), F.when(n % 3 != 0, n % 60 * 1000).otherwise(0).alias("created"), F.when(n % 60 % 2 == 1, "OTHER").alias("orgId"))
-    found = spark.range(100).groupBy(F.floor(n / 25).alias("p")).agg(F.collect_list(item).alias("results")).select(F.lit(100).alias("total"), (F.col("p") * 25 + 1).alias("start"), F.lit(-1).alias("nextStart"), "results")
+    item = F.struct(F.concat(F.lit("i"), (n % 60).cast("string")).alias("id"), F.concat(F.lit("Item "), n.cast("string")).alias("title"),
+        F.when(n % 3 != 0, n % 60 * 1000).otherwise(0).alias("created"), F.when(n % 60 % 2 == 1, "OTHER").alias("orgId"))
+    found = spark.range(100).groupBy(F.floor(n / 25).alias("p")).agg(F.collect_list(item).alias("results")).select(F.lit(100).alias("total"),
+        (F.col("p") * 25 + 1).alias("start"), F.lit(-1).alias("nextStart"), "results")
     path = f"{crawl.shared_dir(spark)}/search"
     found.write.partitionBy("start").json(path)  # a file a page
     return tables.org_items(spark, path, "ORG").select("item_id", "title", "org_id", F.unix_millis("created").alias("created_ms"))
@@ -386,7 +467,9 @@ n AS (SELECT md5(CAST(i AS VARCHAR)) AS item_id, 'Other ' || i AS title, CASE WH
 SELECT coalesce(o.item_id, n.item_id) AS item_id, coalesce(n.title, o.title) AS title, coalesce(n.org_id, o.org_id) AS org_id, coalesce(n.in_org, o.in_org) AS in_org, coalesce(n.access, o.access) AS access FROM o FULL JOIN n ON o.item_id = n.item_id""")
 def known_items(spark, d):
     """An organisation's items and answers for single ids; what an answer does not say stays."""
-    lookups = spark.range(2, 12).select(F.md5(F.col("id").cast("string")).alias("item_id"), F.when(F.col("id") % 2 == 0, "ORG1").otherwise("ORG2").alias("org_id"), F.concat(F.lit("Other "), F.col("id").cast("string")).alias("title"), (F.col("id") != 9).alias("readable"))
+    lookups = spark.range(2, 12).select(F.md5(F.col("id").cast("string")).alias("item_id"),
+        F.when(F.col("id") % 2 == 0, "ORG1").otherwise("ORG2").alias("org_id"), F.concat(F.lit("Other "), F.col("id").cast("string")).alias("title"),
+        (F.col("id") != 9).alias("readable"))
     return xref.known_items(items_of(spark), lookups, "ORG1").select("item_id", "title", "org_id", "in_org", "access")
 
 
@@ -413,7 +496,8 @@ def robots_groups(spark, d):
 # --- preflight
 def loads_of(spark: SparkSession, d: str) -> DataFrame:
     p = pages_of(spark, d).select("page_id", "url", F.explode(F.array(F.lit(True), F.lit(False))).alias("with_consent"))
-    hosts = F.when(F.col("with_consent") & (F.col("page_id") % 2 == 0), F.array(F.lit("base"), F.concat(F.lit("h"), (F.col("page_id") % 4).cast("string")))).otherwise(F.array(F.lit("base")))
+    hosts = F.when(F.col("with_consent") & (F.col("page_id") % 2 == 0),
+        F.array(F.lit("base"), F.concat(F.lit("h"), (F.col("page_id") % 4).cast("string")))).otherwise(F.array(F.lit("base")))
     signals = F.when(F.col("page_id") % 5 == 0, F.array(F.lit("OneTrust"), F.lit("Cookiebot"))).when(F.col("page_id") % 5 == 1, F.array(F.lit("__tcfapi")))
     return p.select("url", "with_consent", hosts.alias("map_hosts"), signals.alias("cmp_signals"))
 
@@ -424,10 +508,12 @@ def preflight_document(spark, d):
     path = crawl.shared_dir(spark)
     export.write_text(spark, path, "preflight.json", preflight.document(preflight.verdict(loads_of(spark, d))))
     hosts = "struct<h0:bigint,h2:bigint>"
-    v = spark.read.schema(f"sample_size long, cmp_signals array<string>, consent_gating_detected boolean, cmp_present boolean, map_hosts_only_with_consent {hosts}").json(f"{path}/preflight.json", multiLine=True)
+    v = spark.read.schema(f"sample_size long, cmp_signals array<string>, consent_gating_detected boolean, cmp_present boolean, map_hosts_only_with_consent {hosts}").json(f"{path}/preflight.json",
+        multiLine=True)
     consent = tables.consent_mode(spark, "auto", f"{path}/preflight.json")
     flag = lambda c: F.col(c).cast("int")
-    return v.select("sample_size", F.array_join("cmp_signals", " ").alias("signals"), flag("consent_gating_detected").alias("gated"), flag("cmp_present").alias("present"), F.lit(int(consent)).alias("consent"), "map_hosts_only_with_consent.*")
+    return v.select("sample_size", F.array_join("cmp_signals", " ").alias("signals"), flag("consent_gating_detected").alias("gated"),
+        flag("cmp_present").alias("present"), F.lit(int(consent)).alias("consent"), "map_hosts_only_with_consent.*")
 
 
 @query("SELECT url, 'queue' AS source FROM pages UNION ALL SELECT 'https://new/' || page_id, 'sitemap' FROM pages WHERE page_id % 10 = 0")
@@ -441,11 +527,14 @@ def preflight_candidates(spark, d):
 @query("SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'OneTrust cookielaw.org otSDKStub.js' WHEN 1 THEN '__tcfapi gtag' WHEN 2 THEN '' ELSE 'iubenda.com' END AS signals, CASE WHEN page_id % 2 = 0 THEN 'Accept all cookies,OK' ELSE '' END AS buttons FROM pages")
 def consent_signals(spark, d):
     """What pages' sources say of consent, and which of their buttons give it."""
-    marks = ('<script src="https://cdn.cookielaw.org/otSDKStub.js"></script><script>OneTrust.init()</script>', "<script>window.__tcfapi(); gtag( 'consent', \"default\", {})</script>", "<p>__tcfapiX, OneTrusted</p>", '<script src="//CDN.Iubenda.com/x.js"></script>')
+    marks = ('<script src="https://cdn.cookielaw.org/otSDKStub.js"></script><script>OneTrust.init()</script>',
+        "<script>window.__tcfapi(); gtag( 'consent', \"default\", {})</script>", "<p>__tcfapiX, OneTrusted</p>",
+        '<script src="//CDN.Iubenda.com/x.js"></script>')
     html = F.concat(F.get(F.array(*map(F.lit, marks)), (F.col("page_id") % 4).cast("int")), F.lit("<p>text</p>"))
     labels = F.when(F.col("page_id") % 2 == 0, F.array(*map(F.lit, ("Accept all cookies", "More", "OK")))).otherwise(F.array(F.lit("Accept nothing")))
     cmp = rules().cmp
-    return pages_of(spark, d).select("page_id", F.array_join(preflight.consent_signals(html, cmp), " ").alias("signals"), F.array_join(preflight.accept_buttons(labels, cmp), ",").alias("buttons"))
+    return pages_of(spark, d).select("page_id", F.array_join(preflight.consent_signals(html, cmp), " ").alias("signals"),
+        F.array_join(preflight.accept_buttons(labels, cmp), ",").alias("buttons"))
 
 
 # --- reports and sinks
@@ -457,7 +546,8 @@ def _reported(spark: SparkSession, d: str, vendors: list[str] | None = None):
 @query(f"WITH {_APPS}, k AS (SELECT identity_key, string_agg(DISTINCT api_key, ',' ORDER BY api_key) AS api_keys, CAST(max(CAST(confidence = 'high' AS INTEGER)) AS INTEGER) AS any_high, min(CASE WHEN placement = 'main_content' THEN url END) AS m, arg_min(url, page_id) AS f FROM left_ GROUP BY 1) SELECT identity_key, vendor, coalesce(m, f) AS example_url, any_high, api_keys, CAST(type = 'map_link_only' AS INTEGER) AS flagged, 'n/a' AS org FROM apps JOIN k USING (identity_key) WHERE vendor IN ('google', 'mapbox')")
 def reported_vendors(spark, d):
     """Examples, keys and flags of the applications of two vendors."""
-    return _reported(spark, d, ["Google", "MAPBOX"])[2].select("identity_key", "vendor", "example_url", "any_high", "api_keys", "flagged", F.col("in_county_org_label").alias("org"))
+    return _reported(spark, d, ["Google", "MAPBOX"])[2].select("identity_key", "vendor", "example_url", "any_high", "api_keys", "flagged",
+        F.col("in_county_org_label").alias("org"))
 
 
 @query(f"WITH {_APPS}, t AS (SELECT url, substr(trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g')), 1, 300) AS title FROM pages) SELECT l.url AS page_url, l.identity_key, any_value(t.title) AS page_title, string_agg(DISTINCT l.type, ',' ORDER BY l.type) AS finding_types, min(CASE WHEN signal_type = 'static_html' OR tier = 2 THEN NULL ELSE signal_value END) AS target_url FROM left_ l JOIN t USING (url) WHERE placement = 'main_content' AND page_id % 2 = 1 GROUP BY 1, 2")
@@ -480,7 +570,8 @@ def applications_csv(spark, d):
     path = crawl.shared_dir(spark)
     export.write_applications(_reported(spark, d)[2], path)
     back = spark.read.csv(f"{path}/applications.csv", header=True, escape='"', multiLine=True)
-    return back.select("identity_key", "vendor", "app_kind", F.col("occurrence_count").cast("long").alias("occurrence_count"), F.col("linked_only").cast("int").alias("linked"), "api_keys", "signal_types")
+    return back.select("identity_key", "vendor", "app_kind", F.col("occurrence_count").cast("long").alias("occurrence_count"),
+        F.col("linked_only").cast("int").alias("linked"), "api_keys", "signal_types")
 
 
 @query(f"WITH {_APPS} SELECT l.url AS page_url, l.identity_key, CAST(max(tier) AS INTEGER) AS max_tier, CAST(count(DISTINCT signal_type) AS INTEGER) AS signals FROM left_ l WHERE placement = 'main_content' GROUP BY 1, 2")
@@ -497,7 +588,8 @@ def findings_jsonl(spark, d):
     """Both files of findings that a report of one vendor writes."""
     path = crawl.shared_dir(spark)
     export.write_findings(tier1(spark, d), path, ["Google"])
-    read = lambda name: spark.read.schema("seq long, identity_key string, api_key string").json(f"{path}/{name}").select(F.lit(name).alias("file"), "seq", "identity_key", "api_key")
+    read = lambda name: spark.read.schema("seq long, identity_key string, api_key string").json(f"{path}/{name}").select(F.lit(name).alias("file"),
+        "seq", "identity_key", "api_key")
     return read("findings.jsonl").unionByName(read("findings-all-vendors.jsonl"))
 
 
@@ -508,7 +600,8 @@ def report_totals(spark, d):
     """The numbers of summary.json."""
     stored, apps, table = _reported(spark, d)
     occ = report.occurrences(stored, apps)
-    made = json.loads(export.summary(report.totals(table, occ, stored), spark.createDataFrame([], "metric string, value long"), table.select("identity_key", F.lit("x").alias("bucket")), report.api_keys(stored)))
+    made = json.loads(export.summary(report.totals(table, occ, stored), spark.createDataFrame([], "metric string, value long"),
+        table.select("identity_key", F.lit("x").alias("bucket")), report.api_keys(stored)))
     return spark.createDataFrame(list(made["totals"].items()), "metric string, value long")
 
 
@@ -539,8 +632,12 @@ def report_page(spark, d):
 def key_restrictions(spark, d):
     """What vendors' answers say about keys."""
     rows = [
-        ("google", "a", 200, '{"status":"REQUEST_DENIED","error_message":"API keys with referer restrictions cannot be used"}'), ("google", "b", 200, '{"status":"REQUEST_DENIED","error_message":"This IP is not authorized to use it"}'), ("google", "c", 200, '{"status":"ZERO_RESULTS"}'),
-        ("google", "d", 200, '{"status":"OVER_QUERY_LIMIT"}'), ("mapbox", "e", 200, '{"code":"TokenValid","token":{"allowedUrls":["x"]}}'), ("mapbox", "f", 200, '{"code":"TokenValid","token":{}}'), ("mapbox", "g", 401, '{"code":"TokenExpired"}'), ("esri", "h", 200, "{}"), ("google", "i", None, None), ("google", "j", 500, "broken"),
+        ("google", "a", 200, '{"status":"REQUEST_DENIED","error_message":"API keys with referer restrictions cannot be used"}'),
+            ("google", "b", 200, '{"status":"REQUEST_DENIED","error_message":"This IP is not authorized to use it"}'),
+            ("google", "c", 200, '{"status":"ZERO_RESULTS"}'),
+        ("google", "d", 200, '{"status":"OVER_QUERY_LIMIT"}'), ("mapbox", "e", 200, '{"code":"TokenValid","token":{"allowedUrls":["x"]}}'),
+            ("mapbox", "f", 200, '{"code":"TokenValid","token":{}}'), ("mapbox", "g", 401, '{"code":"TokenExpired"}'), ("esri", "h", 200, "{}"),
+            ("google", "i", None, None), ("google", "j", 500, "broken"),
     ]
     answers = spark.createDataFrame(rows, "vendor string, api_key string, status int, body string")
     seen = answers.select("api_key", "vendor", F.lit("u").alias("url"), F.lit("t").alias("target_url"), F.lit("k").alias("identity_key"))
@@ -588,7 +685,8 @@ def stream_new_applications(spark, d):
     for _ in range(2):
         found.write.mode("append").parquet(f"{folder}/findings")
         new = streams.new_applications(spark.readStream.schema(found.schema).parquet(f"{folder}/findings"))
-        new.writeStream.format("parquet").option("path", f"{folder}/new").option("checkpointLocation", f"{folder}/ck").trigger(availableNow=True).start().awaitTermination()
+        new.writeStream.format("parquet").option("path", f"{folder}/new").option("checkpointLocation",
+            f"{folder}/ck").trigger(availableNow=True).start().awaitTermination()
     return spark.read.parquet(f"{folder}/new").select("identity_key")
 
 

@@ -82,10 +82,12 @@ def as_dict(metrics: DataFrame) -> dict[str, int]:
 def summary(totals: DataFrame, coverage: DataFrame, buckets: DataFrame, keys: DataFrame, most_keys: int = 1000) -> str:
     """The report's numbers; of keys the first ``most_keys`` and how many there are. All keys are in keys.jsonl."""
     arcgis = {r["bucket"]: r["count"] for r in buckets.groupBy("bucket").count().collect()}
-    return json.dumps({"totals": as_dict(totals), "coverage": as_dict(coverage), "arcgis": arcgis, "keys_total": keys.count(), "keys": [r.asDict() for r in keys.orderBy("api_key").limit(most_keys).collect()]}, indent=2, default=str)
+    return json.dumps({"totals": as_dict(totals), "coverage": as_dict(coverage), "arcgis": arcgis, "keys_total": keys.count(),
+        "keys": [r.asDict() for r in keys.orderBy("api_key").limit(most_keys).collect()]}, indent=2, default=str)
 
 
-def page(report: DataFrame, totals: DataFrame, coverage: DataFrame, keys: DataFrame, buckets: DataFrame | None = None, heading: str = "Map applications", most: int = 2000) -> str:
+def page(report: DataFrame, totals: DataFrame, coverage: DataFrame, keys: DataFrame, buckets: DataFrame | None = None,
+    heading: str = "Map applications", most: int = 2000) -> str:
     """The report as HTML: figures, counts by vendor, kind and type, ArcGIS buckets, applications, those of the site's navigation,
     keys, and a gallery of screenshots. Lists show at most ``most`` rows; the CSV files are whole."""
     esc = lambda x: html.escape("" if x is None else str(x))
@@ -103,7 +105,8 @@ def page(report: DataFrame, totals: DataFrame, coverage: DataFrame, keys: DataFr
     parts = [section(f"By {name}", by(c), [c, "applications"]) for name, c in (("vendor", "vendor"), ("kind", "app_kind"), ("type", "type"))]
     if buckets is not None:
         parts.append(section("ArcGIS", buckets.groupBy("bucket").agg(F.count("*").alias("applications")).orderBy("bucket"), ["bucket", "applications"]))
-    parts += [section("Applications", listed.filter(~chrome), columns), section("Site-wide", listed.filter(chrome), columns), section("Keys", keys.orderBy("api_key"), ["api_key", "vendor", "pages", "restriction"])]
+    parts += [section("Applications", listed.filter(~chrome), columns), section("Site-wide", listed.filter(chrome), columns),
+        section("Keys", keys.orderBy("api_key"), ["api_key", "vendor", "pages", "restriction"])]
     shots = listed.filter("screenshot_path IS NOT NULL").select("identity_key", "screenshot_path").limit(most).collect()
     gallery = "".join(f'<figure><img loading=lazy src="{esc(r[1])}"><figcaption>{esc(r[0])}</figcaption></figure>' for r in shots)
     return f"<!doctype html><meta charset=utf-8><title>{esc(heading)}</title><h1>{esc(heading)}</h1>{notice}<ul>{cards}</ul>{''.join(parts)}{'<h2>Gallery</h2>' + gallery if gallery else ''}"

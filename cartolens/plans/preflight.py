@@ -24,7 +24,8 @@ def candidates(queue: DataFrame | None, listed: DataFrame | None, spark: SparkSe
 def stratified(urls: DataFrame, n: int, homepage: str | None = None) -> DataFrame:
     """n URLs (url, seq) by turns from each first path segment, the homepage first: url, section, turn."""
     if homepage:
-        urls = urls.filter(F.col("url") != homepage).select("url", F.col("seq").cast("long")).unionByName(urls.sparkSession.createDataFrame([(homepage, -1)], "url string, seq long"))
+        urls = urls.filter(F.col("url") != homepage).select("url",
+            F.col("seq").cast("long")).unionByName(urls.sparkSession.createDataFrame([(homepage, -1)], "url string, seq long"))
     parted = urls.withColumn("section", section(F.col("url")))
     turn = F.row_number().over(Window.partitionBy("section").orderBy("seq", "url"))
     first = parted.groupBy("section").agg(F.min(F.struct("seq", "url")).alias("_first"))

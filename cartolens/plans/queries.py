@@ -21,7 +21,8 @@ from . import preflight, report, xref
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
-SCOPE = Scope.make(["www.example.com", "blog.example.com", "docs.example.org", "news.example.net", "shop.example.com"], {"example.com": "www.example.com"}, ["pdf", "html", "jpg"], ["utm_*", "fbclid"])
+SCOPE = Scope.make(["www.example.com", "blog.example.com", "docs.example.org", "news.example.net", "shop.example.com"],
+    {"example.com": "www.example.com"}, ["pdf", "html", "jpg"], ["utm_*", "fbclid"])
 ROBOTS = "User-agent: *\nDisallow: /en/\nAllow: /en/a\nDisallow: /*/page$\nDisallow: /docs\nAllow: /docs/\n"
 
 
@@ -68,8 +69,14 @@ def tier2(spark: SparkSession, d: str) -> DataFrame:
     """What rendering adds, templated: a container where a page has the script hint, and another map on every 13th page."""
     p = pages_of(spark, d).select("url", F.col("page_id").alias("seq"), F.lit(2).alias("tier"))
     null = lambda t: F.lit(None).cast(t)
-    row = lambda place, key, vendor, kind, signal, value, container: p.select("url", "seq", "tier", F.lit(place).alias("place"), key.alias("identity_key"), F.lit(vendor).alias("vendor"), F.lit(kind).alias("type"), F.lit("high").alias("confidence"), F.lit("main_content").alias("placement"), F.lit(signal).alias("signal_type"), F.lit(value).alias("signal_value"), null("string").alias("target_url"), F.lit(container).alias("container_selector"), null("int").alias("width_px"), null("int").alias("height_px"), null("string").alias("api_key"), null("string").alias("arcgis_org"), null("string").alias("arcgis_item_id"), F.lit(0).alias("flagged"), F.lit(f"{signal}:x").alias("rule"), null("string").alias("title"))
-    a = row(0, ident.inpage_key(F.lit("leaflet"), F.col("url"), F.lit("#m")), "leaflet", "interactive_webmap", "selector", ".leaflet-container", "#m").filter("seq % 22 = 0")
+    row = lambda place, key, vendor, kind, signal, value, container: p.select("url", "seq", "tier", F.lit(place).alias("place"),
+        key.alias("identity_key"), F.lit(vendor).alias("vendor"), F.lit(kind).alias("type"), F.lit("high").alias("confidence"),
+        F.lit("main_content").alias("placement"), F.lit(signal).alias("signal_type"), F.lit(value).alias("signal_value"),
+        null("string").alias("target_url"), F.lit(container).alias("container_selector"), null("int").alias("width_px"),
+        null("int").alias("height_px"), null("string").alias("api_key"), null("string").alias("arcgis_org"), null("string").alias("arcgis_item_id"),
+        F.lit(0).alias("flagged"), F.lit(f"{signal}:x").alias("rule"), null("string").alias("title"))
+    a = row(0, ident.inpage_key(F.lit("leaflet"), F.col("url"), F.lit("#m")), "leaflet", "interactive_webmap", "selector", ".leaflet-container",
+        "#m").filter("seq % 22 = 0")
     b = row(1, F.concat(F.lit("mapbox:style:org/s"), (F.col("seq") % 3).cast("string")), "mapbox", "interactive_webmap", "network", "style", "*").filter("seq % 13 = 0")
     return a.unionByName(b)
 
@@ -168,10 +175,12 @@ def requests_of(spark: SparkSession, d: str) -> DataFrame:
     s = lambda c: c.cast("string")
     made = [
         F.concat(F.lit("https://api.mapbox.com/v4/"), s(F.col("i"))), F.concat(F.lit("https://a.tile.openstreetmap.org/3/1/"), s(F.col("page_id") % 4), F.lit(".png")),
-        F.concat(F.lit("https://cdn.example.com:8443/app.js?v="), s(F.col("page_id"))), F.concat(F.lit("https://geo.example.org/geoserver/ows?request=GetMap&l="), s(F.col("page_id") % 3)),
+        F.concat(F.lit("https://cdn.example.com:8443/app.js?v="), s(F.col("page_id"))),
+            F.concat(F.lit("https://geo.example.org/geoserver/ows?request=GetMap&l="), s(F.col("page_id") % 3)),
         F.lit("https://maps.googleapis.com/maps/api/staticmap?center=1"),
     ]
-    return p.select("page_id", "url", F.col("i").cast("long").alias("seq"), F.get(F.array(*made), F.col("i") % 5).alias("request_url"), F.lit("image").alias("resource_type"))
+    return p.select("page_id", "url", F.col("i").cast("long").alias("seq"), F.get(F.array(*made), F.col("i") % 5).alias("request_url"),
+        F.lit("image").alias("resource_type"))
 
 
 _REQUESTS = """r AS (SELECT page_id, url, i, CASE i % 5 WHEN 0 THEN 'https://api.mapbox.com/v4/' || i WHEN 1 THEN 'https://a.tile.openstreetmap.org/3/1/' || (page_id % 4) || '.png'
@@ -204,9 +213,12 @@ def request_dedup_cap(spark, d):
 
 #: URLs of many kinds and the embed rule that must match first.
 TARGETS = [
-    ("https://x.maps.arcgis.com/apps/webappviewer/index.html?id=" + "a" * 32, "ArcGIS Web AppBuilder"), ("https://x.maps.arcgis.com/apps/MapJournal/index.html", "ArcGIS Configurable App"),
-    ("https://x.maps.arcgis.com/apps/MapJournal?x=1", "ArcGIS App"), ("https://storymaps.arcgis.com/stories/" + "b" * 32, "ArcGIS StoryMaps"), ("https://www.google.com/maps/embed?pb=1", "Google Maps Embed"),
-    ("https://www.google.com/maps/dir/a/b", "Google Maps directions/place link"), ("https://www.google.com/maps", "Google Maps"), ("https://example.org/about", "none"), ("https://map.city.gov/x", "Map subdomain"),
+    ("https://x.maps.arcgis.com/apps/webappviewer/index.html?id=" + "a" * 32, "ArcGIS Web AppBuilder"),
+        ("https://x.maps.arcgis.com/apps/MapJournal/index.html", "ArcGIS Configurable App"),
+    ("https://x.maps.arcgis.com/apps/MapJournal?x=1", "ArcGIS App"), ("https://storymaps.arcgis.com/stories/" + "b" * 32, "ArcGIS StoryMaps"),
+        ("https://www.google.com/maps/embed?pb=1", "Google Maps Embed"),
+    ("https://www.google.com/maps/dir/a/b", "Google Maps directions/place link"), ("https://www.google.com/maps", "Google Maps"),
+        ("https://example.org/about", "none"), ("https://map.city.gov/x", "Map subdomain"),
 ]
 _TARGETS = "t(i, target, label) AS (VALUES " + ", ".join(f"({i}, '{u}', '{x}')" for i, (u, x) in enumerate(TARGETS)) + ")"
 
@@ -253,7 +265,8 @@ def api_keys(spark, d):
 @query("SELECT 'KEY' || (page_id % 3) AS api_key, 'google' AS vendor, count(*) AS images FROM pages WHERE page_id % 5 = 0 GROUP BY 1, 2")
 def static_map_keys(spark, d):
     r = rules()
-    u = augmented(spark, d).select(F.explode(tx.raw_urls(F.col("html"))).alias("u")).withColumn("vendor", pick(r.static_map_index(F.col("u")), [x.vendor for x in r.static_maps]))
+    u = augmented(spark, d).select(F.explode(tx.raw_urls(F.col("html"))).alias("u")).withColumn("vendor",
+        pick(r.static_map_index(F.col("u")), [x.vendor for x in r.static_maps]))
     return u.filter("vendor IS NOT NULL").groupBy(F.regexp_extract("u", "[?&]key=([^&]*)", 1).alias("api_key"), "vendor").agg(F.count("*").alias("images"))
 
 
@@ -342,7 +355,8 @@ def apps_of(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"WITH {_APPS} SELECT identity_key, vendor, type, occurrence_count, main_content_pages, embed_pages, site_chrome_pages, signal_types, CAST(main_content_pages > 0 AND embed_pages = 0 AS INTEGER) AS linked_only, CASE WHEN main_content_pages = 0 THEN 'site-wide navigation' WHEN site_chrome_pages > 0 THEN 'content + navigation' ELSE 'content' END AS placement_summary FROM apps")
 def applications(spark, d):
-    return apps_of(spark, d).select("identity_key", "vendor", "type", "occurrence_count", "main_content_pages", "embed_pages", "site_chrome_pages", "signal_types", "linked_only", "placement_summary")
+    return apps_of(spark, d).select("identity_key", "vendor", "type", "occurrence_count", "main_content_pages", "embed_pages", "site_chrome_pages",
+        "signal_types", "linked_only", "placement_summary")
 
 
 @query(f"WITH {_APPS} SELECT identity_key, app_kind, CASE WHEN identity_key LIKE 'arcgis:item:%' THEN 'ArcGIS Online' ELSE vendor END AS hosting FROM apps")
@@ -378,8 +392,10 @@ def queue_of(spark: SparkSession, d: str) -> DataFrame:
     """A queue as a crawl might leave it, by the number of the page."""
     p = pages_of(spark, d).select("url", F.col("page_id").alias("seq"), (F.col("page_id") % 2 == 0).alias("hit"), F.lit(None).cast("string").alias("title"))
     n = F.col("seq") % 9
-    q = crawl.schedule(p, rules(), 0.2).withColumns({"status": F.when(n == 0, "failed").when(n == 1, "skipped").when(n == 2, "pending").otherwise("done"), "tier1_done": (n != 2).cast("int")})
-    return q.withColumns({"tier2_done": ((F.col("tier2_reason") != "none") & (F.col("status") == "done")).cast("int"), "source": F.when(F.col("seq") % 4 == 0, "sitemap").otherwise("crawl")})
+    q = crawl.schedule(p, rules(), 0.2).withColumns({"status": F.when(n == 0, "failed").when(n == 1, "skipped").when(n == 2,
+        "pending").otherwise("done"), "tier1_done": (n != 2).cast("int")})
+    return q.withColumns({"tier2_done": ((F.col("tier2_reason") != "none") & (F.col("status") == "done")).cast("int"),
+        "source": F.when(F.col("seq") % 4 == 0, "sitemap").otherwise("crawl")})
 
 
 @query(f"WITH {_QUEUE} SELECT tier2_reason, count(*) AS n FROM q GROUP BY 1")
@@ -416,7 +432,10 @@ def pattern_hits(spark, d):
 def items_of(spark: SparkSession) -> DataFrame:
     """Twelve items of one organisation: four that pages embed, eight that none does."""
     n = F.col("id")
-    return spark.range(12).select(F.md5(n.cast("string")).alias("item_id"), F.concat(F.lit("Item "), n.cast("string")).alias("title"), F.lit("Dashboard").alias("type"), F.lit("own").alias("owner"), F.timestamp_seconds(n * 86400).alias("created"), F.timestamp_seconds(n * 86400).alias("modified"), F.lit(None).cast("string").alias("url"), F.lit("ORG1").alias("org_id"), F.lit(1).alias("in_org"), F.lit("public").alias("access")).filter(n.isin(0, 1, 2, 3) | (n >= 7))
+    return spark.range(12).select(F.md5(n.cast("string")).alias("item_id"), F.concat(F.lit("Item "), n.cast("string")).alias("title"),
+        F.lit("Dashboard").alias("type"), F.lit("own").alias("owner"), F.timestamp_seconds(n * 86400).alias("created"),
+        F.timestamp_seconds(n * 86400).alias("modified"), F.lit(None).cast("string").alias("url"), F.lit("ORG1").alias("org_id"),
+        F.lit(1).alias("in_org"), F.lit("public").alias("access")).filter(n.isin(0, 1, 2, 3) | (n >= 7))
 
 
 @query("WITH i AS (SELECT md5(CAST(i AS VARCHAR)) AS item_id, 'Item ' || i AS title FROM range(12) t(i) WHERE i < 4 OR i >= 7) SELECT item_id, title FROM i WHERE item_id NOT IN (SELECT md5(CAST(page_id % 7 AS VARCHAR)) FROM pages WHERE page_id % 2 = 0)")
@@ -427,7 +446,8 @@ def org_orphans(spark, d):
 
 def referenced(spark: SparkSession, d: str) -> DataFrame:
     stored, apps, presence = store.inventory(both(spark, d))
-    lookups = spark.range(4, 6).select(F.md5(F.col("id").cast("string")).alias("item_id"), F.lit("ORG2").alias("org_id"), F.lit("Other").alias("title"), (F.col("id") == 4).alias("readable"))
+    lookups = spark.range(4, 6).select(F.md5(F.col("id").cast("string")).alias("item_id"), F.lit("ORG2").alias("org_id"),
+        F.lit("Other").alias("title"), (F.col("id") == 4).alias("readable"))
     return report.applications_report(xref.cross_reference(apps, items_of(spark), lookups, "ORG1"), stored, presence)
 
 
@@ -441,7 +461,8 @@ def org_buckets(spark, d):
 def service_org_xref(spark, d):
     r = rules()
     u = F.concat(F.lit("https://services.arcgis.com/ORG"), (F.col("page_id") % 3).cast("string"), F.lit("abcde/arcgis/rest/services/Parcels/FeatureServer/0"))
-    a = pages_of(spark, d).select("page_id", ident.identity_struct(r)(u, F.lit(None).cast("string")).alias("i")).select("page_id", F.col("i.key").alias("identity_key"), F.lit(None).cast("string").alias("arcgis_item_id"), F.lit(None).cast("string").alias("title"))
+    a = pages_of(spark, d).select("page_id", ident.identity_struct(r)(u, F.lit(None).cast("string")).alias("i")).select("page_id",
+        F.col("i.key").alias("identity_key"), F.lit(None).cast("string").alias("arcgis_item_id"), F.lit(None).cast("string").alias("title"))
     none = spark.createDataFrame([], "item_id string, org_id string, title string, readable boolean")
     return xref.cross_reference(a, items_of(spark), none, "ORG1abcde").select("page_id", "identity_key", "in_county_org")
 
@@ -467,7 +488,8 @@ def consent_diff_hosts(spark, d):
 
 def fetches_of(spark: SparkSession, d: str) -> DataFrame:
     status = F.when(F.col("event_type") == "error", 403).otherwise(200)
-    return tables.table(spark, d, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 16).cast("string").alias("host"), status.alias("http_status"), "ts")
+    return tables.table(spark, d, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 16).cast("string").alias("host"),
+        status.alias("http_status"), "ts")
 
 
 _FETCH = "s AS (SELECT event_id AS seq, CAST(user_id % 16 AS VARCHAR) AS host, CASE WHEN event_type = 'error' THEN 403 ELSE 200 END AS http_status, ts FROM events)"
@@ -485,13 +507,15 @@ def status_histogram(spark, d):
 
 @query("SELECT event_id AS seq, CAST(15000 * power(2, event_id % 5) AS BIGINT) AS wait_ms, CASE WHEN event_id % 5 + 1 >= 3 THEN 'failed' ELSE 'pending' END AS status FROM events")
 def retry_backoff(spark, d):
-    q = tables.table(spark, d, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 5).cast("int").alias("attempts"), F.lit("in_progress").alias("status"), F.col("ts").cast("timestamp").alias("last_attempt_at"))
+    q = tables.table(spark, d, "events").select(F.col("event_id").alias("seq"), (F.col("event_id") % 5).cast("int").alias("attempts"),
+        F.lit("in_progress").alias("status"), F.col("ts").cast("timestamp").alias("last_attempt_at"))
     return crawl.after_failure(q).select("seq", tx.backoff_ms(F.col("attempts"), 15_000).alias("wait_ms"), "status")
 
 
 @query("SELECT 'u' || user_id AS url, arg_max(event_type, event_id) AS status, count(CASE WHEN event_type = 'in_progress' THEN 1 END) AS attempts FROM events GROUP BY 1")
 def queue_latest_state(spark, d):
-    e = tables.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.col("event_id").alias("seq"), F.col("event_type").alias("event"), F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("error"), "ts")
+    e = tables.table(spark, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("url"), F.col("event_id").alias("seq"),
+        F.col("event_type").alias("event"), F.lit(None).cast("int").alias("http_status"), F.lit(None).cast("string").alias("error"), "ts")
     return crawl.queue_state(e).select("url", "status", "attempts")
 
 
@@ -509,15 +533,18 @@ def new_app_events(spark, d):
 @query("SELECT count(*) AS stored, CAST(sum(octet_length(encode(html))) AS BIGINT) AS bytes, count(*) AS total, CAST(sum(octet_length(encode(html))) AS BIGINT) AS projected_bytes FROM pages")
 def storage_projection(spark, d):
     p = pages_of(spark, d)
-    return report.status(queue_of(spark, d).withColumns({"error": F.lit(None).cast("string"), "last_attempt_at": F.lit(None).cast("timestamp"), "tier1_hit": F.col("hit").cast("int"), "tier2_hit": F.lit(0)}), fetches_of(spark, d), p)["storage"]
+    return report.status(queue_of(spark, d).withColumns({"error": F.lit(None).cast("string"), "last_attempt_at": F.lit(None).cast("timestamp"),
+        "tier1_hit": F.col("hit").cast("int"), "tier2_hit": F.lit(0)}), fetches_of(spark, d), p)["storage"]
 
 
 @query("SELECT 'https://s.example.com/' || page_id AS loc, 'https://s.example.com/map' || (page_id % 100) || '.xml' AS sitemap FROM pages")
 def sitemap_expand(spark, d):
     """A hundred sitemaps below one index."""
     p = pages_of(spark, d)
-    body = F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(F.concat(F.lit("<url><loc>https://s.example.com/"), F.col("page_id").cast("string"), F.lit("</loc></url>"))), ""), F.lit("</urlset>"))
-    maps = p.groupBy((F.col("page_id") % 100).alias("m")).agg(body.alias("body")).select(F.concat(F.lit("https://s.example.com/map"), F.col("m").cast("string"), F.lit(".xml")).alias("url"), "body")
+    body = F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(F.concat(F.lit("<url><loc>https://s.example.com/"),
+        F.col("page_id").cast("string"), F.lit("</loc></url>"))), ""), F.lit("</urlset>"))
+    maps = p.groupBy((F.col("page_id") % 100).alias("m")).agg(body.alias("body")).select(F.concat(F.lit("https://s.example.com/map"),
+        F.col("m").cast("string"), F.lit(".xml")).alias("url"), "body")
     index = "<sitemapindex>" + "".join(f"<sitemap><loc>https://s.example.com/map{i}.xml</loc></sitemap>" for i in range(100)) + "</sitemapindex>"
     docs = maps.unionByName(spark.createDataFrame([("https://s.example.com/index.xml", index)], "url string, body string"))
     return tables.expand_sitemaps(docs, ["https://s.example.com/index.xml"]).select("loc", "sitemap")

@@ -29,12 +29,14 @@ def app_kind(rule: Column, signal: Column, vendor: Column, key: Column) -> Colum
     """What an application is called by its strongest sign: the embed rule's label, else by signal, else by vendor."""
     by_script = (rule == "host:js.arcgis.com") | (vendor == "esri") & signal.isin("selector", "global", "network", "static_html")
     in_page = F.replace(F.lit(fixed.KIND_PAGE), F.lit("{vendor}"), vendor)
-    labels = [F.nullif(F.regexp_extract(rule, "(?s)^embed:(.*)$", 1), F.lit("")), F.when(by_script, fixed.KIND_SCRIPT), F.when(signal == "image", fixed.KIND_IMAGE), F.when(key.startswith("inpage:"), in_page)]
+    labels = [F.nullif(F.regexp_extract(rule, "(?s)^embed:(.*)$", 1), F.lit("")), F.when(by_script, fixed.KIND_SCRIPT),
+        F.when(signal == "image", fixed.KIND_IMAGE), F.when(key.startswith("inpage:"), in_page)]
     return F.coalesce(*labels, vendor, F.lit("unknown"))
 
 
 def hosting() -> Column:
-    named = {"item": F.col("arcgis_item_id").isNotNull(), "service": F.col("identity_key").startswith("arcgis:service:"), "esri-enterprise": F.col("vendor") == "esri-enterprise", "esri": F.col("vendor") == "esri"}
+    named = {"item": F.col("arcgis_item_id").isNotNull(), "service": F.col("identity_key").startswith("arcgis:service:"),
+        "esri-enterprise": F.col("vendor") == "esri-enterprise", "esri": F.col("vendor") == "esri"}
     return F.coalesce(*[F.when(condition, fixed.HOSTING[name]) for name, condition in named.items()], F.col("vendor"))
 
 
@@ -44,11 +46,15 @@ def applications_report(apps: DataFrame, findings: DataFrame, presence: DataFram
     ``apps`` as from store.inventory(), with in_county_org (1, 0, null) if it has been cross-referenced.
     """
     main = F.col("placement") == "main_content"
-    order = F.when(F.col("signal_type") == "iframe", 0).when(F.col("signal_type") == "frame", 1).when(F.col("signal_type") == "image", 2).when(F.col("signal_type") == "link", 3).when(F.col("signal_type") == "network", 4).otherwise(5)
+    order = F.when(F.col("signal_type") == "iframe", 0).when(F.col("signal_type") == "frame", 1).when(F.col("signal_type") == "image",
+        2).when(F.col("signal_type") == "link", 3).when(F.col("signal_type") == "network", 4).otherwise(5)
     own = findings.groupBy("identity_key").agg(
-        F.count_distinct(F.when(main, F.col("url"))).alias("main_content_pages"), F.count_distinct(F.when(main & (F.col("type") != "map_link_only"), F.col("url"))).alias("embed_pages"),
-        F.min(F.when(main, F.col("url"))).alias("example_main_url"), joined("signal_type").alias("signal_types"), joined("api_key").alias("api_keys"), joined("arcgis_org").alias("arcgis_orgs"),
-        F.max((F.col("confidence") == "high").cast("int")).alias("any_high"), F.min_by(F.struct("rule", "signal_type"), F.struct(order.alias("o"), "seq", "tier", "place")).alias("kind"),
+        F.count_distinct(F.when(main, F.col("url"))).alias("main_content_pages"),
+            F.count_distinct(F.when(main & (F.col("type") != "map_link_only"), F.col("url"))).alias("embed_pages"),
+        F.min(F.when(main, F.col("url"))).alias("example_main_url"), joined("signal_type").alias("signal_types"), joined("api_key").alias("api_keys"),
+            joined("arcgis_org").alias("arcgis_orgs"),
+        F.max((F.col("confidence") == "high").cast("int")).alias("any_high"),
+            F.min_by(F.struct("rule", "signal_type"), F.struct(order.alias("o"), "seq", "tier", "place")).alias("kind"),
     )
     chrome = presence.groupBy("identity_key").agg(F.count("*").alias("site_chrome_pages"))
     for name in ("in_county_org", "screenshot_path"):
@@ -61,7 +67,8 @@ def applications_report(apps: DataFrame, findings: DataFrame, presence: DataFram
         "linked_only": (~none & (F.col("embed_pages") == 0)).cast("int"),
         "placement_summary": F.when(none & some, fixed.SUMMARY["chrome"]).when(some, fixed.SUMMARY["both"]).otherwise(fixed.SUMMARY["content"]),
         "example_url": F.coalesce("example_main_url", "first_seen_url"), "flagged": F.col("type").isin(*fixed.FLAGGED_TYPES).cast("int"),
-        "in_county_org_label": F.when(F.col("in_county_org") == 1, "yes").when(F.col("in_county_org") == 0, "no").when(F.col("arcgis_item_id").isNotNull(), "unknown").otherwise("n/a"),
+        "in_county_org_label": F.when(F.col("in_county_org") == 1, "yes").when(F.col("in_county_org") == 0,
+            "no").when(F.col("arcgis_item_id").isNotNull(), "unknown").otherwise("n/a"),
     })
     return out.filter(in_report(vendors or [])).drop("kind", "example_main_url")
 
@@ -69,7 +76,8 @@ def applications_report(apps: DataFrame, findings: DataFrame, presence: DataFram
 def how(signals: Column) -> Column:
     """From an array of signal types."""
     has = lambda s: F.array_contains(signals, s)
-    return F.when(F.forall(signals, lambda s: s == "link"), fixed.HOW["link"]).when(has("iframe") | has("frame"), fixed.HOW["embed"]).when(has("image"), fixed.HOW["image"]).otherwise(fixed.HOW["page"])
+    return F.when(F.forall(signals, lambda s: s == "link"), fixed.HOW["link"]).when(has("iframe") | has("frame"),
+        fixed.HOW["embed"]).when(has("image"), fixed.HOW["image"]).otherwise(fixed.HOW["page"])
 
 
 def occurrences(findings: DataFrame, apps: DataFrame, titles: DataFrame | None = None, vendors: list[str] | None = None, chrome: bool = False) -> DataFrame:
@@ -77,24 +85,30 @@ def occurrences(findings: DataFrame, apps: DataFrame, titles: DataFrame | None =
     rank = F.coalesce(F.create_map(*[F.lit(x) for k, v in fixed.CONFIDENCE.items() for x in (k, v)])[F.col("confidence")], F.lit(1))
     own = findings if chrome else findings.filter("placement = 'main_content'")
     own = own.groupBy("url", "identity_key").agg(
-        F.min("placement").alias("placement"), F.array_sort(F.collect_set("signal_type")).alias("signals"), joined("type").alias("finding_types"), F.max(rank).alias("rank"),
+        F.min("placement").alias("placement"), F.array_sort(F.collect_set("signal_type")).alias("signals"), joined("type").alias("finding_types"),
+            F.max(rank).alias("rank"),
         F.min("container_selector").alias("container_selector"), F.min("target_url").alias("target_url"), F.max("tier").alias("max_tier"),
     )
     out = own.join(apps.select("identity_key", "vendor", F.col("type").alias("application_type")), "identity_key").filter(in_report(vendors or []))
-    out = out.join(titles.select("url", F.col("title").alias("page_title")), "url", "left") if titles is not None else out.withColumn("page_title", F.lit(None).cast("string"))
+    out = out.join(titles.select("url", F.col("title").alias("page_title")), "url", "left") if titles is not None else out.withColumn("page_title",
+        F.lit(None).cast("string"))
     confidence = F.when(F.col("rank") == 3, "high").when(F.col("rank") == 2, "medium").otherwise("low")
-    return out.withColumns({"how": how(F.col("signals")), "signal_types": F.array_join("signals", ","), "confidence": confidence}).withColumnRenamed("url", "page_url").select(*OCCURRENCE_COLUMNS)
+    return out.withColumns({"how": how(F.col("signals")), "signal_types": F.array_join("signals", ","),
+        "confidence": confidence}).withColumnRenamed("url", "page_url").select(*OCCURRENCE_COLUMNS)
 
 
 def coverage(queue: DataFrame, findings: DataFrame) -> DataFrame:
     """(metric, value): what of the queue has been seen, in one pass over each table."""
     is_ = lambda c, v: F.col(c) == v
     q = queue.agg(
-        F.count("*").alias("discovered"), F.count_if(is_("tier1_done", 1) & (F.col("status") != "skipped")).alias("crawled_tier1"), F.count_if(is_("tier2_done", 1)).alias("rendered_tier2"),
-        F.count_if(F.col("status").isin("pending", "in_progress")).alias("pending"), F.count_if(is_("status", "failed")).alias("failed"), F.count_if(is_("status", "skipped")).alias("skipped"),
+        F.count("*").alias("discovered"), F.count_if(is_("tier1_done", 1) & (F.col("status") != "skipped")).alias("crawled_tier1"),
+            F.count_if(is_("tier2_done", 1)).alias("rendered_tier2"),
+        F.count_if(F.col("status").isin("pending", "in_progress")).alias("pending"), F.count_if(is_("status", "failed")).alias("failed"),
+            F.count_if(is_("status", "skipped")).alias("skipped"),
     )
     main = F.col("placement") == "main_content"
-    f = findings.agg(F.count_distinct(F.when(main & is_("tier", 1), F.col("url"))).alias("tier1_hit_pages"), F.count_distinct(F.when(main & is_("tier", 2) & (F.col("type") != "map_link_only"), F.col("url"))).alias("tier2_hit_pages"))
+    f = findings.agg(F.count_distinct(F.when(main & is_("tier", 1), F.col("url"))).alias("tier1_hit_pages"),
+        F.count_distinct(F.when(main & is_("tier", 2) & (F.col("type") != "map_link_only"), F.col("url"))).alias("tier2_hit_pages"))
     return reduce(DataFrame.unionByName, [x.unpivot([], x.columns, "metric", "value") for x in (q, f)])
 
 
@@ -115,7 +129,8 @@ def sample_rate(queue: DataFrame, findings: DataFrame) -> DataFrame:
     seen = pages.join(t2, "url", "left").join(t1, "url", "left").withColumn("t1", F.coalesce("t1", F.array().cast("array<string>")))
     placeholder = F.exists("t1", lambda k: k.startswith("inpage:"))
     new = F.exists("t2", lambda k: ~F.array_contains("t1", k) & ~(k.startswith("inpage:") & placeholder))
-    out = seen.agg(F.count("*").alias("rendered"), F.count_if(F.col("t2").isNotNull()).alias("hits"), F.count_if(F.coalesce(new, F.lit(False))).alias("new_identity_pages"))
+    out = seen.agg(F.count("*").alias("rendered"), F.count_if(F.col("t2").isNotNull()).alias("hits"),
+        F.count_if(F.coalesce(new, F.lit(False))).alias("new_identity_pages"))
     return out.withColumn("hit_rate", F.when(F.col("rendered") > 0, F.col("hits") / F.col("rendered")))
 
 
@@ -134,8 +149,10 @@ def buckets(report: DataFrame, domain: str) -> DataFrame:
     item, key = F.col("arcgis_item_id").isNotNull(), F.col("identity_key")
     service, org, linked = key.startswith("arcgis:service:"), F.col("in_county_org"), F.col("linked_only") == 1
     member = {
-        "embedded": item & (org == 1) & ~linked, "linked_only_org": item & (org == 1) & linked, "external": (item | service) & (org == 0), "services": service, "unknown": item & org.isNull(),
-        "enterprise": ~item & (F.col("vendor") == "esri-enterprise"), "esri_inpage": ~item & (F.col("vendor") == "esri") & ~service, "non_arcgis_external": ~item & ~key.startswith("inpage:") & ~key.rlike(f"(?i){domain}"),
+        "embedded": item & (org == 1) & ~linked, "linked_only_org": item & (org == 1) & linked, "external": (item | service) & (org == 0),
+            "services": service, "unknown": item & org.isNull(),
+        "enterprise": ~item & (F.col("vendor") == "esri-enterprise"), "esri_inpage": ~item & (F.col("vendor") == "esri") & ~service,
+            "non_arcgis_external": ~item & ~key.startswith("inpage:") & ~key.rlike(f"(?i){domain}"),
     }
     names = F.filter(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in member.items()]), lambda n: n.isNotNull())
     return report.select(F.explode(names).alias("bucket"), "identity_key")
@@ -150,11 +167,13 @@ def orphaned(items: DataFrame, apps: DataFrame, org_id: str) -> DataFrame:
 
 def api_keys(findings: DataFrame, responses: DataFrame | None = None, vendors: list[str] | None = None) -> DataFrame:
     """Credentials in page sources with pages, an example and identities; ``responses`` (vendor, api_key, status, body) say how restricted."""
-    keys = findings.filter("api_key IS NOT NULL").groupBy("api_key", "vendor").agg(F.count_distinct("url").alias("pages"), F.min("target_url").alias("example"), joined("identity_key").alias("identities"))
+    keys = findings.filter("api_key IS NOT NULL").groupBy("api_key", "vendor").agg(F.count_distinct("url").alias("pages"),
+        F.min("target_url").alias("example"), joined("identity_key").alias("identities"))
     keys = keys.filter(in_report(vendors or []))
     if responses is None:
         return keys.withColumn("restriction", F.lit("not probed"))
-    return keys.join(responses, ["vendor", "api_key"], "left").withColumn("restriction", restriction(F.col("vendor"), F.col("body"), F.col("status"))).drop("body", "status")
+    return keys.join(responses, ["vendor", "api_key"], "left").withColumn("restriction",
+        restriction(F.col("vendor"), F.col("body"), F.col("status"))).drop("body", "status")
 
 
 def restriction(vendor: Column, body: Column, status: Column) -> Column:
@@ -191,7 +210,8 @@ def request_totals(requests: DataFrame) -> DataFrame:
 
 def totals(report: DataFrame, occ: DataFrame, findings: DataFrame, vendors: list[str] | None = None) -> DataFrame:
     """(metric, value) of the whole report."""
-    a = report.agg(F.count("*").alias("applications"), F.count_if(F.col("flagged") == 0).alias("applications_unflagged"), F.count_if(F.col("placement_summary") == "site-wide navigation").alias("site_wide"))
+    a = report.agg(F.count("*").alias("applications"), F.count_if(F.col("flagged") == 0).alias("applications_unflagged"),
+        F.count_if(F.col("placement_summary") == "site-wide navigation").alias("site_wide"))
     maps = occ.filter("how <> 'link'").agg(F.count_distinct("page_url").alias("pages_with_maps")) if vendors else findings.filter("placement = 'main_content' AND type <> 'map_link_only'").agg(F.count_distinct("url").alias("pages_with_maps"))
     parts = [a, occ.agg(F.count("*").alias("occurrences")), findings.agg(F.count("*").alias("findings")), maps]
     return reduce(DataFrame.unionByName, [x.unpivot([], x.columns, "metric", "value") for x in parts])
@@ -204,8 +224,10 @@ def status(queue: DataFrame, statuses: DataFrame, pages: DataFrame) -> dict[str,
     storage = pages.agg(F.count("*").alias("stored"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).crossJoin(queue.agg(F.count("*").alias("total")))
     return {
         "queue": counts_by(queue, "status").orderBy("status"), "sources": counts_by(queue, "source").orderBy("source"), "reasons": tier2_by_reason(queue),
-        "http": statuses.groupBy(F.coalesce(F.col("http_status").cast("string"), F.lit("error")).alias("status"), is_blocked(F.col("http_status"), fixed.BLOCK_STATUSES).alias("refused")).agg(F.count("*").alias("n")),
+        "http": statuses.groupBy(F.coalesce(F.col("http_status").cast("string"), F.lit("error")).alias("status"),
+            is_blocked(F.col("http_status"), fixed.BLOCK_STATUSES).alias("refused")).agg(F.count("*").alias("n")),
         "failing": queue.filter("error IS NOT NULL").orderBy(F.desc("last_attempt_at"), "url").limit(5),
-        "progress": queue.agg(done.alias("done"), F.count_if((F.col("tier1_done") == 1) & (F.col("status") != "skipped") & ((F.col("tier1_hit") == 1) | (F.col("tier2_hit") == 1))).alias("hits")),
+        "progress": queue.agg(done.alias("done"),
+            F.count_if((F.col("tier1_done") == 1) & (F.col("status") != "skipped") & ((F.col("tier1_hit") == 1) | (F.col("tier2_hit") == 1))).alias("hits")),
         "storage": storage.withColumn("projected_bytes", F.when(F.col("stored") > 0, (F.col("bytes") / F.col("stored") * F.col("total")).cast("long"))),
     }

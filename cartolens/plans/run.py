@@ -103,7 +103,8 @@ class Crawl:
             links = links.limit(0)
         if (listed := self.sitemaps()) is not None:
             first = F.struct(F.lit(0).alias("kind"), F.xxhash64("loc").alias("at"), F.lit(0).alias("place"))
-            links = links.unionByName(listed.select(F.lit(None).cast("string").alias("base"), F.col("loc").alias("href"), F.lit("sitemap").alias("source"), first.alias("seq")))
+            links = links.unionByName(listed.select(F.lit(None).cast("string").alias("base"), F.col("loc").alias("href"),
+                F.lit("sitemap").alias("source"), first.alias("seq")))
         path = F.regexp_extract("url", "://[^/?#]+([^#]*)", 1)
         new = crawl.add_links(links, pages.select("url"), scope, r.allowed(path))
         self.write(crawl.capped(new, max(0, inv["max_urls"] - pages.count())), "frontier")
@@ -112,7 +113,10 @@ class Crawl:
         queue = routed.select("url", "seq", "source", "http_status", "outcome").join(reasons, "url", "left")
         done = F.col("outcome") == "ok"
         status = F.when(done & (F.col("tier2_reason") == "none"), "done").when(done | (F.col("outcome") == "retry"), "pending").otherwise("skipped")
-        queue = queue.withColumns({"status": status, "skip_reason": F.when(status == "skipped", F.col("outcome")), "tier1_done": done.cast("int"), "tier2_done": F.lit(0), "tier1_hit": F.coalesce(F.col("hit"), F.lit(False)).cast("int"), "tier2_hit": F.lit(0), "error": F.when(F.col("outcome") == "retry", F.concat(F.lit("HTTP "), F.coalesce(F.col("http_status").cast("string"), F.lit("error")))), "attempts": F.lit(1)})
+        queue = queue.withColumns({"status": status, "skip_reason": F.when(status == "skipped", F.col("outcome")), "tier1_done": done.cast("int"),
+            "tier2_done": F.lit(0), "tier1_hit": F.coalesce(F.col("hit"), F.lit(False)).cast("int"), "tier2_hit": F.lit(0),
+            "error": F.when(F.col("outcome") == "retry", F.concat(F.lit("HTTP "), F.coalesce(F.col("http_status").cast("string"), F.lit("error")))),
+            "attempts": F.lit(1)})
         return self.write(queue.drop("outcome", "hit"), "queue")
 
     def due(self, limit: int | None = None, urls: list[str] | None = None) -> DataFrame:
@@ -168,7 +172,8 @@ class Crawl:
 
     def preflight(self, n: int = 12) -> tuple[DataFrame, DataFrame | None]:
         """The pages to sample, and the verdict if their loads have been recorded."""
-        sample = preflight.stratified(preflight.candidates(self.read("queue").filter("status <> 'skipped'").select("url", "seq") if self.has("queue") else None, self.sitemaps(), self.spark), n, self.cfg["seeds"]["homepage"])
+        sample = preflight.stratified(preflight.candidates(self.read("queue").filter("status <> 'skipped'").select("url",
+            "seq") if self.has("queue") else None, self.sitemaps(), self.spark), n, self.cfg["seeds"]["homepage"])
         return sample, preflight.verdict(self.read("loads")) if self.has("loads") else None
 
     def consent(self, verdict: str | None = None) -> bool:
@@ -192,7 +197,8 @@ class Crawl:
         occ = report.occurrences(stored, apps, self.read("detected"), vendors, self.cfg["report"]["include_chrome_occurrences"])
         probe = self.cfg["report"]["probe_api_keys"] if probe is None else probe
         keys = report.api_keys(stored, self.read("key_responses") if probe and self.has("key_responses") else None, vendors)
-        made = {"applications": table, "occurrences": occ, "findings": stored, "keys": keys, "coverage": report.coverage(queue, stored), "totals": report.totals(table, occ, stored, vendors), "buckets": report.buckets(table, self.cfg["scope"].get("domain") or "^$")}
+        made = {"applications": table, "occurrences": occ, "findings": stored, "keys": keys, "coverage": report.coverage(queue, stored),
+            "totals": report.totals(table, occ, stored, vendors), "buckets": report.buckets(table, self.cfg["scope"].get("domain") or "^$")}
         if org_id and self.has("items"):
             made["orphaned"] = report.orphaned(self.read("items"), apps, org_id)
         export.write_applications(table, out)

@@ -63,13 +63,15 @@ def default_source(domain: str = "", portal: str = "") -> dict[str, Any]:
     mine = lambda s: (domain or "{domain}" not in s) and (portal or "{portal}" not in s)
     plain = lambda text, name, sep=None, d=domain: [{name: put(r[0], d), **dict(zip(keys, r[1:], strict=False))} for r in _rows(text, sep) if mine(r[0])]
     return {
-        "network": {"hosts": plain(fixed.HOSTS, "pattern"), "paths": plain(fixed.PATHS, "regex"), "static_map_apis": plain(fixed.STATIC_MAPS, "regex"), "tile_pattern": plain(fixed.TILE, "regex")[0]},
+        "network": {"hosts": plain(fixed.HOSTS, "pattern"), "paths": plain(fixed.PATHS, "regex"),
+            "static_map_apis": plain(fixed.STATIC_MAPS, "regex"), "tile_pattern": plain(fixed.TILE, "regex")[0]},
         "embeds": plain(fixed.EMBEDS, "regex", " | ", re.escape(domain)),
         "globals": plain(fixed.GLOBALS, "name"),
         "selectors": plain(fixed.SELECTORS, "selector", " | "),
         "static_html": plain(fixed.STATIC_HTML, "regex", " | "),
         "map_adjacent": {"patterns": fixed.MAP_ADJACENT},
-        "placement": {"chrome_selectors": fixed.CHROME.split("\n")[1:-1], "main_content_selectors": fixed.MAIN.split("\n")[1:-1], "ignore_link_selectors": fixed.IGNORED_LINKS.split("\n")[1:-1], "ignore_link_text_regex": fixed.IGNORED_LINK_TEXT},
+        "placement": {"chrome_selectors": fixed.CHROME.split("\n")[1:-1], "main_content_selectors": fixed.MAIN.split("\n")[1:-1],
+            "ignore_link_selectors": fixed.IGNORED_LINKS.split("\n")[1:-1], "ignore_link_text_regex": fixed.IGNORED_LINK_TEXT},
         "non_geographic": {"hint_regex": fixed.NON_GEOGRAPHIC},
         "identity": {"identifying_params": fixed.IDENTIFYING, "credential_params": fixed.CREDENTIALS},
         "cmp": {
@@ -161,8 +163,10 @@ def compile_rules(source: dict[str, Any], vendors: list[str] | None = None) -> R
     asked = {str(v).lower() for v in vendors or []}
     keep = lambda rows: [r for r in rows or [] if not asked or str(r.get("vendor") or "").lower() in asked]
     net, place, ident = source.get("network") or {}, source.get("placement") or {}, source.get("identity") or {}
-    make = lambda rows, prefix, kind: [Rule(f"{prefix}:{r.get('label') or r['regex']}" if prefix == "embed" else f"{prefix}:{r['regex']}", r["vendor"], r["type"], r["confidence"], r["regex"], r.get("label"), r.get("identity_key"), True, kind) for r in keep(rows)]
-    hosts = [Rule(f"host:{r['pattern']}", r["vendor"], r["type"], r["confidence"], glob_regex(r["pattern"], "/" not in r["pattern"]), None, None, "/" not in r["pattern"], "vendor_host") for r in keep(net.get("hosts"))]
+    make = lambda rows, prefix, kind: [Rule(f"{prefix}:{r.get('label') or r['regex']}" if prefix == "embed" else f"{prefix}:{r['regex']}",
+        r["vendor"], r["type"], r["confidence"], r["regex"], r.get("label"), r.get("identity_key"), True, kind) for r in keep(rows)]
+    hosts = [Rule(f"host:{r['pattern']}", r["vendor"], r["type"], r["confidence"], glob_regex(r["pattern"], "/" not in r["pattern"]), None, None,
+        "/" not in r["pattern"], "vendor_host") for r in keep(net.get("hosts"))]
     tile = keep([net["tile_pattern"]]) if net.get("tile_pattern") else []
     return RuleSet(
         hosts, make(net.get("paths"), "path", "service_path"), make(net.get("static_map_apis"), "static", "static_map_api"),
@@ -200,7 +204,8 @@ def all_matches(value: Column, rules: list[Rule]) -> Column:
 
 
 def rule_table(spark: SparkSession, rules: list[Rule]) -> DataFrame:
-    return spark.createDataFrame([(i, r.id, r.vendor, r.type, r.confidence, f"(?i){r.regex}", r.label, r.identity_key) for i, r in enumerate(rules)], "ord int, id string, vendor string, type string, confidence string, regex string, label string, identity_key string")
+    return spark.createDataFrame([(i, r.id, r.vendor, r.type, r.confidence, f"(?i){r.regex}", r.label, r.identity_key) for i, r in enumerate(rules)],
+        "ord int, id string, vendor string, type string, confidence string, regex string, label string, identity_key string")
 
 
 #: Rules of a table that are sent to every task; more are joined without.

@@ -49,7 +49,8 @@ def fields(text: str) -> list[tuple[str, str]]:
 
 def groups(lines: list[tuple[str, str]]) -> list[tuple[list[str], list[tuple[str, str]]]]:
     """(agents, lines) of each group: a run of agents and the run of rules that follows it; rules before any agent are for all."""
-    runs = [(agents, list(run)) for agents, run in groupby((x for x in lines if x[0] in ("user-agent", "allow", "disallow", "crawl-delay")), lambda x: x[0] == "user-agent")]
+    runs = [(agents, list(run)) for agents, run in groupby((x for x in lines if x[0] in ("user-agent", "allow", "disallow", "crawl-delay")),
+        lambda x: x[0] == "user-agent")]
     if runs and not runs[0][0]:
         opening = list(dropwhile(lambda x: x[0] == "crawl-delay", runs[0][1]))
         runs[:1] = [(True, [("user-agent", "*")]), (False, opening)] if opening else []

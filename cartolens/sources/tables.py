@@ -113,7 +113,9 @@ def org_items(spark: SparkSession, path: str, org_id: str) -> DataFrame:
     pages = spark.read.schema(f"total long, start long, nextStart long, results array<{_ITEM}>").json(path, multiLine=True)
     items = pages.select("start", F.explode("results").alias("i")).select("start", "i.*")
     items = items.groupBy("id").agg(*[F.max_by(c, "start").alias(c) for c in ("title", "type", "owner", "created", "modified", "url", "orgId", "access")])
-    return items.select(F.col("id").alias("item_id"), "title", "type", "owner", from_millis(F.col("created")).alias("created"), from_millis(F.col("modified")).alias("modified"), "url", F.coalesce("orgId", F.lit(org_id)).alias("org_id"), F.lit(1).alias("in_org"), "access")
+    return items.select(F.col("id").alias("item_id"), "title", "type", "owner", from_millis(F.col("created")).alias("created"),
+        from_millis(F.col("modified")).alias("modified"), "url", F.coalesce("orgId", F.lit(org_id)).alias("org_id"), F.lit(1).alias("in_org"),
+        "access")
 
 
 def search_query(org_id: str, types: list[str]) -> str:

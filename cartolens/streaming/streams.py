@@ -68,4 +68,5 @@ def breaker_stream(statuses: DataFrame, window: int = 25, threshold: int = 8) ->
         yield pd.DataFrame(out, columns=["host", "seq", "blocked", "tripped"])
 
     slim = statuses.select("host", "seq", F.col("http_status").cast("int").alias("http_status"))
-    return slim.groupBy("host").applyInPandasWithState(step, "host string, seq long, blocked int, tripped boolean", "recent array<boolean>", "append", GroupStateTimeout.NoTimeout)
+    return slim.groupBy("host").applyInPandasWithState(step, "host string, seq long, blocked int, tripped boolean", "recent array<boolean>", "append",
+        GroupStateTimeout.NoTimeout)

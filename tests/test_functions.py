@@ -31,7 +31,8 @@ SCOPE = Scope.make(["www.example.com", "localhost:8765"], {"example.com": "www.e
         ("https://www.example.com:8443/a.PDF", None, "https://www.example.com:8443/a.PDF"),
         ("ht\ntps://www.example.com/\ta", None, "https://www.example.com/a"),
         ("http://0x7f.1/", None, "http://127.0.0.1/"),
-        ("mailto:a@b.c", None, None), ("javascript:1", "https://a.b/", None), ("relative", None, None), ("http://", None, None), ("http://a b/", None, None), ("http://a:99999/", None, None), (None, None, None),
+        ("mailto:a@b.c", None, None), ("javascript:1", "https://a.b/", None), ("relative", None, None), ("http://", None, None),
+            ("http://a b/", None, None), ("http://a:99999/", None, None), (None, None, None),
     ],
 )
 def test_normalize(url, base, want):
@@ -50,13 +51,16 @@ def test_normalize_is_idempotent(tail):
 
 def test_normalize_column_equals_twin(spark):
     ship(spark)
-    urls = [f"{s}://{h}{p}{q}{f}" for s in ("http", "HTTPS") for h in ("Example.com", "www.example.com:443", "x.y:80", "a_b.c", "1.2.3.4", "x.y.") for p in ("", "/", "//a//", "/a/../b", "/a.b/c-d_e", "/é") for q in ("", "?", "?utm_a=1&b=2", "?b&&c=", "?b=%20+c") for f in ("", "#x")] + [None, "", "x"]
+    urls = [f"{s}://{h}{p}{q}{f}" for s in ("http", "HTTPS") for h in ("Example.com", "www.example.com:443", "x.y:80", "a_b.c", "1.2.3.4",
+        "x.y.") for p in ("", "/", "//a//", "/a/../b", "/a.b/c-d_e", "/é") for q in ("", "?", "?utm_a=1&b=2", "?b&&c=", "?b=%20+c") for f in ("",
+        "#x")] + [None, "", "x"]
     got = spark.createDataFrame([(u,) for u in urls], "u string").select("u", SCOPE.normalized(F.col("u")).alias("n")).collect()
     assert {r["u"]: r["n"] for r in got} == {u: (v.href if (v := SCOPE.normalize(u)) else None) for u in urls}
 
 
 def test_classify(spark):
-    cases = {"https://example.com/a": "ok", "http://localhost:8765/": "ok", "http://localhost/": "out_of_scope_host", "https://www.example.com/a.Pdf?x": "asset", "ftp://www.example.com/": "unparseable", "nothing": "unparseable"}
+    cases = {"https://example.com/a": "ok", "http://localhost:8765/": "ok", "http://localhost/": "out_of_scope_host",
+        "https://www.example.com/a.Pdf?x": "asset", "ftp://www.example.com/": "unparseable", "nothing": "unparseable"}
     for url, want in cases.items():
         assert SCOPE.classify(url)[2] == want
     df = spark.createDataFrame([(u,) for u in cases], "u string").withColumn("n", SCOPE.normalized(F.col("u")))
@@ -65,15 +69,20 @@ def test_classify(spark):
 
 ITEM = "0123456789ABCDEF0123456789abcdef"
 IDENTITIES = [
-    ("https://maps.googleapis.com/maps/api/staticmap?center=37.5,-122.3&zoom=10&size=600x300&key=AIzaFAKEKEY123", "iframe:maps.googleapis.com/maps/api/staticmap/?center=37.5,-122.3", "AIzaFAKEKEY123"),
+    ("https://maps.googleapis.com/maps/api/staticmap?center=37.5,-122.3&zoom=10&size=600x300&key=AIzaFAKEKEY123",
+        "iframe:maps.googleapis.com/maps/api/staticmap/?center=37.5,-122.3", "AIzaFAKEKEY123"),
     ("https://services.arcgis.com/ORG123abc/arcgis/rest/services/Parcels/FeatureServer/0", "arcgis:service:ORG123abc/Parcels", None),
     ("https://google.com/maps/d/embed?mid=1XyZ_abc123&hl=en", "gmymaps:mid:1XyZ_abc123", None),
     ("https://public.tableau.com/views/Dash/Map?:embed=y", "iframe:public.tableau.com/views/Dash/Map/", None),
     ("https://gis.example.gov/Html5Viewer/?viewer=raster", "iframe:gis.example.gov/Html5Viewer/", None),
-    ("https://gis.example.gov/apps/publicviewer", "iframe:gis.example.gov/apps/publicviewer/", None), ("https://gis.example.gov/apps/publicviewer/", "iframe:gis.example.gov/apps/publicviewer/", None),
-    (f"https://x.maps.arcgis.com/apps/webappviewer/index.html?id={ITEM}", f"arcgis:item:{ITEM.lower()}", None), (f"https://storymaps.arcgis.com/stories/{ITEM}", f"arcgis:item:{ITEM.lower()}", None),
-    ("mapbox://styles/org/style1", "mapbox:style:org/style1", None), ("https://api.mapbox.com/styles/v1/org/s2/static/1,2?access_token=pk.1", "mapbox:style:org/s2", "pk.1"),
-    ("https://x.org/a//b.html?Q=1&z=2&id=" + "v" * 70, "iframe:x.org/a/b.html?Q=1&id=h" + identity.short_hash("v" * 70), None), ("relative", None, None), ("", None, None),
+    ("https://gis.example.gov/apps/publicviewer", "iframe:gis.example.gov/apps/publicviewer/", None),
+        ("https://gis.example.gov/apps/publicviewer/", "iframe:gis.example.gov/apps/publicviewer/", None),
+    (f"https://x.maps.arcgis.com/apps/webappviewer/index.html?id={ITEM}", f"arcgis:item:{ITEM.lower()}", None),
+        (f"https://storymaps.arcgis.com/stories/{ITEM}", f"arcgis:item:{ITEM.lower()}", None),
+    ("mapbox://styles/org/style1", "mapbox:style:org/style1", None),
+        ("https://api.mapbox.com/styles/v1/org/s2/static/1,2?access_token=pk.1", "mapbox:style:org/s2", "pk.1"),
+    ("https://x.org/a//b.html?Q=1&z=2&id=" + "v" * 70, "iframe:x.org/a/b.html?Q=1&id=h" + identity.short_hash("v" * 70), None),
+        ("relative", None, None), ("", None, None),
 ]
 
 
@@ -96,7 +105,8 @@ def test_sample_is_stable(spark):
 
 
 def test_robots(spark):
-    r = robots.parse("Sitemap: https://s/x.xml\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nUser-agent: b # c\nDisallow: /private/\nDisallow: /a*z$\nAllow: /private/ok\nDisallow:\nCrawl-delay: 5\n\nUser-agent: *\nDisallow: /never", "cartolens")
+    r = robots.parse("Sitemap: https://s/x.xml\nUser-agent: other\nDisallow: /\n\nUser-agent: *\nUser-agent: b # c\nDisallow: /private/\nDisallow: /a*z$\nAllow: /private/ok\nDisallow:\nCrawl-delay: 5\n\nUser-agent: *\nDisallow: /never",
+        "cartolens")
     cases = {"/private/x": False, "/private/ok/1": True, "/abz": False, "/abz?": True, "/Private/": True, "/never": True, "/": True}
     assert {p: r.is_allowed(p) for p in cases} == cases and r.sitemaps == ["https://s/x.xml"] and r.crawl_delay == 5
     df = spark.createDataFrame([(p,) for p in cases], "path string")
@@ -111,7 +121,8 @@ def test_rule_order():
     label = lambda u: (r.label if (r := RULES.embed(u)) else None)
     assert label("https://a.arcgis.com/apps/MapJournal/index.html") == "ArcGIS Configurable App" and label("https://a.arcgis.com/apps/MapJournal?x") == "ArcGIS App"
     req = lambda u: (r.id, r.kind) if (r := RULES.request(u)) else None
-    assert req("https://storymaps.arcgis.com/x") == ("host:*.arcgis.com", "vendor_host") and req("https://x.y/arcgis/rest/services/A/MapServer/1")[0] == "path:/mapserver/"
+    assert req("https://storymaps.arcgis.com/x") == ("host:*.arcgis.com",
+        "vendor_host") and req("https://x.y/arcgis/rest/services/A/MapServer/1")[0] == "path:/mapserver/"
     assert req("https://x.y/wms?request=GetMap")[0].startswith("path:[?&]request=GetMap") and req("https://x.y/3/4/5.png") == ("tile", "tile")
     assert req("https://unpkg.com/leaflet@1/x.js")[0] == "host:unpkg.com/leaflet*" and req("https://unpkg.com/react") is None
     assert len(RULES.embeds) == 40 and len(RULES.hosts) == 39 and len(RULES.static_html) == 14 and len(RULES.chrome) == 22
@@ -120,7 +131,8 @@ def test_rule_order():
 
 
 def test_rule_columns_equal_twins(spark):
-    urls = ["https://www.google.com/maps?q=1", "https://a.tile.openstreetmap.org/1/2/3.png", "https://x.y/geoserver/z", "https://none.example/", "https://maps.googleapis.com/maps/api/staticmap?x", "HTTPS://UNPKG.com/leaflet/x", "https://x.y/1/2/3.pbf?k"]
+    urls = ["https://www.google.com/maps?q=1", "https://a.tile.openstreetmap.org/1/2/3.png", "https://x.y/geoserver/z", "https://none.example/",
+        "https://maps.googleapis.com/maps/api/staticmap?x", "HTTPS://UNPKG.com/leaflet/x", "https://x.y/1/2/3.pbf?k"]
     df = spark.createDataFrame([(u,) for u in urls], "u string")
     rows = df.select("u", RULES.request_index(F.col("u")).alias("r"), RULES.embed_index(F.col("u")).alias("e")).collect()
     for r in rows:
@@ -135,8 +147,10 @@ def test_rule_columns_equal_twins(spark):
 @pytest.mark.parametrize(
     ("html", "want"),
     [
-        ("<main><p><a id=x>", "main_content"), ("<header><a id=x>", "site_chrome"), ("<main><nav><a id=x>", "main_content"), ("<article><footer><a id=x>", "site_chrome"), ("<nav class='mega-menu'><main><a id=x>", "main_content"),
-        ("<main><nav class=mega-menu><a id=x>", "main_content"), ("<div class=layout-container><header><a id=x>", "site_chrome"), ("<div><a id=x>", "main_content"), ("<footer><div class=region-content><a id=x>", "main_content"),
+        ("<main><p><a id=x>", "main_content"), ("<header><a id=x>", "site_chrome"), ("<main><nav><a id=x>", "main_content"),
+            ("<article><footer><a id=x>", "site_chrome"), ("<nav class='mega-menu'><main><a id=x>", "main_content"),
+        ("<main><nav class=mega-menu><a id=x>", "main_content"), ("<div class=layout-container><header><a id=x>", "site_chrome"),
+            ("<div><a id=x>", "main_content"), ("<footer><div class=region-content><a id=x>", "main_content"),
         ("<nav><ul><li>a<li><a id=x></ul></nav>", "site_chrome"), ("<nav><p>open</nav><a id=x>", "main_content"), ("<script>'<header>'</script><a id=x>", "main_content"),
     ],
 )
@@ -148,15 +162,20 @@ def test_placement(html, want):
 def test_selectors_and_paths():
     root = dom.parse('<div id=a class="b c"><ul><li>1<li class=d data-x="map-1">2</ul></div><div class=b><p><b>y</b></div>')
     find = lambda s: [n.name for n in root.elements() if dom.matches(n, s)]
-    assert find("div.b.c") == ["div"] and find("#a li") == ["li", "li"] and find("ul > li.d, b") == ["li", "b"] and find("div > li") == [] and find('[data-x*="map"]') == ["li"] and find("li:not(.d)") == ["li"] and find("[class=b]") == ["div"]
+    assert find("div.b.c") == ["div"] and find("#a li") == ["li", "li"] and find("ul > li.d, b") == ["li",
+        "b"] and find("div > li") == [] and find('[data-x*="map"]') == ["li"] and find("li:not(.d)") == ["li"] and find("[class=b]") == ["div"]
     li = [n for n in root.elements() if n.name == "li"][1]
     assert dom.css_path(li) == "div#a > ul > li.d:nth-of-type(2)"
 
 
 def test_text_columns(spark):
-    df = spark.createDataFrame([("<TITLE x>  A &amp;amp; B\n c</title><title>no", " +12px", 0, '"https://a.b/c?x=1&amp;y=2". http://d.e/f,', "a.png 1x, /b.png 2x,")], "h string, d string, ms long, r string, s string")
-    r = df.select(text.title(F.col("h")).alias("t"), text.dimension(F.col("d")).alias("d"), text.from_millis(F.col("ms")).alias("m"), text.raw_urls(F.col("r")).alias("u"), text.srcset(F.col("s")).alias("s"), text.backoff_ms(F.lit(3), 15000).alias("b"), text.duration(F.lit(3_725_000)).alias("x"), text.shorten(F.lit("a" * 70)).alias("l")).first()
-    assert r["t"] == "A &amp; B c" and r["d"] == 12 and r["m"] is None and r["u"] == ["https://a.b/c?x=1&y=2", "http://d.e/f"] and r["s"] == ["a.png", "/b.png"] and r["b"] == 60000 and r["x"] == "1h2m" and len(r["l"]) == 60
+    df = spark.createDataFrame([("<TITLE x>  A &amp;amp; B\n c</title><title>no", " +12px", 0, '"https://a.b/c?x=1&amp;y=2". http://d.e/f,',
+        "a.png 1x, /b.png 2x,")], "h string, d string, ms long, r string, s string")
+    r = df.select(text.title(F.col("h")).alias("t"), text.dimension(F.col("d")).alias("d"), text.from_millis(F.col("ms")).alias("m"),
+        text.raw_urls(F.col("r")).alias("u"), text.srcset(F.col("s")).alias("s"), text.backoff_ms(F.lit(3), 15000).alias("b"),
+        text.duration(F.lit(3_725_000)).alias("x"), text.shorten(F.lit("a" * 70)).alias("l")).first()
+    assert r["t"] == "A &amp; B c" and r["d"] == 12 and r["m"] is None and r["u"] == ["https://a.b/c?x=1&y=2", "http://d.e/f"] and r["s"] == ["a.png",
+        "/b.png"] and r["b"] == 60000 and r["x"] == "1h2m" and len(r["l"]) == 60
     html = spark.createDataFrame(pd.DataFrame({"c": ["Text/HTML; x", "application/xhtml+xml", "text/plain", None]}))
     assert [x[0] for x in html.select(text.is_html(F.col("c"))).collect()] == [True, True, False, False]
 
@@ -168,7 +187,8 @@ def test_whatwg_parts():
 
 
 @settings(max_examples=400, deadline=None)
-@given(st.text(alphabet="abA0.-~/?&=:%_é", max_size=14), st.sampled_from(["", "/", "//", "https://a.bc", "https://a.bc/", "http://xn--a.bc/", "https://a.b1/", "https://A.bc/"]))
+@given(st.text(alphabet="abA0.-~/?&=:%_é", max_size=14), st.sampled_from(["", "/", "//", "https://a.bc", "https://a.bc/", "http://xn--a.bc/",
+    "https://a.b1/", "https://A.bc/"]))
 def test_plain_urls_need_no_parsing(tail, head):
     from cartolens.operators.detect import Page
 
