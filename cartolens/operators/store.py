@@ -6,6 +6,8 @@ Everything is derived from the findings of the whole crawl at once. ``seq`` is t
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from .. import fixed
 from ..functions.identity import inpage_key, is_per_page
 
 ORDER = ("seq", "tier", "place")
+#: What tells pages apart where each URL has one row; a table with several rows of one URL has (url, seq).
+URL, ROW = ("url",), ("url", "seq")
 
 
 def replace_rescans(old: DataFrame, new: DataFrame) -> DataFrame:
@@ -28,18 +32,19 @@ def latest_wins(df: DataFrame, keys: list[str], order: list[Column], keep_old: l
     return df.groupBy(*keys).agg(*own)
 
 
-def supersede(findings: DataFrame) -> DataFrame:
+def supersede(findings: DataFrame, page: Sequence[str] = URL) -> DataFrame:
     """Without the tier-1 placeholders of pages for which rendering found better.
 
-    A rendered container supersedes all placeholders of its page; a strong identity of a vendor those of that vendor.
+    A rendered container supersedes all placeholders of its page; a strong identity of a vendor those of that vendor. ``page``:
+    the columns that tell pages apart.
     """
     t2 = findings.filter("tier = 2")
     container = F.coalesce(F.col("container_selector"), F.lit("*"))
-    whole = t2.filter((container != "*") & F.col("signal_type").isin("selector", "global", "network")).select("url").distinct()
+    whole = t2.filter((container != "*") & F.col("signal_type").isin("selector", "global", "network")).select(*page).distinct()
     vendors = t2.filter((F.col("placement") == "main_content") & ~is_per_page(F.col("identity_key")) & (F.col("type") != "map_link_only"))
-    named = vendors.select(inpage_key(F.col("vendor"), F.col("url")).alias("identity_key"), "url").distinct()
+    named = vendors.select(inpage_key(F.col("vendor"), F.col("url")).alias("identity_key"), *page).distinct()
     holder = (F.col("tier") == 1) & F.col("identity_key").like("inpage:%:*")
-    held = findings.filter(holder).join(whole, "url", "left_anti").join(named, ["url", "identity_key"], "left_anti")
+    held = findings.filter(holder).join(whole, [*page], "left_anti").join(named, [*page, "identity_key"], "left_anti")
     return findings.filter(~holder).unionByName(held)
 
 
@@ -80,9 +85,9 @@ def occurrence_counts(findings: DataFrame, presence: DataFrame) -> DataFrame:
     return pages.distinct().groupBy("identity_key").agg(F.count("*").alias("occurrence_count"))
 
 
-def inventory(findings: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def inventory(findings: DataFrame, page: Sequence[str] = URL) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(stored findings, applications with occurrence_count, chrome presence). Applications on no page any more are left out."""
-    left = supersede(findings)
+    left = supersede(findings, page)
     presence = chrome_presence(left)
     apps = without_orphans(applications(left).join(occurrence_counts(left, presence), "identity_key", "left"))
     return exemplars(left), apps, presence
