@@ -81,7 +81,10 @@ def how(signals: Column) -> Column:
 
 
 def occurrences(findings: DataFrame, apps: DataFrame, titles: DataFrame | None = None, vendors: list[str] | None = None, chrome: bool = False) -> DataFrame:
-    """A row for each page and application in its content (with ``chrome`` also in its navigation)."""
+    """A row for each page and application in its content (with ``chrome`` also in its navigation).
+
+    ``titles`` (url, title, and seq if a URL may have several rows, of which the last counts).
+    """
     rank = F.coalesce(F.create_map(*[F.lit(x) for k, v in fixed.CONFIDENCE.items() for x in (k, v)])[F.col("confidence")], F.lit(1))
     own = findings if chrome else findings.filter("placement = 'main_content'")
     own = own.groupBy("url", "identity_key").agg(
@@ -90,8 +93,11 @@ def occurrences(findings: DataFrame, apps: DataFrame, titles: DataFrame | None =
         F.min("container_selector").alias("container_selector"), F.min("target_url").alias("target_url"), F.max("tier").alias("max_tier"),
     )
     out = own.join(apps.select("identity_key", "vendor", F.col("type").alias("application_type")), "identity_key").filter(in_report(vendors or []))
-    out = out.join(titles.select("url", F.col("title").alias("page_title")), "url", "left") if titles is not None else out.withColumn("page_title",
-        F.lit(None).cast("string"))
+    if titles is not None:
+        last = F.struct("seq", "title") if "seq" in titles.columns else F.col("title")
+        out = out.join(titles.groupBy("url").agg(F.max_by("title", last).alias("page_title")), "url", "left")
+    else:
+        out = out.withColumn("page_title", F.lit(None).cast("string"))
     confidence = F.when(F.col("rank") == 3, "high").when(F.col("rank") == 2, "medium").otherwise("low")
     return out.withColumns({"how": how(F.col("signals")), "signal_types": F.array_join("signals", ","),
         "confidence": confidence}).withColumnRenamed("url", "page_url").select(*OCCURRENCE_COLUMNS)
