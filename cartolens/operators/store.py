@@ -74,7 +74,7 @@ def applications(findings: DataFrame) -> DataFrame:
     early = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), at)).alias(c)
     back = F.struct(type_rank(F.col("type")).alias("rank"), *[(-F.col(c)).alias(c) for c in ORDER])
     return findings.groupBy("identity_key").agg(
-        F.min_by("vendor", at).alias("vendor"), F.max_by("type", back).alias("type"), early("title"), F.min_by("url", at).alias("first_seen_url"),
+        F.min_by("vendor", at).alias("vendor"), F.max_by("type", back).alias("type"), early("title"), F.min_by("url", at).alias("first_seen_url"), F.min("seq").alias("first_seen_seq"),
         F.min_by("arcgis_item_id", at).alias("arcgis_item_id"), early("target_url"), F.first(is_per_page(F.col("identity_key")).cast("int")).alias("per_page"),
     )
 
