@@ -111,9 +111,9 @@ def replace_requests(old: DataFrame, new: DataFrame, rescanned: DataFrame) -> Da
     return old.join(rescanned.select("url").distinct(), "url", "left_anti").unionByName(new)
 
 
-def duplicate_groups(findings: DataFrame) -> DataFrame:
-    """Groups of equal findings: empty unless an invariant is broken."""
-    return findings.groupBy("url", "tier", "identity_key", "signal_type", "placement", "signal_value").count().filter("count > 1")
+def duplicate_groups(findings: DataFrame, page: Sequence[str] = URL) -> DataFrame:
+    """Groups of equal findings of a page: empty unless an invariant is broken."""
+    return findings.groupBy(*page, "tier", "identity_key", "signal_type", "placement", "signal_value").count().filter("count > 1")
 
 
 def strong_keys(findings: DataFrame) -> DataFrame:
