@@ -116,7 +116,7 @@ def duplicate_groups(findings: DataFrame, page: Sequence[str] = URL) -> DataFram
     return findings.groupBy(*page, "tier", "identity_key", "signal_type", "placement", "signal_value").count().filter("count > 1")
 
 
-def strong_keys(findings: DataFrame) -> DataFrame:
+def strong_keys(findings: DataFrame, page: Sequence[str] = URL) -> DataFrame:
     """(url, vendor, keys): the strong identities in a page's main content."""
     named = F.col("identity_key").rlike("^(" + "|".join(fixed.STRONG_KEYS) + ")") & (F.col("placement") == "main_content")
-    return findings.filter(named).groupBy("url", "vendor").agg(F.array_sort(F.collect_set("identity_key")).alias("keys"))
+    return findings.filter(named).groupBy(*page, "vendor").agg(F.array_sort(F.collect_set("identity_key")).alias("keys"))
