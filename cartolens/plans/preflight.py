@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.urls import section
+from ..operators.store import URL
 
 
 def candidates(queue: DataFrame | None, listed: DataFrame | None, spark: SparkSession) -> DataFrame:
@@ -33,11 +35,12 @@ def stratified(urls: DataFrame, n: int, homepage: str | None = None) -> DataFram
     return parted.withColumn("turn", turn).filter(F.col("turn") <= n).join(first, "section").orderBy("turn", "_first").limit(n).select("url", "section", "turn")
 
 
-def consent_difference(loads: DataFrame) -> DataFrame:
-    """Loads (url, with_consent, map_hosts, cmp_signals) of each page twice: only_with_consent, the map hosts that need it."""
+def consent_difference(loads: DataFrame, page: Sequence[str] = URL) -> DataFrame:
+    """Loads (url, with_consent, map_hosts, cmp_signals) of each page twice: only_with_consent, the map hosts that need it.
+    ``page``: the columns that tell pages apart."""
     side = lambda yes: F.coalesce(F.flatten(F.collect_list(F.when(F.col("with_consent") == yes, F.col("map_hosts")))), F.array().cast("array<string>"))
-    pages = loads.groupBy("url").agg(side(True).alias("b"), side(False).alias("a"), F.array_distinct(F.flatten(F.collect_list("cmp_signals"))).alias("cmp_signals"))
-    return pages.select("url", F.array_sort(F.array_except("b", "a")).alias("only_with_consent"), F.array_sort("cmp_signals").alias("cmp_signals"))
+    pages = loads.groupBy(*page).agg(side(True).alias("b"), side(False).alias("a"), F.array_distinct(F.flatten(F.collect_list("cmp_signals"))).alias("cmp_signals"))
+    return pages.select(*page, F.array_sort(F.array_except("b", "a")).alias("only_with_consent"), F.array_sort("cmp_signals").alias("cmp_signals"))
 
 
 def consent_signals(html: Column, cmp: dict) -> Column:
@@ -58,9 +61,9 @@ def gated_hosts(difference: DataFrame) -> DataFrame:
     return difference.select(F.explode("only_with_consent").alias("host")).groupBy("host").agg(F.count("*").alias("pages"))
 
 
-def verdict(loads: DataFrame) -> DataFrame:
+def verdict(loads: DataFrame, page: Sequence[str] = URL) -> DataFrame:
     """One row: sample_size, consent_gating_detected, cmp_present, cmp_signals, map_hosts_only_with_consent."""
-    d = consent_difference(loads)
+    d = consent_difference(loads, page)
     signals = F.array_sort(F.array_distinct(F.flatten(F.collect_list("cmp_signals"))))
     gated = gated_hosts(d).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("host", "pages")))).alias("map_hosts_only_with_consent"))
     out = d.agg(F.count("*").alias("sample_size"), signals.alias("cmp_signals")).crossJoin(gated)
