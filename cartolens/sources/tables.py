@@ -78,7 +78,9 @@ def sitemap_entries(docs: DataFrame) -> DataFrame:
     locs = F.transform(F.when(index, entry("sitemap")).otherwise(entry("url")), decode_xml)
     lines = F.filter(F.transform(F.split("body", r"\r?\n"), F.trim), lambda x: x.rlike("^https?://"))
     found = F.when(~index & (F.size(locs) == 0), lines).otherwise(locs)
-    return docs.select(F.col("url").alias("sitemap"), index.alias("is_index"), F.posexplode(found).alias("place", "loc"))
+    # what is said of a document is made before its entries become rows: after that it would be made, and the body carried, for each
+    parsed = docs.select(F.col("url").alias("sitemap"), index.alias("is_index"), found.alias("locs"))
+    return parsed.select("sitemap", "is_index", F.posexplode("locs").alias("place", "loc"))
 
 
 def sitemap_starts(configured: list[str], declared: list[str], homepage: str | None = None) -> list[str]:
